@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name: module of this package that has a function of that name.
 _HOMES = {
     "op1_simhash": "simhash",
+    "op2_urlrules": "urlrules",
+    "op4_fingerprints": "fingerprints",
+    "op5_mixing": "mixing",
 }
 
 
