@@ -13,6 +13,9 @@ _HOMES = {
     "op2_urlrules": "urlrules",
     "op4_fingerprints": "fingerprints",
     "op5_mixing": "mixing",
+    "op8_warc": "warc",
+    "op9_htmltext": "htmltext",
+    "op10_packing": "packing",
 }
 
 
