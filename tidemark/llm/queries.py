@@ -11,8 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 _HOMES = {
     "op1_simhash": "simhash",
     "op2_urlrules": "urlrules",
+    "op3_toxicity": "toxicity",
     "op4_fingerprints": "fingerprints",
     "op5_mixing": "mixing",
+    "op6_quality": "quality",
+    "op7_ann": "ann",
     "op8_warc": "warc",
     "op9_htmltext": "htmltext",
     "op10_packing": "packing",
