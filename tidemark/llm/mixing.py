@@ -51,10 +51,10 @@ def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tu
         "*",
         F.coalesce(F.sum("bound").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("spent"),
         F.sum("weight").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)).alias("left"),
-        (F.lit(share) * F.sum("source_size").over(everything)).alias("all"),
+        (F.lit(share) * F.sum("source_size").over(everything)).alias("all"), F.row_number().over(order).alias("place"),
     ).withColumn("level", (F.col("all") - F.col("spent")) / F.col("left"))
-    free = F.when(F.col("level") < F.col("bound") / F.col("weight"), F.col("level"))
-    found = level.withColumn("level", F.min(free).over(everything))
+    free = F.when(F.col("level") < F.col("bound") / F.col("weight"), F.struct("place", "level"))
+    found = level.withColumn("level", F.min(free).over(everything)["level"])  # of the first source that does not stop at its bound
     return found.select(
         "source", "key", "source_size", F.coalesce(F.least("bound", F.col("level") * F.col("weight")), F.col("bound")).alias("target")
     )
@@ -151,8 +151,9 @@ s as (select source, cast(sum(size) as bigint) as source_size from d group by so
 w as (select *, case (row_number() over (order by source nulls last) - 1) % 3 when 0 then 5.0::double when 1 then 2.0::double else 1.0::double end as weight,
              2.0::double * source_size as bound from s),
 l as (select *, (1.5::double * sum(source_size) over () - coalesce(sum(bound) over (order by bound / weight, source nulls last rows between unbounded preceding and 1 preceding), 0))
-             / sum(weight) over (order by bound / weight, source nulls last rows between current row and unbounded following) as level from w),
-t as (select source, source_size, coalesce(least(bound, weight * (select min(level) from l where level < bound / weight)), bound) as target from l),
+             / sum(weight) over (order by bound / weight, source nulls last rows between current row and unbounded following) as level,
+             row_number() over (order by bound / weight, source nulls last) as place from w),
+t as (select source, source_size, coalesce(least(bound, weight * (select arg_min(level, place) from l where level < bound / weight)), bound) as target from l),
 g as (select *, case when source_size > 0 then cast(floor(target / source_size) as bigint) else 0 end as base from t),
 r as (select *, cast(floor(target - base * source_size + 0.5) as bigint) as rest from g),
 j as (

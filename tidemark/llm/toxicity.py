@@ -1,14 +1,15 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two bigram models, of toxic and of ordinary documents, give each word a log-likelihood after its predecessor. Both back
-off to continuation probabilities of their class, and these to one shared unigram model whose counts come from all
-documents, so that an expression that either class has hardly seen is about as likely in both. A document's score is the
-calibrated difference of the two log-likelihoods per word.
+Two models, of toxic and of ordinary documents, spell out each word: they give a letter's likelihood after the four before
+it (a word begins and ends at a boundary). Interpolated Kneser-Ney smoothing backs off over continuation counts of the
+class, and at last to letter pairs whose counts are shared by both classes and come from all documents, so that spellings
+that neither class has seen are equally likely in both. Expressions are thus recognised by their stems, in forms that no
+labelled document holds. A document's score is the calibrated difference of the two log-likelihoods, normalised by length.
 
 The class-conditional counts are fitted on a bounded sample: of each class at most ``FIT_ROWS`` labelled documents with the
 smallest hashed ids, out of three of the five folds; ``CALIBRATION_ROWS`` from a fourth fold calibrate the score. The fifth
-fold is never learned from. The shared counts cover every word of every document. Vocabulary and bigrams are those of the
-sample, so the broadcast model is bounded by it.
+fold is never learned from. The shared counts cover every letter of every document. The broadcast model is bounded by the
+sample's distinct five-letter sequences.
 
 Nulls and edges: a null text is an empty one, and a text without words gets the score of no evidence. Rows without doc_id
 are scored and not held out. Without any usable labels, or with one class only, every score is the label's base rate (0 if
@@ -21,7 +22,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -33,102 +34,191 @@ from tidemark.llm import logit
 from tidemark.llm.common import cut, held_out, labelled, sample_ids, small_batches, table
 
 FIT_ROWS, CALIBRATION_ROWS = 6000, 3000
-#: A word of the vocabulary is that often in the sample, a bigram of the model that often.
-WORD_COUNT, BIGRAM_COUNT = 3, 2
+#: Letters of the longest sequences; the shared counts are of pairs.
+ORDER, SHARED = 5, 2
+#: Words whose ratio a worker remembers.
+REMEMBERED = 400_000
 _WORD = re.compile(r"\w+")
+#: Letters are told apart modulo this in the shared pair counts; 0 is the boundary.
+_LETTERS = 1024
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
+def _letters(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the words, each after ORDER - 1 boundaries and before one, and each word's first position."""
+    padded = "".join("\1" * (ORDER - 1) + w + "\1" for w in found)
+    starts = np.cumsum([0, *(len(w) + ORDER for w in found)])[:-1]
+    return np.frombuffer(padded.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64), starts
+
+
+def _hashes(codes: np.ndarray, order: int) -> np.ndarray:
+    """A 64-bit hash of the ``order`` letters that end at each position (0 where there are fewer)."""
+    out = np.zeros(len(codes), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for back in range(order):
+            part = codes[: len(codes) - back] if back else codes
+            out[back:] = out[back:] * _BASE + (part + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93) * np.uint64(2 * back + 1)
+        out ^= out >> np.uint64(29)
+        out *= np.uint64(0xBF58476D1CE4E5B9)
+    return out
+
+
+def _hash_of(grams: list[str]) -> np.ndarray:
+    n = len(grams[0]) if grams else 1
+    codes = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    return _hashes(codes, n)[n - 1 :: n]
+
+
+def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(keys):
+        return np.zeros(len(wanted), dtype=bool), np.zeros(len(wanted), dtype=np.int64)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return keys[at] == wanted, at
+
+
 @dataclass
 class Model:
-    """index: word to 1..V, 0 is any other. word, history: log ratios of the continuation and backoff weights. pairs:
-    sorted history * (V + 1) + word of the kept bigrams, with their log ratios. beta: the calibration."""
-
-    index: dict[str, int]
-    word: np.ndarray
-    history: np.ndarray
-    pairs: np.ndarray
-    ratio: np.ndarray
+    """For each order, longest first: sorted hashes and log ratios of the sequences seen, and of the histories' backoff
+    weights. beta: the calibration."""
+
+    grams: list[tuple[np.ndarray, np.ndarray]]
+    backs: list[tuple[np.ndarray, np.ndarray]]
     beta: np.ndarray
+    known: dict[str, float] = field(default_factory=dict)
+
+    def word_ratios(self, found: list[str]) -> np.ndarray:
+        """Difference of the log-likelihoods of each word's spelling."""
+        codes, starts = _letters(found)
+        total = np.zeros(len(codes))
+        open_ = np.ones(len(codes), dtype=bool)
+        for i in range(ORDER - 1):
+            open_[starts + i] = False  # the boundaries before a word are given
+        for n, (grams, backs) in enumerate(zip(self.grams, self.backs, strict=True)):
+            order = ORDER - n
+            at = np.nonzero(open_)[0]
+            hit, place = _found(grams[0], _hashes(codes, order)[at])
+            total[at[hit]] += grams[1][place[hit]]
+            open_[at[hit]] = False
+            rest = at[~hit]
+            hit, place = _found(backs[0], _hashes(codes, order - 1)[rest - 1])
+            total[rest[hit]] += backs[1][place[hit]]
+        return np.add.reduceat(total, starts) if len(starts) else total
 
     def features(self, texts: list[str | None]) -> np.ndarray:
         """Log-likelihood ratio per word, and per root of words, of each text."""
-        get = self.index.get
-        found = [[get(w, 0) for w in words(t)] for t in texts]
-        n = np.array([len(f) for f in found], dtype=np.int64)
-        total = np.zeros(len(texts))
-        at = 0
-        while at < len(texts):  # some documents at a time, so that long ones do not add up
-            end, size = at, 0
-            while end < len(texts) and (end == at or size + n[end] < 1_000_000):
-                size += n[end]
-                end += 1
-            ids = np.fromiter((i for f in found[at:end] for i in f), dtype=np.int64, count=size)
-            if size:
-                values = self.word[ids]
-                before = np.concatenate([[0], ids[:-1]])
-                starts = np.concatenate([[0], np.cumsum(n[at:end])[:-1]])
-                first = starts[n[at:end] > 0]
-                back = self.history[before]
-                back[first] = 0.0
-                values = values + back
-                if len(self.pairs):
-                    code = before * len(self.word) + ids
-                    code[first] = -1
-                    place = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
-                    hit = self.pairs[place] == code
-                    values[hit] = self.ratio[place[hit]]
-                sums = np.add.reduceat(values, first)
-                total[at:end][n[at:end] > 0] = sums
-            at = end
-        return np.column_stack([total / np.maximum(n, 1), total / np.sqrt(np.maximum(n, 1))])
+        if not self.grams:
+            return np.zeros((len(texts), 2))
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        found = [words(t) for t in texts]
+        new = list({w for f in found for w in f if w not in self.known})
+        for at in range(0, len(new), 100_000):
+            part = new[at : at + 100_000]
+            self.known.update(zip(part, self.word_ratios(part).tolist(), strict=True))
+        total = np.array([sum(map(self.known.__getitem__, f)) for f in found])
+        n = np.maximum(1, [len(f) for f in found])
+        return np.column_stack([total / n, total / np.sqrt(n)])
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         return logit.probability(logit.value(self.features(texts), self.beta))
 
 
-def _bigram_counts(sample: DataFrame) -> DataFrame:
-    """Rows ``(h, w, n0, n1)``: bigrams of the sample's texts by class; h is null before a text's first word."""
+def _sequences(sample: DataFrame) -> DataFrame:
+    """Rows ``(gram, n0, n1)``: sequences of ORDER letters in the sample's words, by class."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = (Counter(), Counter())
             for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = words(text)
-                found[y].update(zip([None, *own], own, strict=False))
-            keys = list(found[0].keys() | found[1].keys())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([h for h, _ in keys], pa.string()), pa.array([w for _, w in keys], pa.string()),
-                 pa.array([found[0][k] for k in keys], pa.int64()), pa.array([found[1][k] for k in keys], pa.int64())], names=["h", "w", "n0", "n1"])
+                found[y].update(words(text))
+            grams = (Counter(), Counter())
+            for y in (0, 1):
+                for word, n in found[y].items():
+                    padded = "\1" * (ORDER - 1) + word + "\1"
+                    for i in range(len(word) + 1):
+                        grams[y][padded[i : i + ORDER]] += n
+            keys = list(grams[0].keys() | grams[1].keys())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([g[k] for k in keys], pa.int64()) for g in grams)], names=["gram", "n0", "n1"])
+
+    counted = sample.select(F.col("y").cast("int").alias("y"), "text").mapInArrow(count, "gram string, n0 long, n1 long")
+    return counted.groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
 
-    counted = sample.select(F.col("y").cast("int").alias("y"), "text").mapInArrow(count, "h string, w string, n0 long, n1 long")
-    return counted.groupBy("h", "w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+_letter_ids: list[np.ndarray] = []
 
 
-def _shared_counts(docs: DataFrame, index: dict[str, int]) -> np.ndarray:
-    """How often each word of the vocabulary, and any other (at 0), occurs in all documents."""
-    known = docs.sparkSession.sparkContext.broadcast(index)
-    size = len(index) + 1
+def letter_ids() -> np.ndarray:
+    if not _letter_ids:
+        ids = np.zeros(0x110000, dtype=np.int64)
+        for c in range(0x110000):
+            if (x := chr(c)).isalnum() or x == "_":
+                ids[c] = 1 + c % (_LETTERS - 1)
+        _letter_ids.append(ids)
+    return _letter_ids[0]
 
+
+def _shared_pairs(docs: DataFrame) -> np.ndarray:
+    """Counts of letter pairs in all documents: row, the letter before; column, the letter."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, sums = known.value.get, np.zeros(size, dtype=np.int64)
+        ids, sums = letter_ids(), np.zeros(_LETTERS * _LETTERS, dtype=np.int64)
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                own = words(text)
-                if own:
-                    sums += np.bincount(np.fromiter((get(w, 0) for w in own), dtype=np.int64, count=len(own)), minlength=size) if len(own) > size else 0
-                    if len(own) <= size:
-                        ids, n = np.unique(np.fromiter((get(w, 0) for w in own), dtype=np.int64, count=len(own)), return_counts=True)
-                        sums[ids] += n
-        ids = np.nonzero(sums)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sums[ids])], names=["i", "n"])
+                if text:
+                    own = ids[np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), dtype="<u4")]
+                    pairs = own[:-1] * _LETTERS + own[1:]
+                    if len(pairs) > 200_000:
+                        sums += np.bincount(pairs, minlength=len(sums))
+                    else:
+                        np.add.at(sums, pairs, 1)
+        at = np.nonzero(sums)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], names=["i", "n"])
 
     rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(size)
+    out = np.zeros(_LETTERS * _LETTERS)
     out[rows["i"].to_numpy(dtype=np.int64)] = rows["n"]
-    return out
+    return out.reshape(_LETTERS, _LETTERS)
+
+
+def smooth(grams: pd.DataFrame, pairs: np.ndarray) -> tuple[list, list]:
+    """Log ratios of Kneser-Ney probabilities, from the counts ``(gram, n0, n1)`` of the longest sequences and shared pairs."""
+    levels, level = [], grams.reset_index(drop=True)
+    for order in range(ORDER, SHARED, -1):
+        levels.append(level)
+        lower = level["gram"].str[1:]
+        seen = pd.DataFrame({"gram": lower, "n0": (level["n0"] > 0).astype(int), "n1": (level["n1"] > 0).astype(int)})
+        level = seen.groupby("gram", sort=False, as_index=False).sum()  # continuation counts
+    shared = pairs + 0.1
+    shared = shared / shared.sum(axis=1, keepdims=True)
+    ids = letter_ids()
+    below: dict[str, tuple[float, float]] | None = None
+    out_grams, out_backs = [], []
+    for level in reversed(levels):
+        history, lower = level["gram"].str[:-1], level["gram"].str[1:]
+        if below is None:
+            base = shared[ids[lower.str[0].map(ord)], ids[lower.str[1].map(ord)]]
+            lowers = (base, base)
+        else:
+            lowers = (lower.map(below[0]).to_numpy(), lower.map(below[1]).to_numpy())
+        codes, names = pd.factorize(history)
+        p, back = [], []
+        for c in (0, 1):
+            n = level[f"n{c}"].to_numpy(dtype=float)
+            once, twice = (n == 1).sum(), (n == 2).sum()
+            discount = once / (once + 2 * twice) if once and twice else 0.5
+            total = np.bincount(codes, n)
+            kinds = np.bincount(codes, n > 0)
+            left = np.where(total > 0, discount * kinds / np.maximum(total, 1), 1.0)
+            p.append(np.where(total[codes] > 0, np.maximum(n - discount, 0) / np.maximum(total[codes], 1), 0) + left[codes] * lowers[c])
+            back.append(left)
+        below = (dict(zip(level["gram"], p[0], strict=True)), dict(zip(level["gram"], p[1], strict=True)))
+        for out, keys, values in ((out_grams, level["gram"].tolist(), np.log(p[1] / p[0])), (out_backs, list(names), np.log(back[1] / back[0]))):
+            hashes = _hash_of(keys)
+            place = np.argsort(hashes)
+            out.append((hashes[place], values[place]))
+    return out_grams[::-1], out_backs[::-1]
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, calibration_rows: int = CALIBRATION_ROWS) -> Model:
@@ -137,7 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, calibratio
     rows = cut(labelled(docs, labels, "toxic", ~held_out(F.col("doc_id"))).where("y in (0, 1)"))
     known = {int(r["y"]): r["count"] for r in rows.groupBy("y").count().collect()}
     base = known.get(1, 0) / max(1, sum(known.values()))
-    nothing = Model({}, np.zeros(1), np.zeros(1), np.zeros(0, dtype=np.int64), np.zeros(0), np.array([0.0, 0.0, np.log(max(base, 1e-9) / max(1 - base, 1e-9))]))
+    nothing = Model([], [], np.array([0.0, 0.0, np.log(max(base, 1e-9) / max(1 - base, 1e-9))]))
     if len(known) < 2:
         return nothing
     picked = sample_ids(rows.where(fold != 1), fit_rows).withColumn("part", F.lit(0)).unionByName(
@@ -145,41 +235,11 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, calibratio
     picked = picked.select(F.col("doc_id").alias("picked_id"), "y", "part")
     # Bounded: at most twice fit_rows + calibration_rows ids.
     sample = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(cut(picked)), F.col("doc_id") == F.col("picked_id")).select("y", "part", "text"))
-
-    pairs = cut(_bigram_counts(sample.where("part = 0")))
-    by_word = pairs.groupBy("w").agg(F.sum(F.col("n0") + F.col("n1")).alias("n"), *[F.count(F.when(F.col(f"n{c}") > 0, 1)).alias(f"k{c}") for c in (0, 1)])
-    totals = by_word.agg(*[F.sum(f"k{c}").alias(f"k{c}") for c in (0, 1)], *[F.count(F.when(F.col(f"k{c}") > 0, 1)).alias(f"t{c}") for c in (0, 1)]).first()
-    ones = pairs.agg(*[F.count(F.when(F.col(f"n{c}") == n, 1)).alias(f"n{c}_{n}") for c in (0, 1) for n in (1, 2)]).first()
-    vocabulary = by_word.where(F.col("n") >= WORD_COUNT).toPandas()
-    index = {w: i for i, w in enumerate(vocabulary["w"], 1)}
-    if not index:
+    grams = _sequences(sample.where("part = 0")).toPandas()
+    if not len(grams):
         return nothing
-    shared = _shared_counts(docs, index)
-    shared = (shared + 0.5) / (shared.sum() + 0.5 * len(shared))
-    histories = pairs.where("h is not null").groupBy("h").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(F.col("n0") + F.col("n1") >= WORD_COUNT).toPandas()
-    kept = pairs.where("h is not null").where(F.col("n0") + F.col("n1") >= BIGRAM_COUNT).toPandas()
-    kept["h"], kept["w"] = kept["h"].map(index), kept["w"].map(index)
-    kept = kept.dropna()
-    h, w = kept["h"].to_numpy(dtype=np.int64), kept["w"].to_numpy(dtype=np.int64)
-    size = len(index) + 1
-    word_p, back, pair_p = [], [], []
-    for c in (0, 1):
-        discount = ones[f"n{c}_1"] / max(1, ones[f"n{c}_1"] + 2 * ones[f"n{c}_2"]) or 0.5
-        k = np.zeros(size)
-        k[1:] = vocabulary[f"k{c}"]
-        k[0] = totals[f"k{c}"] - k.sum()
-        p = (np.maximum(k - discount, 0) + discount * totals[f"t{c}"] * shared) / max(1, totals[f"k{c}"])
-        p /= p.sum()
-        seen = np.zeros(size)
-        at = histories["h"].map(index)
-        seen[at[at.notna()].to_numpy(dtype=np.int64)] = histories[f"n{c}"][at.notna()]
-        direct = np.maximum(kept[f"n{c}"].to_numpy(dtype=float) - discount, 0) / np.maximum(seen[h], 1)
-        left = np.maximum(1 - np.bincount(h, direct, minlength=size), 0.05)
-        word_p.append(p)
-        back.append(left)
-        pair_p.append(direct + left[h] * p[w])
-    order = np.argsort(h * size + w)
-    model = Model(index, np.log(word_p[1] / word_p[0]), np.log(back[1] / back[0]), (h * size + w)[order], np.log(pair_p[1] / pair_p[0])[order], np.zeros(3))
+    grams = grams.sort_values("gram")
+    model = Model(*smooth(grams, _shared_pairs(docs)), np.zeros(3))
     return _calibrated(model, sample.where("part = 1"), known)
 
 
