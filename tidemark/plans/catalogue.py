@@ -1,15 +1,456 @@
-"""The registered queries of the core engine and their SQL equivalents."""
+"""The registered queries of the core engine and their SQL equivalents.
+
+Each query applies an operator to whole driver tables: EH, events summed by type and hour; UD, by user and day; LD,
+quantities by return flag, line status and shipping date; EV, versions of user groups' hourly maxima.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.functions import filters as fl
+from tidemark.functions import timegrid as tg
+from tidemark.operators import gaps, intervals, series, states
+from tidemark.sources import export
+from tidemark.spec import StoreSpec
+from tidemark.streaming.sync import feed_page
+
+HOUR, DAY = 3_600_000_000, 86_400_000_000
+START, END = "2024-01-01 00:00:00", "2024-01-30 23:00:00"
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+_CTE = """
+with eh as (select event_type, date_trunc('hour', ts) as ts, cast(sum(cast(value as decimal(18,2))) as double) as value from events group by 1, 2),
+ud as (select user_id, date_trunc('day', ts)::timestamp as ts, cast(sum(cast(value as decimal(18,2))) as double) as value from events group by 1, 2),
+ld as (select l_returnflag, l_linestatus, l_shipdate as ts, sum(l_quantity) as value from lineitem group by 1, 2, 3),
+ev as (select user_id % 20 as prm, cast(dense_rank() over (order by event_type) - 1 as int) as version, event_type, date_trunc('hour', ts) as ts, value from events),
+evm as (select prm, version, event_type, ts, max(value) as value from ev group by all)
+"""
+
+
+def query(name: str, sql: str | None = None):
+    def register(f):
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = _CTE + sql
+        return f
+
+    return register
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _exact_sum(c: str) -> Column:
+    return F.sum(F.col(c).cast("decimal(18,2)")).cast("double")
+
+
+def eh(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "events").groupBy("event_type", tg.truncated("hour", F.col("ts")).alias("ts")).agg(_exact_sum("value").alias("value"))
+
+
+def ud(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "events").groupBy("user_id", tg.truncated("day", F.col("ts")).alias("ts")).agg(_exact_sum("value").alias("value"))
+
+
+def ld(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus", F.col("l_shipdate").alias("ts")).agg(F.sum("l_quantity").alias("value"))
+
+
+def ev(spark: SparkSession, d: str) -> DataFrame:
+    events = _table(spark, d, "events")
+    kinds = events.select("event_type").distinct()
+    rank = kinds.alias("a").join(kinds.alias("b"), F.col("b.event_type") <= F.col("a.event_type")).groupBy(F.col("a.event_type").alias("event_type")).agg(
+        (F.count("*") - 1).cast("int").alias("version"))  # a handful of event types
+    return events.join(F.broadcast(rank), "event_type").groupBy(
+        (F.col("user_id") % 20).alias("prm"), "version", "event_type", tg.truncated("hour", F.col("ts")).alias("ts")).agg(F.max("value").alias("value"))
+
+
+LD_KEYS = ["l_returnflag", "l_linestatus"]
+EH_UTC = StoreSpec(("event_type",), tz="UTC")
+EH_PARIS = StoreSpec(("event_type",))
+LD_DAILY = StoreSpec(tuple(LD_KEYS), tz="UTC", freq="1d")
+LD_PARIS = StoreSpec(tuple(LD_KEYS))
+LD_YEAR = StoreSpec(tuple(LD_KEYS), chunk_axis=("year",))
+
+_GRID = "select event_type, unnest(generate_series({lo}, {hi}, interval 1 hour)) as ts from (select distinct event_type from eh)"
+
+
+@query("dense_regrid_hourly", f", g as ({_GRID.format(lo="timestamp '2024-01-01'", hi="timestamp '2024-01-31 23:00:00'")}) select g.event_type, g.ts, eh.value from g left join eh using (event_type, ts)")
+def _dense(spark, d):
+    return series.dense_regrid(eh(spark, d), EH_UTC)
+
+
+@query("dense_regrid_paris", f", g as ({_GRID.format(lo="timestamp '2023-12-31 23:00:00'", hi="timestamp '2024-01-31 22:00:00'")}) select g.event_type, g.ts, timezone('Europe/Paris', timezone('UTC', g.ts)) as local_ts, eh.value from g left join eh using (event_type, ts)")
+def _dense_paris(spark, d):
+    return series.dense_regrid(eh(spark, d), EH_PARIS).withColumn("local_ts", tg.to_local(F.col("ts"), "Europe/Paris"))
+
+
+_LOCAL = "timezone('Europe/Paris', timezone('UTC', ts))"
+
+
+@query("chunk_index_month", f" select cast(year({_LOCAL}) * 12 + month({_LOCAL}) - 1 as int) as chunk_index, count(*) as n, sum(value) as total from ld group by 1")
+def _chunk_month(spark, d):
+    return series.with_chunk(ld(spark, d), LD_PARIS).groupBy("chunk_index").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+@query("chunk_index_year", f" select cast(year({_LOCAL}) as int) as chunk_index, count(*) as n, sum(value) as total from ld group by 1")
+def _chunk_year(spark, d):
+    return series.with_chunk(ld(spark, d), LD_YEAR).groupBy("chunk_index").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+@query("chunk_pack", """, g as (select l_returnflag, l_linestatus, unnest(generate_series(date_trunc('month', min(ts)), date_trunc('month', max(ts)) + interval 1 month - interval 1 day, interval 1 day)) as ts from ld group by 1, 2)
+select l_returnflag, l_linestatus, cast(year(ts) * 12 + month(ts) - 1 as int) as chunk_index, min(ts) as start_ts, cast(count(*) as int) as slots, count(value) as filled, coalesce(sum(value), 0) as total from g left join ld using (l_returnflag, l_linestatus, ts) group by 1, 2, 3""")
+def _pack(spark, d):
+    chunks = series.pack(series.dense_regrid(ld(spark, d), LD_DAILY), LD_DAILY)
+    live = F.filter("values", lambda v: v.isNotNull())
+    return chunks.select(*LD_KEYS, "chunk_index", "start_ts", F.size("values").alias("slots"), F.size(live).cast("long").alias("filled"),
+                         F.aggregate(live, F.lit(0.0), lambda a, v: a + v).alias("total"))
+
+
+@query("chunk_roundtrip", " select * from ld")
+def _roundtrip(spark, d):
+    chunks = series.pack(series.dense_regrid(ld(spark, d), LD_DAILY), LD_DAILY)
+    return series.unpack(chunks, LD_DAILY).where("value is not null").select(*LD_KEYS, "ts", "value")
+
+
+@query("range_read_closed", " select * from ld where ts >= timestamp '1997-03-10' and ts <= timestamp '1998-02-20'")
+def _closed(spark, d):
+    low, high = "1997-03-10 00:00:00", "1998-02-20 00:00:00"
+    rows = series.with_chunk(ld(spark, d), LD_DAILY).where(F.col("chunk_index").between(1997 * 12 + 2, 1998 * 12 + 1))
+    return series.slice_closed(rows, F.lit(low).cast("timestamp_ntz"), F.lit(high).cast("timestamp_ntz")).drop("chunk_index")
+
+
+@query("range_read_trim", """, n as (select event_type, ts, case when hour(ts) in (0, 1, 23) then null else value end as value from eh where ts >= timestamp '2024-01-05' and ts <= timestamp '2024-01-09 23:00:00'),
+b as (select *, min(case when value is not null then ts end) over (partition by event_type) as lo, max(case when value is not null then ts end) over (partition by event_type) as hi from n)
+select event_type, ts, value from b where lo is null or ts between lo and hi""")
+def _trim(spark, d):
+    rows = eh(spark, d).withColumn("value", F.when(~F.hour("ts").isin(0, 1, 23), F.col("value")))
+    rows = series.slice_closed(rows, F.lit("2024-01-05 00:00:00").cast("timestamp_ntz"), F.lit("2024-01-09 23:00:00").cast("timestamp_ntz"))
+    return series.trim_null_edges(rows, ["event_type"])
+
+
+@query("slice_half_open", " select * from eh where ts >= timestamp '2024-01-03' and ts < timestamp '2024-01-07'")
+def _half(spark, d):
+    return series.slice_half_open(eh(spark, d), F.lit("2024-01-03").cast("timestamp_ntz"), F.lit("2024-01-07").cast("timestamp_ntz"))
+
+
+@query("split_point", " select *, 'left' as side from ud where ts <= timestamp '2024-01-15' union all select *, 'right' from ud where ts >= timestamp '2024-01-15'")
+def _split(spark, d):
+    at = F.lit("2024-01-15").cast("timestamp_ntz")
+    rows = ud(spark, d)
+    return series.slice_closed(rows, None, at).withColumn("side", F.lit("left")).unionByName(series.slice_closed(rows, at).withColumn("side", F.lit("right")))
+
+
+@query("yield_many", """, r as (select event_type, ts, case when value > 150 then value end as value from eh where event_type in ('click', 'view', 'purchase')),
+b as (select *, min(case when value is not null then ts end) over (partition by event_type) as lo, max(case when value is not null then ts end) over (partition by event_type) as hi from r)
+select event_type, ts, value from b where lo is null or ts between lo and hi""")
+def _many(spark, d):
+    rows = fl.where(eh(spark, d), {"event_type__in": ["click", "view", "purchase"]}, ["event_type"]).withColumn("value", F.when(F.col("value") > 150, F.col("value")))
+    return series.trim_null_edges(rows, ["event_type"])
+
+
+@query("max_horodate", " select event_type, max(ts) filter (where value > 100) as max_ts from eh group by 1")
+def _max(spark, d):
+    return eh(spark, d).groupBy("event_type").agg(F.max(F.when(F.col("value") > 100, F.col("ts"))).alias("max_ts"))
+
+
+@query("overlay_two", """, a as (select * from eh where hour(ts) % 2 = 0), b as (select event_type, ts, value + 1000 as value from eh where hour(ts) % 3 = 0)
+select coalesce(a.event_type, b.event_type) as event_type, coalesce(a.ts, b.ts) as ts, coalesce(a.value, b.value) as value from a full join b on a.event_type = b.event_type and a.ts = b.ts""")
+def _overlay(spark, d):
+    e = eh(spark, d)
+    return states.upsert_rows(e.where(F.hour("ts") % 3 == 0).withColumn("value", F.col("value") + 1000), e.where(F.hour("ts") % 2 == 0), ["event_type"])
+
+
+@query("overlay_many", """, u as (select 0 as prio, event_type, ts, case when hour(ts) % 4 = 0 then value end as value from eh union all select 1, event_type, ts, value * 2 from eh where hour(ts) % 2 = 0 union all select 2, event_type, ts, value * 4 from eh where hour(ts) % 3 = 0)
+select event_type, ts, arg_min(value, prio) filter (where value is not null) as value from u group by 1, 2""")
+def _overlays(spark, d):
+    e, h = eh(spark, d), F.hour("ts")
+    return series.overlay([e.withColumn("value", F.when(h % 4 == 0, F.col("value"))), e.where(h % 2 == 0).withColumn("value", F.col("value") * 2),
+                           e.where(h % 3 == 0).withColumn("value", F.col("value") * 4)], ["event_type"])
+
+
+@query("version_combine", " select prm, ts, arg_min(value, -version) filter (where value is not null) as value from evm group by 1, 2")
+def _combine(spark, d):
+    return series.combine_versions(ev(spark, d))
+
+
+@query("version_combine_grouped", " select prm, version % 2 as attribute, ts, arg_min(value, -version) filter (where value is not null) as value from evm group by all")
+def _combine_by(spark, d):
+    return series.combine_versions(ev(spark, d).withColumn("attribute", F.col("version") % 2), ["prm", "attribute"])
+
+
+@query("version_combine_delay", """, t as (select *, min(ts) over (partition by prm, version) as first from evm)
+select prm, ts, arg_min(value, -version) filter (where value is not null) as value from t where ts >= first + interval 2 day group by 1, 2""")
+def _combine_delay(spark, d):
+    return series.combine_versions(ev(spark, d), delay_us=2 * DAY)
+
+
+@query("version_exact", " select prm, version, ts, value from evm where version = 2 and prm in (3, 7)")
+def _exact(spark, d):
+    return fl.where(ev(spark, d), {"version": 2, "prm__in": [3, 7]}, ["prm", "version"]).select("prm", "version", "ts", "value")
+
+
+@query("next_version", " select prm, cast(max(version) + 1 as int) as next_version from evm group by 1")
+def _next(spark, d):
+    return states.next_versions(ev(spark, d), ["prm"])
+
+
+_HOLES = """, g as (select k, unnest(generate_series(timestamp '{lo}', timestamp '{hi}', interval 1 {unit})) as ts from (select distinct {key} as k from {frame})),
+m as (select g.k, g.ts, row_number() over (partition by g.k order by g.ts) as n, f.value from g left join {frame} f on f.{key} = g.k and f.ts = g.ts),
+i as (select k, ts, n - row_number() over (partition by k order by ts) as island from m where value is null)
+select k as {key}, min(ts) - interval '{margin}' as "start", max(ts) + interval '{margin}' as "end" from i group by k, island"""
+
+
+@query("holes_hourly", _HOLES.format(lo=START, hi=END, unit="hour", key="event_type", frame="eh", margin="0 hour"))
+def _holes(spark, d):
+    return gaps.holes(eh(spark, d), ["event_type"], START, END, HOUR)
+
+
+@query("holes_daily_user", _HOLES.format(lo="2024-01-01 00:00:00", hi="2024-01-30 00:00:00", unit="day", key="user_id", frame="ud", margin="0 hour"))
+def _holes_daily(spark, d):
+    return gaps.holes(ud(spark, d), ["user_id"], "2024-01-01 00:00:00", "2024-01-30 00:00:00", DAY)
+
+
+@query("holes_margin", _HOLES.format(lo=START, hi=END, unit="hour", key="event_type", frame="eh", margin="1 hour"))
+def _holes_margin(spark, d):
+    return gaps.holes(eh(spark, d), ["event_type"], START, END, HOUR, HOUR)
+
+
+@query("const_runs", """, v as (select event_type, ts, cast(floor(value / 300) as double) as value from eh),
+c as (select *, case when lag(value) over w is not distinct from value and row_number() over w > 1 then 0 else 1 end as n from v window w as (partition by event_type order by ts)),
+r as (select *, sum(n) over (partition by event_type order by ts) as run from c)
+select event_type, min(ts) as "start", max(ts) as "end", any_value(value) as value from r group by event_type, run""")
+def _runs(spark, d):
+    return series.constant_runs(eh(spark, d).withColumn("value", F.floor(F.col("value") / 300).cast("double")), ["event_type"])
+
+
+@query("find_groups", """, u as (select distinct user_id from events),
+r as (select user_id, ts, case when user_id % 3 = 0 and day(ts) % 7 = 0 then null else value end as value from ud where ts between timestamp '2024-01-01' and timestamp '2024-01-30'),
+l as (select user_id, min(ts) as a, max(ts) as b from r group by 1 having count(value) > 0),
+e as (select user_id, timestamp '2024-01-01' as sd, a as ed from l where a - timestamp '2024-01-01' >= interval 1 day union all select user_id, b, timestamp '2024-01-30' from l where timestamp '2024-01-30' - b >= interval 1 day),
+n as (select *, row_number() over (partition by user_id order by ts) as i from r),
+s as (select user_id, min(ts) as sd, max(ts) as ed from (select *, i - row_number() over (partition by user_id order by ts) as g from n where value is null) where user_id in (select user_id from l) group by user_id, g),
+x as (select user_id, timestamp '2024-01-01' as sd, timestamp '2024-01-30' as ed from u where user_id not in (select user_id from l)),
+al as (select * from e union all select * from s union all select * from x),
+f as (select *, case when sd <= max(ed) over (partition by user_id order by sd, ed rows between unbounded preceding and 1 preceding) then 0 else 1 end as n from al),
+q as (select *, sum(n) over (partition by user_id order by sd, ed rows between unbounded preceding and current row) as g from f),
+z as (select user_id, min(sd) as sd, max(ed) as ed from q group by user_id, g)
+select sd, ed, string_agg(user_id::varchar, ',' order by user_id) as prms from z group by 1, 2""")
+def _groups(spark, d):
+    rows = ud(spark, d).withColumn("value", F.when(~((F.col("user_id") % 3 == 0) & (F.day("ts") % 7 == 0)), F.col("value")))
+    found = gaps.missing_groups(rows, "user_id", "2024-01-01 00:00:00", "2024-01-30 00:00:00", DAY, _table(spark, d, "events"))
+    return found.withColumn("prms", F.array_join(F.transform("prms", lambda x: x.cast("string")), ","))
+
+
+_SPANS = """, o as (select o_custkey as k, o_orderkey as id, date_diff('day', date '1970-01-01', o_orderdate::date) as sd, date_diff('day', date '1970-01-01', o_orderdate::date) + o_orderkey % 90 as ed from orders),
+p as (select a.k, a.id as a_id, b.id as b_id, a.sd, a.ed, b.sd as other_sd, b.ed as other_ed from o a join o b on a.k = b.k and a.id < b.id)
+"""
+
+
+def _spans(spark, d) -> DataFrame:
+    o = _table(spark, d, "orders")
+    day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+    return o.select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("id"), day.alias("sd"), (day + F.col("o_orderkey") % 90).alias("ed"))
+
+
+def _pairs(spark, d) -> DataFrame:
+    o = _spans(spark, d)
+    a = o.withColumnRenamed("id", "a_id")
+    b = o.select("k", F.col("id").alias("b_id"), F.col("sd").alias("other_sd"), F.col("ed").alias("other_ed"))
+    return a.join(b, "k").where("a_id < b_id")
+
+
+
+def _ends() -> tuple[Column, Column, Column, Column]:
+    return F.col("sd"), F.col("ed"), F.col("other_sd"), F.col("other_ed")
+
+
+@query("range_overlap", _SPANS + "select k, a_id, b_id from p where sd <= other_ed and ed >= other_sd")
+def _overlap(spark, d):
+    o = _spans(spark, d)
+    other = o.select("k", F.col("id").alias("b_id"), F.col("sd").alias("other_sd"), F.col("ed").alias("other_ed"))
+    return intervals.overlap_join(o.withColumnRenamed("id", "a_id"), other, ["k"], 128).where("a_id < b_id").select("k", "a_id", "b_id")
+
+
+@query("range_includes", _SPANS + "select k, a_id, b_id from p where sd <= other_sd and ed >= other_ed")
+def _includes(spark, d):
+    return _pairs(spark, d).where(intervals.includes(*_ends())).select("k", "a_id", "b_id")
+
+
+@query("range_intersection", _SPANS + "select k, a_id, b_id, greatest(sd, other_sd) as sd, least(ed, other_ed) as ed from p where least(ed, other_ed) - greatest(sd, other_sd) >= 5")
+def _intersection(spark, d):
+    x = _pairs(spark, d).withColumn("r", intervals.intersection(*_ends(), F.lit(5))).where("r is not null")
+    return x.select("k", "a_id", "b_id", "r.sd", "r.ed")
+
+
+@query("range_difference", _SPANS + """, c as (select *, case when sd <= other_sd and ed >= other_ed then 0 when other_sd <= sd and other_ed >= ed then 3 when other_ed > ed then 2 when other_sd < sd then 1 else 0 end as c from p)
+select k, a_id, b_id, other_sd as sd, sd as ed from c where c in (1, 3) and sd - other_sd >= 1 union all select k, a_id, b_id, ed, other_ed from c where c in (2, 3) and other_ed - ed >= 1""")
+def _difference(spark, d):
+    x = _pairs(spark, d).withColumn("r", F.explode(intervals.difference(*_ends(), F.lit(1))))
+    return x.select("k", "a_id", "b_id", "r.sd", "r.ed")
+
+
+@query("range_combine", _SPANS + """, f as (select k, sd, ed, case when sd <= max(ed) over (partition by k order by sd, ed rows between unbounded preceding and 1 preceding) then 0 else 1 end as n from o),
+q as (select *, sum(n) over (partition by k order by sd, ed rows between unbounded preceding and current row) as g from f)
+select k, min(sd) as sd, max(ed) as ed from q group by k, g""")
+def _coalesce(spark, d):
+    return intervals.coalesce(_spans(spark, d).select("k", "sd", "ed"), ["k"])
+
+
+@query("upsample_reference", """, co as (select event_type, date_trunc('day', ts)::timestamp as ts, cast(count(*) as double) as feat from eh group by 1, 2),
+r as (select eh.event_type, eh.ts, eh.value as ref, co.feat from eh left join co using (event_type, ts)),
+p as (select *, sum(case when feat is not null then 1 else 0 end) over (partition by event_type order by ts) as period, last_value(feat ignore nulls) over (partition by event_type order by ts) as f from r),
+a as (select event_type, period, cast(sum(cast(ref as decimal(28,6))) as double) as s, count(ref) as n, arg_min(ref, ts) as first from p where period > 0 group by 1, 2),
+b as (select *, lead(first) over (partition by event_type order by period) as nxt from a),
+m as (select event_type, period, (s + coalesce(nxt, 0)) / nullif(n + case when nxt is not null then 1 else 0 end, 0) as mean from b)
+select p.event_type, p.ts, round(case when period > 0 then case when mean = 0 then f else ref / nullif(mean, 0) * f end end, 6) as value from p left join m using (event_type, period)""")
+def _upsample(spark, d):
+    e = eh(spark, d)
+    coarse = e.groupBy("event_type", tg.truncated("day", F.col("ts")).alias("ts")).agg(F.count("*").cast("double").alias("value"))
+    return series.upsample(coarse, e, ["event_type"]).withColumn("value", F.round("value", 6))
+
+
+@query("normalize_minmax", " select event_type, ts, round((value - min(value) over w) / nullif(max(value) over w - min(value) over w, 0), 6) as value from eh window w as (partition by event_type)")
+def _normalize(spark, d):
+    return series.normalize(eh(spark, d), ["event_type"]).withColumn("value", F.round("value", 6))
+
+
+@query("min_freq", " select l_returnflag, l_linestatus, min(us) as step_us from (select *, date_diff('microsecond', lag(ts) over (partition by l_returnflag, l_linestatus order by ts), ts) as us from ld) group by 1, 2")
+def _min_freq(spark, d):
+    return series.min_frequency(ld(spark, d), LD_KEYS)
+
+
+@query("tz_convert", " select ts, timezone('Europe/Paris', timezone('UTC', ts)) as paris, timezone('America/New_York', timezone('UTC', ts)) as new_york from (select distinct ts from ld)")
+def _convert(spark, d):
+    days = ld(spark, d).select("ts").distinct()
+    return days.select("ts", tg.to_local(F.col("ts"), "Europe/Paris").alias("paris"), tg.convert(F.col("ts"), "UTC", "America/New_York").alias("new_york"))
+
+
+@query("localise_interval", """ select day::varchar as day, timezone('UTC', timezone('Europe/Paris', day::timestamp)) as first, timezone('UTC', timezone('Europe/Paris', day::timestamp + interval 1 day - interval 1 microsecond)) as last
+from (select distinct ts::date as day from ld)""")
+def _localise(spark, d):
+    days = ld(spark, d).select(F.col("ts").cast("date").alias("day")).distinct()
+    first, last = tg.localise_interval(F.col("day"), F.col("day"), "Europe/Paris")
+    return days.select(F.col("day").cast("string").alias("day"), first.alias("first"), last.alias("last"))
+
+
+_CHUNKS = """, ck as (select l_returnflag, l_linestatus, cast(year(ts) * 12 + month(ts) - 1 as int) as chunk_index, count(*) as n, sum(value) as total, timestamp '2024-01-01' + to_days(cast(month(min(ts)) as int)) as updated_at, false as is_deleted from ld group by 1, 2, 3)
+"""
+
+
+def _chunks(spark, d) -> DataFrame:
+    packed = series.pack(ld(spark, d), LD_DAILY)
+    stamp = F.timestamp_add("DAY", F.month("start_ts"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+    return packed.withColumns({"updated_at": stamp, "is_deleted": F.lit(False)})
+
+
+def _digest(chunks: DataFrame) -> DataFrame:
+    total = F.aggregate("values", F.lit(0.0), lambda a, v: a + v)
+    return chunks.select(*LD_KEYS, "chunk_index", F.size("values").cast("long").alias("n"), total.alias("total"), "updated_at", "is_deleted")
+
+
+@query("upsert_state", """, a as (select l_returnflag, l_linestatus, ts, value * 2 as value from ld where month(ts) <= 3)
+select coalesce(a.l_returnflag, b.l_returnflag) as l_returnflag, coalesce(a.l_linestatus, b.l_linestatus) as l_linestatus, coalesce(a.ts, b.ts) as ts, coalesce(a.value, b.value) as value
+from a full join (select * from ld where day(ts) <= 20) b on a.l_returnflag = b.l_returnflag and a.l_linestatus = b.l_linestatus and a.ts = b.ts""")
+def _upsert(spark, d):
+    x = ld(spark, d)
+    return states.upsert_rows(x.where(F.day("ts") <= 20), x.where(F.month("ts") <= 3).withColumn("value", F.col("value") * 2), LD_KEYS)
+
+
+@query("replace_state", _CHUNKS + """select l_returnflag, l_linestatus, chunk_index, n, total, timestamp '2025-01-01' as updated_at, false as is_deleted from ck where l_returnflag = 'R' and chunk_index >= 1997 * 12
+union all select l_returnflag, l_linestatus, chunk_index, 0, 0, timestamp '2025-01-01', true from ck where l_returnflag = 'R' and chunk_index < 1997 * 12 and l_linestatus in (select l_linestatus from ck where l_returnflag = 'R' and chunk_index >= 1997 * 12)
+union all select * from ck where not (l_returnflag = 'R' and (chunk_index >= 1997 * 12 or l_linestatus in (select l_linestatus from ck where l_returnflag = 'R' and chunk_index >= 1997 * 12)))""")
+def _replace(spark, d):
+    old, now = _chunks(spark, d), F.lit("2025-01-01 00:00:00").cast("timestamp_ntz")
+    new = old.where((F.col("l_returnflag") == "R") & (F.col("chunk_index") >= 1997 * 12)).withColumn("updated_at", now)
+    return _digest(states.replace_chunks(old, new, LD_KEYS, now))
+
+
+@query("soft_delete_state", _CHUNKS + """select l_returnflag, l_linestatus, chunk_index, case when chunk_index % 5 = 0 then 0 else n end as n, case when chunk_index % 5 = 0 then 0 else total end as total,
+case when chunk_index % 5 = 0 then timestamp '2025-01-01' else updated_at end as updated_at, chunk_index % 5 = 0 as is_deleted from ck""")
+def _soft_delete(spark, d):
+    return _digest(states.soft_delete(_chunks(spark, d), F.col("chunk_index") % 5 == 0, F.lit("2025-01-01 00:00:00").cast("timestamp_ntz")))
+
+
+@query("change_feed_page", _CHUNKS + "select l_returnflag, l_linestatus, chunk_index, updated_at, is_deleted from ck where updated_at >= timestamp '2024-01-07' order by updated_at, l_returnflag, l_linestatus, chunk_index limit 40 offset 25")
+def _feed(spark, d):
+    feed = states.change_feed(_chunks(spark, d), LD_KEYS, F.lit("2024-01-07 00:00:00").cast("timestamp_ntz"))
+    return feed.offset(25).limit(40).select(*LD_KEYS, "chunk_index", "updated_at", "is_deleted")
+
+
+@query("change_feed_keyset", _CHUNKS + """select l_returnflag, l_linestatus, chunk_index, updated_at, is_deleted from ck
+where (updated_at, l_returnflag, l_linestatus, chunk_index) > (timestamp '2024-01-09', 'N', 'O', 23990) order by updated_at, l_returnflag, l_linestatus, chunk_index limit 50""")
+def _keyset(spark, d):
+    import datetime
+
+    feed = states.change_feed(_chunks(spark, d), LD_KEYS, F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+    page = feed_page(feed, LD_KEYS, (datetime.datetime(2024, 1, 9), "N", "O", 23990), 50)
+    return page.select(*LD_KEYS, "chunk_index", "updated_at", "is_deleted")
+
+
+@query("latest_change", _CHUNKS + "select l_returnflag, l_linestatus, max(updated_at) as last_updated from ck group by 1, 2")
+def _latest(spark, d):
+    return _chunks(spark, d).groupBy(*LD_KEYS).agg(F.max("updated_at").alias("last_updated"))
+
+
+@query("sync_merge", _CHUNKS + """, s as (select *, 0 as inc from ck where chunk_index % 7 <> 0),
+i as (select l_returnflag, l_linestatus, chunk_index, case when chunk_index % 4 = 0 then 0 else n end as n, case when chunk_index % 4 = 0 then 0 else total end as total, timestamp '2024-01-06' as updated_at, chunk_index % 4 = 0 as is_deleted, 1 as inc from ck where chunk_index % 2 = 0),
+u as (select * from s union all select * from i),
+r as (select *, row_number() over (partition by l_returnflag, l_linestatus, chunk_index order by updated_at desc, inc desc) as k, max(case when inc = 0 or not is_deleted then 1 else 0 end) over (partition by l_returnflag, l_linestatus, chunk_index) as known from u)
+select l_returnflag, l_linestatus, chunk_index, n, total, updated_at, is_deleted from r where k = 1 and known = 1""")
+def _merge(spark, d):
+    c, now = _chunks(spark, d), F.lit("2024-01-06 00:00:00").cast("timestamp_ntz")
+    incoming = c.where(F.col("chunk_index") % 2 == 0)
+    incoming = states.soft_delete(incoming, F.col("chunk_index") % 4 == 0, now).withColumn("updated_at", now)
+    return _digest(states.latest_wins(c.where(F.col("chunk_index") % 7 != 0), incoming, LD_KEYS))
+
+
+@query("export_join", _CHUNKS + "select * from ck where chunk_index % 6 = 1")
+def _export(spark, d):
+    c = _chunks(spark, d)
+    return _digest(states.export_chunks(c, c.where(F.col("chunk_index") % 6 == 1), LD_KEYS))
+
+
+@query("export_summary", " select cast(row_number() over (order by l_returnflag, l_linestatus) - 1 as int) as number, 'export_serie_' || (row_number() over (order by l_returnflag, l_linestatus) - 1)::varchar || '.csv' as filename, l_returnflag, l_linestatus from (select distinct l_returnflag, l_linestatus from ld)")
+def _summary(spark, d):
+    return export.summary(ld(spark, d), LD_KEYS)
+
+
+@query("export_values", " select event_type, ts, printf('%.8f', value) as value from eh")
+def _values(spark, d):
+    return export.export_text(eh(spark, d))
+
+
+@query("lookup_filters", """ select * from eh where event_type like 'c%' and value >= 50 and value < 400 and ts between timestamp '2024-01-02' and timestamp '2024-01-20'
+union all select * from eh where event_type like '%w' and value is not null and value > 300""")
+def _lookups(spark, d):
+    e, f = eh(spark, d), ["event_type", "ts", "value"]
+    import datetime
+
+    a = fl.where(e, {"event_type__startswith": "c", "value__gte": 50, "value__lt": 400, "ts__range": (datetime.datetime(2024, 1, 2), datetime.datetime(2024, 1, 20))}, f)
+    return a.unionByName(fl.where(e, {"event_type__endswith": "w", "value__isnull": False, "value__gt": 300}, f))
+
+
+@query("row_count", " select prm, count(distinct version) as n from evm where prm >= 10 group by 1")
+def _count(spark, d):
+    return fl.where(ev(spark, d), {"prm__gte": 10}, ["prm"]).groupBy("prm").agg(F.countDistinct("version").alias("n"))
+
+
+@query("tombstone_filter", _CHUNKS + "select l_returnflag, l_linestatus, chunk_index, n, total, updated_at, is_deleted from ck where chunk_index % 5 <> 0 and chunk_index between 1996 * 12 and 1998 * 12 + 5")
+def _live(spark, d):
+    c = states.soft_delete(_chunks(spark, d), F.col("chunk_index") % 5 == 0, F.lit("2025-01-01 00:00:00").cast("timestamp_ntz"))
+    return _digest(c.where(~F.col("is_deleted") & F.col("chunk_index").between(1996 * 12, 1998 * 12 + 5)))
