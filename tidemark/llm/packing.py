@@ -16,7 +16,7 @@ ids are packed each; special tokens' strings are ordinary text; an empty table g
 from __future__ import annotations
 
 import heapq
-import re
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -32,17 +32,26 @@ CAPACITY = 1024
 #: Longest piece of a document's rest, and documents whose rests are packed together.
 PIECE, GROUP = 256, 512
 TOKENIZER = "byte_bpe_50k.json"
-#: Words whose ids a worker remembers: under 100 MB.
-REMEMBERED = 300_000
+#: How the byte-level pre-tokenizer splits a text, and the length from which a text is left to ``tokenizers``.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+LONG = 500_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-_ODD_SPACE = re.compile(r"\s\s|[^\S \n]")
+
+
+def _bytes_of_letters() -> dict[str, int]:
+    """The letters that a byte-level vocabulary writes bytes with."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters = dict(zip(map(chr, plain), plain, strict=True))
+    letters |= {chr(256 + i): x for i, x in enumerate(x for x in range(256) if x not in plain)}
+    return letters
 
 
 class Encoder:
-    """Ids (little-endian unsigned 32-bit) of texts by a byte-level BPE file of ``tokenizers``.
+    """Ids (little-endian unsigned 32-bit) of texts by a ``tokenizers`` file.
 
-    Its pre-tokenizer never looks beyond a single space or line break between two words, so a word with the space or break
-    before it is encoded once and remembered. Texts with any other white space are encoded whole.
+    A byte-level BPE whose merges come in the order of their ids, the usual kind, gives the same ids by ranks; its
+    vocabulary then goes to a faster implementation. Any other file, and texts so long that their white space may be beyond
+    that implementation's pattern, are encoded by ``tokenizers`` itself.
     """
 
     def __init__(self, path: str | None = None) -> None:
@@ -54,31 +63,32 @@ class Encoder:
             path = public_tokenizers.path(TOKENIZER)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.ranks = self._ranks(json.loads(self.tokenizer.to_str()))
+
+    @staticmethod
+    def _ranks(spec: dict):
+        import tiktoken
+
+        kind, model = spec["pre_tokenizer"] or {}, spec["model"]
+        usual = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        if spec["normalizer"] or spec["post_processor"] or model.get("type", "BPE") != "BPE" or model.get("ignore_merges") or any(kind.get(k) != v for k, v in usual.items()):
+            return None
+        special = {t["content"] for t in spec["added_tokens"]}
+        merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        if merged != sorted(merged):
+            return None
+        of = _bytes_of_letters()
+        ranks = {bytes(of[c] for c in word): n for word, n in model["vocab"].items() if word not in special}
+        return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        parts, odd, new, known = [], [], set(), self.known
-        for i, text in enumerate(texts):
-            if _ODD_SPACE.search(text):
-                odd.append(i)
-                parts.append([])
-            else:
-                # A key is a word with its space or break, or a word at the beginning of a text.
-                words = text.replace("\n", " \n").split(" ")
-                own = [words[0], *[w if w[:1] == "\n" else f" {w}" for w in words[1:]]]
-                parts.append(own)
-                new.update(own)
-        new = [w for w in new if w not in known]
-        known.update(zip(new, self._encode(new), strict=True))
-        out = [b"".join(map(known.__getitem__, own)) for own in parts]
-        for i, ids in zip(odd, self._encode([texts[i] for i in odd]), strict=True):
-            out[i] = ids
-        return out
+        return [self._by_ranks(t) if self.ranks and len(t) <= LONG else self._whole(t) for t in texts]
+
+    def _by_ranks(self, text: str) -> bytes:
+        return self.ranks.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
 _encoders: dict[str | None, Encoder] = {}
