@@ -1,15 +1,19 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two models, of toxic and of ordinary documents, spell out each word: they give a letter's likelihood after the four before
-it (a word begins and ends at a boundary). Interpolated Kneser-Ney smoothing backs off over continuation counts of the
-class, and at last to letter pairs whose counts are shared by both classes and come from all documents, so that spellings
-that neither class has seen are equally likely in both. Expressions are thus recognised by their stems, in forms that no
-labelled document holds. A document's score is the calibrated difference of the two log-likelihoods, normalised by length.
+it (a word begins and ends at a boundary). Both discount their counts and back off to one interpolated Kneser-Ney model of
+both classes together, whose lowest level are letter pairs of all documents. The discount is so large that a sequence seen
+once or twice in a class counts for nothing there: rare expressions are as likely in both models as the shared counts have
+it, and only what one class spells out again and again tells them apart. Expressions are thus recognised by their stems,
+in forms that no labelled document holds.
 
-The class-conditional counts are fitted on a bounded sample: of each class at most ``FIT_ROWS`` labelled documents with the
-smallest hashed ids, out of three of the five folds; ``CALIBRATION_ROWS`` from a fourth fold calibrate the score. The fifth
-fold is never learned from. The shared counts cover every letter of every document. The broadcast model is bounded by the
-sample's distinct five-letter sequences.
+A word is an expression of toxicity where its toxic log-likelihood exceeds the ordinary one by ``EVIDENCE``. The excess,
+summed over a document's words and divided by their number, is calibrated to a probability.
+
+The counts are fitted on a bounded sample: of each class at most ``FIT_ROWS`` labelled documents with the smallest hashed
+ids, out of three of the five folds; ``CALIBRATION_ROWS`` from a fourth fold calibrate the score. The fifth fold is never
+learned from. A document counts a word once, so that repeated lines do not pass for usage. The letter pairs cover every
+letter of every document. The broadcast model is bounded by the sample's distinct five-letter sequences.
 
 Nulls and edges: a null text is an empty one, and a text without words gets the score of no evidence. Rows without doc_id
 are scored and not held out. Without any usable labels, or with one class only, every score is the label's base rate (0 if
@@ -34,8 +38,10 @@ from tidemark.llm import logit
 from tidemark.llm.common import cut, held_out, labelled, sample_ids, small_batches, table
 
 FIT_ROWS, CALIBRATION_ROWS = 6000, 3000
-#: Letters of the longest sequences; the shared counts are of pairs.
-ORDER, SHARED = 5, 2
+#: Letters of the longest sequences; the counts of all documents are of pairs.
+ORDER, PAIR = 5, 2
+#: Discounts of a class's counts and of the shared ones; log ratio from which a word is an expression of toxicity.
+DISCOUNT, SHARED_DISCOUNT, EVIDENCE = 2.0, 0.75, 2.5
 #: Words whose ratio a worker remembers.
 REMEMBERED = 400_000
 _WORD = re.compile(r"\w+")
@@ -82,58 +88,56 @@ def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 @dataclass
 class Model:
-    """For each order, longest first: sorted hashes and log ratios of the sequences seen, and of the histories' backoff
-    weights. beta: the calibration."""
+    """Sorted hashes and log ratios of the sequences seen, and of the histories' backoff weights. beta: the calibration."""
 
-    grams: list[tuple[np.ndarray, np.ndarray]]
-    backs: list[tuple[np.ndarray, np.ndarray]]
+    grams: tuple[np.ndarray, np.ndarray] | None
+    backs: tuple[np.ndarray, np.ndarray] | None
     beta: np.ndarray
     known: dict[str, float] = field(default_factory=dict)
 
     def word_ratios(self, found: list[str]) -> np.ndarray:
-        """Difference of the log-likelihoods of each word's spelling."""
+        """Toxic less ordinary log-likelihood of each word's spelling."""
+        if not found:
+            return np.zeros(0)
         codes, starts = _letters(found)
         total = np.zeros(len(codes))
         open_ = np.ones(len(codes), dtype=bool)
         for i in range(ORDER - 1):
             open_[starts + i] = False  # the boundaries before a word are given
-        for n, (grams, backs) in enumerate(zip(self.grams, self.backs, strict=True)):
-            order = ORDER - n
-            at = np.nonzero(open_)[0]
-            hit, place = _found(grams[0], _hashes(codes, order)[at])
-            total[at[hit]] += grams[1][place[hit]]
-            open_[at[hit]] = False
-            rest = at[~hit]
-            hit, place = _found(backs[0], _hashes(codes, order - 1)[rest - 1])
-            total[rest[hit]] += backs[1][place[hit]]
-        return np.add.reduceat(total, starts) if len(starts) else total
+        at = np.nonzero(open_)[0]
+        hit, place = _found(self.grams[0], _hashes(codes, ORDER)[at])
+        total[at[hit]] = self.grams[1][place[hit]]
+        rest = at[~hit]
+        hit, place = _found(self.backs[0], _hashes(codes, ORDER - 1)[rest - 1])
+        total[rest[hit]] = self.backs[1][place[hit]]
+        return np.add.reduceat(total, starts)
 
     def features(self, texts: list[str | None]) -> np.ndarray:
-        """Log-likelihood ratio per word, and per root of words, of each text."""
-        if not self.grams:
-            return np.zeros((len(texts), 2))
+        """Logarithm of each text's evidence per hundred words."""
+        if self.grams is None:
+            return np.zeros((len(texts), 1))
         if len(self.known) > REMEMBERED:
             self.known.clear()
         found = [words(t) for t in texts]
         new = list({w for f in found for w in f if w not in self.known})
         for at in range(0, len(new), 100_000):
             part = new[at : at + 100_000]
-            self.known.update(zip(part, self.word_ratios(part).tolist(), strict=True))
+            ratios = self.word_ratios(part)
+            self.known.update(zip(part, np.where(ratios > EVIDENCE, ratios, 0.0).tolist(), strict=True))
         total = np.array([sum(map(self.known.__getitem__, f)) for f in found])
-        n = np.maximum(1, [len(f) for f in found])
-        return np.column_stack([total / n, total / np.sqrt(n)])
+        return np.log1p(100 * total / np.maximum(1, [len(f) for f in found]))[:, None]
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         return logit.probability(logit.value(self.features(texts), self.beta))
 
 
 def _sequences(sample: DataFrame) -> DataFrame:
-    """Rows ``(gram, n0, n1)``: sequences of ORDER letters in the sample's words, by class."""
+    """Rows ``(gram, n0, n1)``: sequences of ORDER letters in the sample's words, by class; a document counts a word once."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = (Counter(), Counter())
             for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found[y].update(words(text))
+                found[y].update(set(words(text)))
             grams = (Counter(), Counter())
             for y in (0, 1):
                 for word, n in found[y].items():
@@ -182,43 +186,43 @@ def _shared_pairs(docs: DataFrame) -> np.ndarray:
     return out.reshape(_LETTERS, _LETTERS)
 
 
-def smooth(grams: pd.DataFrame, pairs: np.ndarray) -> tuple[list, list]:
-    """Log ratios of Kneser-Ney probabilities, from the counts ``(gram, n0, n1)`` of the longest sequences and shared pairs."""
-    levels, level = [], grams.reset_index(drop=True)
-    for order in range(ORDER, SHARED, -1):
-        levels.append(level)
-        lower = level["gram"].str[1:]
-        seen = pd.DataFrame({"gram": lower, "n0": (level["n0"] > 0).astype(int), "n1": (level["n1"] > 0).astype(int)})
-        level = seen.groupby("gram", sort=False, as_index=False).sum()  # continuation counts
-    shared = pairs + 0.1
-    shared = shared / shared.sum(axis=1, keepdims=True)
-    ids = letter_ids()
-    below: dict[str, tuple[float, float]] | None = None
-    out_grams, out_backs = [], []
+def shared_model(counts: pd.Series, pairs: np.ndarray) -> pd.Series:
+    """Interpolated Kneser-Ney likelihoods of the sequences in ``counts``: continuation counts below the longest, letter
+    pairs of all documents at last."""
+    levels = [counts]
+    for _ in range(ORDER - PAIR - 1):
+        levels.append(pd.Series(1, index=levels[-1].index.str[1:]).groupby(level=0, sort=False).sum())
+    base, ids = pairs + 0.1, letter_ids()
+    base = base / base.sum(axis=1, keepdims=True)
+    below = None
     for level in reversed(levels):
-        history, lower = level["gram"].str[:-1], level["gram"].str[1:]
-        if below is None:
-            base = shared[ids[lower.str[0].map(ord)], ids[lower.str[1].map(ord)]]
-            lowers = (base, base)
-        else:
-            lowers = (lower.map(below[0]).to_numpy(), lower.map(below[1]).to_numpy())
-        codes, names = pd.factorize(history)
-        p, back = [], []
-        for c in (0, 1):
-            n = level[f"n{c}"].to_numpy(dtype=float)
-            once, twice = (n == 1).sum(), (n == 2).sum()
-            discount = once / (once + 2 * twice) if once and twice else 0.5
-            total = np.bincount(codes, n)
-            kinds = np.bincount(codes, n > 0)
-            left = np.where(total > 0, discount * kinds / np.maximum(total, 1), 1.0)
-            p.append(np.where(total[codes] > 0, np.maximum(n - discount, 0) / np.maximum(total[codes], 1), 0) + left[codes] * lowers[c])
-            back.append(left)
-        below = (dict(zip(level["gram"], p[0], strict=True)), dict(zip(level["gram"], p[1], strict=True)))
-        for out, keys, values in ((out_grams, level["gram"].tolist(), np.log(p[1] / p[0])), (out_backs, list(names), np.log(back[1] / back[0]))):
-            hashes = _hash_of(keys)
-            place = np.argsort(hashes)
-            out.append((hashes[place], values[place]))
-    return out_grams[::-1], out_backs[::-1]
+        history, lower = level.index.str[:-1], level.index.str[1:]
+        at, _ = pd.factorize(history)
+        n = level.to_numpy(dtype=float)
+        shorter = base[ids[lower.str[0].map(ord)], ids[lower.str[1].map(ord)]] if below is None else below.reindex(lower).to_numpy()
+        total = np.bincount(at, n)[at]
+        kinds = np.bincount(at)[at]
+        below = pd.Series((n - SHARED_DISCOUNT + SHARED_DISCOUNT * kinds * shorter) / total, index=level.index)
+    return below
+
+
+def smooth(grams: pd.DataFrame, pairs: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Log ratios of the classes' likelihoods, and of their backoff weights, from ``(gram, n0, n1)`` and the letter pairs."""
+    shared = shared_model(pd.Series((grams["n0"] + grams["n1"]).to_numpy(), index=pd.Index(grams["gram"])), pairs).to_numpy()
+    at, histories = pd.factorize(grams["gram"].str[:-1])
+    p, back = [], []
+    for n in (grams["n0"].to_numpy(dtype=float), grams["n1"].to_numpy(dtype=float)):
+        total, kept = np.bincount(at, n), np.maximum(n - DISCOUNT, 0)
+        left = np.where(total > 0, 1 - np.bincount(at, kept) / np.maximum(total, 1), 1.0)
+        p.append(kept / np.maximum(total, 1)[at] + left[at] * shared)
+        back.append(left)
+
+    def ordered(keys: list[str], values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        hashes = _hash_of(keys)
+        place = np.argsort(hashes)
+        return hashes[place], values[place]
+
+    return ordered(grams["gram"].tolist(), np.log(p[1] / p[0])), ordered(list(histories), np.log(back[1] / back[0]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, calibration_rows: int = CALIBRATION_ROWS) -> Model:
@@ -227,7 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, calibratio
     rows = cut(labelled(docs, labels, "toxic", ~held_out(F.col("doc_id"))).where("y in (0, 1)"))
     known = {int(r["y"]): r["count"] for r in rows.groupBy("y").count().collect()}
     base = known.get(1, 0) / max(1, sum(known.values()))
-    nothing = Model([], [], np.array([0.0, 0.0, np.log(max(base, 1e-9) / max(1 - base, 1e-9))]))
+    nothing = Model(None, None, np.array([0.0, np.log(max(base, 1e-9) / max(1 - base, 1e-9))]))
     if len(known) < 2:
         return nothing
     picked = sample_ids(rows.where(fold != 1), fit_rows).withColumn("part", F.lit(0)).unionByName(
@@ -239,7 +243,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, calibratio
     if not len(grams):
         return nothing
     grams = grams.sort_values("gram")
-    model = Model(*smooth(grams, _shared_pairs(docs)), np.zeros(3))
+    model = Model(*smooth(grams, _shared_pairs(docs)), np.zeros(2))
     return _calibrated(model, sample.where("part = 1"), known)
 
 
@@ -254,7 +258,7 @@ def _calibrated(model: Model, sample: DataFrame, known: dict[int, int]) -> Model
 
     rows = sample.select("y", of("text").alias("x")).toPandas()
     if rows["y"].nunique() < 2:
-        rows = pd.DataFrame({"y": [0, 1], "x": [[-0.05, -0.5], [0.05, 0.5]]})
+        rows = pd.DataFrame({"y": [0, 1], "x": [[0.0], [2.0]]})
     y = rows["y"].to_numpy()
     weight = np.where(y == 1, known[1] / max(1, (y == 1).sum()), known[0] / max(1, (y == 0).sum()))
     x = np.array(rows["x"].tolist())
