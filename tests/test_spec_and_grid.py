@@ -1,0 +1,97 @@
+"""Options, frequencies, filters and calendar grids."""
+
+from __future__ import annotations
+
+import dataclasses
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.functions import filters as fl
+from tidemark.functions import timegrid as tg
+from tidemark.operators import series
+from tidemark.spec import StoreSpec, fix_frequency, frequency_us
+
+
+def frame(spark, rows, schema="k string, ts string, value double"):
+    return spark.createDataFrame(rows, schema).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+def test_frequencies():
+    assert fix_frequency("h") == "1h" and fix_frequency("30min") == "30min"
+    assert frequency_us("h") == 3_600_000_000 and frequency_us("15min") == 900_000_000 and frequency_us("1D") == 86_400_000_000
+    for bad in ("", "0h", "1parsec", None, 3):
+        with pytest.raises(ValueError):
+            frequency_us(bad)
+
+
+@pytest.mark.parametrize("options", [{"chunk_axis": ("month",)}, {"tz": "Nowhere/Town"}, {"freq": "7h"}, {"freq": "2d"}, {"keys": ("a", "a")}, {"keys": ("ts",)}])
+def test_bad_options_are_refused(options):
+    with pytest.raises(ValueError):
+        StoreSpec(**{"keys": ("k",)} | options)
+
+
+def test_options_are_frozen_and_signed():
+    spec = StoreSpec(("k",))
+    with pytest.raises(dataclasses.FrozenInstanceError):
+        spec.tz = "UTC"
+    assert isinstance(dataclasses.FrozenInstanceError(), AttributeError)
+    assert spec.signature() == StoreSpec(("k",)).signature() != StoreSpec(("k",), tz="UTC").signature()
+
+
+@pytest.mark.parametrize(("at", "tz", "slots"), [
+    ("2024-03-15 00:00:00", "Europe/Paris", 743), ("2021-10-15 00:00:00", "Europe/Paris", 745),
+    ("2024-02-03 00:00:00", "UTC", 696), ("2023-12-31 23:00:00", "Europe/Paris", 744),
+])
+def test_month_grids_have_the_hours_of_their_calendar_month(spark, at, tz, slots):
+    spec = StoreSpec(("k",), tz=tz)
+    out = series.dense_regrid(frame(spark, [("a", at, 1.0)]), spec)
+    assert out.count() == slots and out.where("value = 1").count() == 1
+    assert series.with_chunk(out, spec).select("chunk_index").distinct().count() == 1
+
+
+def test_a_sample_in_the_last_hour_of_an_autumn_month_stays(spark):
+    out = series.dense_regrid(frame(spark, [("a", "2021-10-31 22:00:00", 5.0)]), StoreSpec(("k",)))
+    assert out.where("value = 5").count() == 1
+
+
+def test_day_steps_are_local_midnights(spark):
+    spec = StoreSpec(("k",), freq="1d")
+    out = series.dense_regrid(frame(spark, [("a", "2024-10-01 22:00:00", 5.0)]), spec)
+    local = [r[0] for r in out.select(tg.to_local(F.col("ts"), "Europe/Paris")).collect()]
+    assert len(local) == 31 and all(x.time() == dt.time(0) for x in local)
+    back = series.unpack(series.pack(out, spec), spec).select("k", "ts", "value")
+    assert sorted(back.collect(), key=str) == sorted(out.collect(), key=str)
+
+
+def test_year_chunks_and_off_grid_samples(spark):
+    spec = StoreSpec(("k",), chunk_axis=("year",), tz="UTC")
+    out = series.dense_regrid(frame(spark, [("a", "2023-05-01 01:00:00", 1.0), ("a", "2024-05-01 01:00:07", 2.0)]), spec)
+    assert out.count() == (365 + 366) * 24 and out.where("value is not null").count() == 1
+    assert {r[0] for r in series.with_chunk(out, spec).select("chunk_index").distinct().collect()} == {2023, 2024}
+
+
+def test_local_times(spark):
+    row = spark.range(1).select(
+        tg.to_utc(F.lit("2024-10-27 02:30:00").cast("timestamp_ntz"), "Europe/Paris").alias("ambiguous"),
+        tg.to_utc(F.lit("2024-03-31 02:30:00").cast("timestamp_ntz"), "Europe/Paris").alias("missing"),
+        tg.localise_interval(F.lit("2024-07-01").cast("date"), F.lit("2024-07-02").cast("date"), "Europe/Paris")[1].alias("last"),
+        tg.convert(F.lit("2024-07-01 12:00:00").cast("timestamp_ntz"), "UTC", "America/New_York").alias("there"),
+    ).first()
+    assert row.ambiguous == dt.datetime(2024, 10, 27, 0, 30) and row.missing == dt.datetime(2024, 3, 31, 1, 30)
+    assert row["last"] == dt.datetime(2024, 7, 2, 21, 59, 59, 999999) and row.there == dt.datetime(2024, 7, 1, 8)
+
+
+def test_filters(spark):
+    df = spark.createDataFrame([(1, "ab"), (2, "bc"), (3, None)], "n int, s string")
+    fields = ["n", "s"]
+    for filters, want in [({"n": 1}, [1]), ({"n__in": [1, 3]}, [1, 3]), ({"n__gt": 1, "n__lte": 2}, [2]), ({"n__range": (2, 3)}, [2, 3]), ({"s": None}, [3]),
+                          ({"s__isnull": False, "s__contains": "b"}, [1, 2]), ({"s__startswith": "b"}, [2]), ({"s__endswith": "b"}, [1]), ({}, [1, 2, 3])]:
+        assert sorted(r.n for r in fl.where(df, filters, fields).collect()) == want
+    with pytest.raises(ValueError):
+        fl.condition({"z": 1}, fields)
+    with pytest.raises(ValueError):
+        fl.condition({"n__near": 1}, fields)
+    with pytest.raises(ValueError):
+        fl.require_all({"n": 1}, fields)

@@ -62,7 +62,8 @@ class SnapshotTable:
         df = df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in self.schema])
         if self.partition:
             # The partition column stays in the files as well, so that a partition can be read by its own path.
-            df.withColumn("_part", df[self.partition]).repartition("_part").write.mode("overwrite").partitionBy("_part").parquet(f"{self.path}/{target}")
+            # Rebalanced, not hash-partitioned: adaptive execution splits a partition of many series over several tasks and files.
+            df.withColumn("_part", df[self.partition]).hint("rebalance", "_part").write.mode("overwrite").partitionBy("_part").parquet(f"{self.path}/{target}")
             for gone in replaced or ():
                 parts.pop(str(gone), None)
             for status in self._fs.listStatus(self._path(target)):
