@@ -3,8 +3,8 @@
 A page is read into its sequence of text blocks, each with its root-to-leaf path of block-level tags. For each path the
 text length, punctuation and linked text are summed over the page. A path's length ratio (characters a block) and
 punctuation ratio (marks a block) are smoothed over the neighbouring blocks with a Gaussian, fused into one score, and
-paths whose score passes a threshold taken from the scores' spread are content. After Wu et al., "Content extraction
-from web pages via tag-path features" (2013). A path inside ``article`` or ``main`` has that much in its favour that only
+paths whose score passes a threshold taken from the scores' spread are content, but for paths that only their neighbours
+lift there; headings may be lifted. After Wu et al., "Content extraction from web pages via tag-path features" (2013). A path inside ``article`` or ``main`` has that much in its favour that only
 link lists fall out of it. Elements that are never content (navigation, headers, footers, asides, forms, scripts, ...,
 and those whose class, id or role names an advert, notice, sidebar, comment section and the like) are not read at all.
 
@@ -48,8 +48,9 @@ _ENDS_OWN = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 _SCOPES = {"html", "body", "article", "main", "div", "section", "table", "ul", "ol", "dl", "td", "th", "tr", "blockquote", "figure"}
 _SPACE = re.compile(r"\s+")
 _MARKS = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
-#: Share of the scores' standard deviation that a path must reach, and the Gaussian's weights.
-THRESHOLD = 0.5
+#: Share of the scores' standard deviation that a path must reach, the part of it before smoothing, and the Gaussian's weights.
+THRESHOLD, OWN = 0.5, 0.05
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _WEIGHTS = [math.exp(-(d * d) / 2.0) for d in range(-2, 3)]
 
 
@@ -179,9 +180,10 @@ def content(found: list[tuple[str, str, int]]) -> list[bool]:
     home = {p: not _HOME.isdisjoint(p.split("/")) for p in sums}
     has_home = sum(s[1] for p, s in sums.items() if home[p]) > 0
     chosen = {}
-    for path, (_, plain, _, whole) in sums.items():
+    for path, (n, plain, marks_, whole) in sums.items():
         links = plain < 0.4 * whole
-        chosen[path] = not links and (home[path] if has_home else scores[path] >= limit)
+        lifted = plain / n * (0.1 + marks_ / n) < OWN * limit and path.rpartition("/")[2] not in _HEADINGS
+        chosen[path] = not links and (home[path] if has_home else scores[path] >= limit and not lifted)
     return [chosen[p] for p, _, _ in found]
 
 
