@@ -1,0 +1,94 @@
+"""The multiset hash: order does not matter, units go in and out, and likeness follows what texts share."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.llm import fingerprints as fp
+
+SCHEMA = "doc_id long, text string"
+
+
+def of(spark, *texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), SCHEMA).select("doc_id", fp.fingerprint(F.col("text")).alias("v")).collect()
+    return [r.v for r in sorted(rows, key=lambda r: r.doc_id)]
+
+
+def test_order_does_not_matter_but_number_does(spark):
+    a, b, c, d = of(spark, "one\ntwo\nthree", "three\none\n\ntwo", "one\ntwo\nthree\nthree", "one two three")
+    assert a == b != c and a != d
+
+
+def test_units_go_in_and_out(spark):
+    a, b, both, none, null = of(spark, "one\ntwo", "three. four! five", "three. four! five\none\ntwo", "", None)
+    row = spark.range(1).select(
+        fp.combine(F.lit(a), F.lit(b)).alias("sum"), fp.remove(F.lit(both), F.lit(b)).alias("rest"), fp.remove(F.lit(a), F.lit(a)).alias("zero")).first()
+    assert row["sum"] == both and row["rest"] == a and row["zero"] == none == null == [0] * 45
+
+
+def likeness(spark, x, y):
+    row = spark.createDataFrame([(x, y)], "x string, y string").select(fp.fingerprint(F.col("x")).alias("a"), fp.fingerprint(F.col("y")).alias("b"))
+    row = row.select("a", "b", fp._signs(F.col("a")).alias("s"), fp._signs(F.col("b")).alias("t"))
+    return row.select(fp.likeness(F.col("s"), F.col("t"), F.col("a") == F.col("b"))).first()[0]
+
+
+def test_likeness_follows_the_shared_units(spark):
+    rng = random.Random(1)
+    lines = [f"line {rng.random()}" for _ in range(120)]
+    assert likeness(spark, "\n".join(lines), "\n".join(reversed(lines))) == 1.0
+    assert likeness(spark, "", "") == 1.0 and likeness(spark, "", "a") == 0.0
+    for shared in (0, 30, 60, 90):
+        other = lines[:shared] + [f"other {rng.random()}" for _ in range(120 - shared)]
+        assert abs(likeness(spark, "\n".join(lines), "\n".join(other)) - shared / 120) < 0.3
+
+
+def brute_edited(docs):
+    ids = sorted(docs, key=lambda r: r[0])
+    out = {}
+    for i, (doc_id, text) in enumerate(ids):
+        own, nxt = text or "", ids[(i + 1) % len(ids)][1] or ""
+        half = len(own) // 2
+        out[doc_id] = (len(own), hashlib.sha256((own[: len(own) - half] + nxt[:half]).encode()).hexdigest(), own, nxt)
+    return out
+
+
+@pytest.mark.parametrize("bins", [1, 3, 50])
+def test_every_document_meets_the_next_one(spark, bins):
+    rng = random.Random(2)
+    docs = [(rng.randrange(-(10**12), 10**12), rng.choice(["", None, "é" * rng.randint(1, 50), "x\ny. z " * rng.randint(1, 40), "😀a"])) for _ in range(60)]
+    rows = spark.createDataFrame(docs, SCHEMA).withColumns({"bin": F.lit("clash"), "next_text": F.lit(1), "head": F.lit(0)})
+    want = brute_edited(docs)
+    got = fp.with_next(rows, bins).collect()
+    assert len(got) == 60 and all((r.text, r.next_text) == (want[r.doc_id][2], want[r.doc_id][3]) for r in got)
+
+
+def test_query(spark, sf):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    want = brute_edited(docs)
+    got = fp.op4_fingerprints(spark, sf).collect()
+    assert len(got) == len(docs)
+    by_text, texts = {}, dict(docs)
+    for r in got:
+        assert (r.n_chars, r.edited_sha256) == want[r.doc_id][:2]
+        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+        assert by_text.setdefault(texts[r.doc_id] or "", r.fingerprint) == r.fingerprint
+    assert len(set(by_text.values())) == len({frozenset(__import__("collections").Counter(u for u in __import__("re").split(fp.UNIT, t) if u).items()) for t in by_text})
+
+
+def test_nulls_repeats_one_row_and_no_rows(spark):
+    one = spark.createDataFrame([(5, "abcd")], SCHEMA)
+    r = fp.compare_edited(one).first()
+    assert r.edited_sha256 == hashlib.sha256(b"abab").hexdigest() and r.near_next == 1.0
+    rows = spark.createDataFrame([(None, "n"), (1, "b"), (1, "a"), (2, None)], SCHEMA)
+    got = {(r.doc_id, r.text): r.next_text for r in fp.with_next(rows).collect()}
+    assert got == {(None, "n"): "a", (1, "a"): "b", (1, "b"): "", (2, ""): "n"}
+    assert fp.compare_edited(one.limit(0)).isEmpty()
+
+
+def test_no_python_on_the_main_path(spark, sf):
+    plan = fp.op4_fingerprints(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan

@@ -1,0 +1,108 @@
+"""Packing: the differencing method, and every id in exactly one piece."""
+
+from __future__ import annotations
+
+import random
+from collections import defaultdict
+
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from tests.llm import brute
+from tidemark.llm import packing
+
+SCHEMA = "doc_id long, text string"
+
+
+def test_differencing_known_cases():
+    def sums(sizes, n):
+        return sorted(sum(sizes[i] for i in w) for w in packing.difference(sizes, n))
+
+    assert sums([8, 7, 6, 5, 4], 2) == [14, 16]  # as Karmarkar and Karp's example
+    assert sums([4, 5, 6, 7, 8], 3) == [8, 11, 11]
+    assert sums([5], 1) == [5] and packing.difference([], 3) == [] and packing.windows([]) == []
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_windows_are_near_equal_and_hold_everything(seed):
+    rng = random.Random(seed)
+    sizes = [rng.randint(1, 256) for _ in range(rng.randint(2, 900))]
+    got = packing.windows(sizes)
+    assert sorted(i for w in got for i in w) == list(range(len(sizes)))
+    own = [sum(sizes[i] for i in w) for w in got]
+    assert max(own) <= 1024 and len(got) <= -(-sum(sizes) // 1024) + 1
+    if len(sizes) > 200:
+        assert max(own) - min(own) <= 8
+
+
+def test_window_count_rises_when_capacity_is_exceeded():
+    assert len(packing.windows([6, 6, 6], 10)) == 3
+    assert len(packing.windows([600, 600, 600, 100], 1024)) == 3
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    return t
+
+
+def test_both_ways_of_encoding_agree(tokenizer):
+    rng = random.Random(1)
+    texts = ["", " ", "\n\n  x\t\ty  ", "don't I'll we've THEY'RE", "<|endoftext|> x", "日本語 текст é😀‍", "a" * 3000, "  " * 700 + "z", "x y z 　", "1234 5,6.7", "\r\n\r\n a"]
+    texts += ["".join(rng.choice("ab é\n\t'.1😀 ") for _ in range(200)) for _ in range(60)]
+    encoder = packing.encoder(None)
+    assert encoder.ranks is not None
+    for text, got in zip(texts, encoder.encode(texts), strict=True):
+        want = tokenizer.encode(text, add_special_tokens=False).ids
+        assert [int.from_bytes(got[i : i + 4], "little") for i in range(0, len(got), 4)] == want
+        assert encoder._whole(text) == got
+
+
+def verify(rows, docs, tokenizer, capacity: int = 1024):
+    """Every document's ids lie in its pieces; sequences have no gaps and do not exceed the capacity. Returns the padding."""
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for r in rows:
+        by_doc[r.doc_id].append(r)
+        by_sequence[r.sequence_id].append(r)
+    assert set(by_doc) == {i for i, _ in docs}
+    for doc_id, text in docs:
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+        at = 0
+        for r in sorted(by_doc[doc_id], key=lambda r: r.start):
+            assert r.start == at and r.length > 0 and r.doc_tokens == len(ids)
+            assert r.ids_crc32 == brute.crc_of_ids(ids[at : at + r.length])
+            at += r.length
+        assert at == len(ids)
+    used = 0
+    for parts in by_sequence.values():
+        at = 0
+        for r in sorted(parts, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= capacity
+        used += at
+    return 1 - used / (capacity * len(by_sequence))
+
+
+def test_every_id_lies_in_one_piece(spark, tokenizer):
+    rng = random.Random(2)
+    docs = [(i, " ".join(rng.choice(["alpha", "beta", "γάμμα", "x", "\n"]) for _ in range(rng.choice([0, 1, 5, 300, 3000])))) for i in range(60)] + [(100, None), (101, ""), (102, "w" * 100_000)]
+    df = spark.createDataFrame(docs, SCHEMA).withColumns({"start": F.lit("clash"), "offset": F.lit(1), "length": F.lit(2)}).repartition(3)
+    verify(packing.pack(df).collect(), docs, tokenizer)
+    verify(packing.pack(df, capacity=300, group=7).collect(), docs, tokenizer, 300)
+
+
+def test_nulls_repeats_and_no_rows(spark):
+    df = spark.createDataFrame([(None, "a"), (1, "b"), (1, "b"), (2, None)], SCHEMA).coalesce(1)
+    rows = packing.pack(df).collect()
+    assert sorted(((r.doc_id, r.length) for r in rows), key=str) == sorted([(None, 2), (1, 2), (1, 2), (2, 1)], key=str)
+    assert len({(r.sequence_id, r.offset) for r in rows}) == 4 and {r.doc_tokens for r in rows} == {1, 2}
+    assert packing.pack(df.limit(0)).isEmpty()
+
+
+def test_query(spark, large, tokenizer):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{large}/documents.parquet").collect()]
+    assert verify(packing.op10_packing(spark, large).collect(), docs, tokenizer) < 0.02

@@ -1,0 +1,132 @@
+"""Fingerprints, Golay keys, components and near-duplicates against brute force."""
+
+from __future__ import annotations
+
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tests.llm import brute
+from tidemark.llm import simhash
+from tidemark.llm.components import connected_components
+
+SCHEMA = "doc_id long, text string"
+
+
+def test_fingerprints_are_those_of_the_definition():
+    rng = random.Random(1)
+    texts = ["", None, "One", "one  TWO", "a b c", "É é É Ω word word word", "x" * 5000, "tab\tnew\nline\x0bvt\x0cff\rcr no break  wide"]
+    texts += [" ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.randint(1, 400))) for _ in range(30)]
+    texts.append(" ".join(rng.choice("abc") for _ in range(20_000)))
+    for t in texts:
+        assert simhash.fingerprint(None if t is None else t.encode()) == brute.simhash(t)
+    assert simhash.fingerprint(b"a b c d e f g", 5) == brute.simhash("a b c d e f g", 5)
+
+
+def test_golay_code_decodes_every_vector():
+    code = simhash.golay()
+    v = np.random.default_rng(0).integers(0, 1 << 23, 3000)
+    nearest = code.nearest(v)
+    # A codeword is its index and, below it, the eleven bits that make its syndrome zero.
+    words = np.arange(4096) << 11
+    low = code._syndrome(words)
+    codewords = words | low
+    assert (code._syndrome(codewords) == 0).all()
+    distance = np.bitwise_count(v[:, None] ^ codewords[None, :])
+    assert (distance.min(axis=1) <= 3).all() and (distance[np.arange(len(v)), nearest] == distance.min(axis=1)).all()
+    at, index = code.near(v)
+    found = [set() for _ in v]
+    for a, i in zip(at, index, strict=True):
+        found[a].add(int(i))
+    assert all(f == set(np.nonzero(d <= 4)[0]) for f, d in zip(found, distance, strict=True))
+
+
+@pytest.mark.parametrize("errors", [0, 1, 2])
+def test_fingerprints_within_two_bits_share_a_key(errors):
+    rng = np.random.default_rng(errors)
+    a = rng.integers(0, 1 << 63, 2000, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 2000, dtype=np.uint64)
+    b = a.copy()
+    for _ in range(errors):
+        b ^= np.uint64(1) << rng.integers(0, 64, len(b), dtype=np.uint64)
+    filed, asked = simhash.segment_keys(a.view(np.int64), False), simhash.segment_keys(b.view(np.int64), True)
+    filed = set(zip(filed[0].tolist(), filed[1].tolist(), strict=True))
+    hit = {at for at, key in zip(asked[0].tolist(), asked[1].tolist(), strict=True) if (at, key) in filed}
+    assert len(hit) == len(a)
+
+
+@pytest.mark.parametrize("dense", [2, 32])
+def test_links_connect_what_brute_force_connects(spark, dense):
+    rng = np.random.default_rng(7)
+    fps = set()
+    for centre in rng.integers(-(1 << 63), (1 << 63) - 1, 40):
+        for _ in range(6):
+            flips = np.bitwise_or.reduce(np.int64(1) << rng.integers(0, 63, rng.integers(0, 4)), initial=np.int64(0))
+            fps.add(int(centre ^ flips))
+    fps |= {0, 1, 3, -1}
+    rows = spark.createDataFrame([(x,) for x in fps], "fp long")
+    edges = [(r.fp_a, r.fp_b) for r in simhash.fingerprint_links(rows, dense).collect()]
+    assert all(((a ^ b) & (1 << 64) - 1).bit_count() <= 2 for a, b in edges)
+    number = {x: i for i, x in enumerate(sorted(fps))}
+    got = brute.components([(number[a], number[b]) for a, b in edges], list(number.values()))
+    want = brute.near_groups({i: x & (1 << 64) - 1 for x, i in number.items()})
+    assert got == want
+
+
+def test_components(spark):
+    rng = random.Random(3)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(0, i) for i in range(1, 60)] + [(rng.randint(200, 400), rng.randint(200, 400)) for _ in range(120)] + [(5, 5), (7, 0), (0, 7)]
+    rows = spark.createDataFrame([*edges, (None, 3), (3, None)], "a long, b long")
+    got = {r.node: r.component for r in connected_components(rows).collect()}
+    want = brute.components(edges, sorted({x for e in edges for x in e if e[0] != e[1]}))
+    assert got == want
+    assert connected_components(rows.limit(0)).isEmpty()
+
+
+def variants(n: int, seed: int) -> list[tuple[int, str]]:
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(500)]
+    out = []
+    for i in range(n):
+        text = [rng.choice(words) for _ in range(300)]
+        for _ in range(3):
+            copy = text[:]
+            for _ in range(rng.choice((0, 0, 1, 2))):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            out.append((len(out) * 3 + 1, " ".join(copy)))
+    return out
+
+
+def test_near_duplicates_agree_with_brute_force(spark):
+    docs = variants(40, 5) + [(2, None), (5, ""), (8, "one"), (11, "ONE"), (14, " \t "), (17, "two words")]
+    rows = spark.createDataFrame(docs, SCHEMA).withColumns({"fp": F.lit("clash"), "component_id": F.lit(9), "key": F.lit(1)})
+    got = {r.doc_id: (r.fp & (1 << 64) - 1, r.component_id) for r in simhash.near_duplicates(rows).collect()}
+    fps = {i: brute.simhash(t) for i, t in docs}
+    groups = brute.near_groups(fps)
+    assert got == {i: (fps[i], groups[i]) for i, _ in docs}
+    assert any(groups[i] != i and fps[i] != fps[groups[i]] for i in fps)  # links of different fingerprints are among them
+
+
+def test_nulls_repeats_and_no_rows(spark):
+    rows = spark.createDataFrame([(None, "a b c d"), (3, "a b c d"), (3, "a b c d"), (1, "a b c d"), (None, "quite another text")], SCHEMA)
+    got = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(rows).collect()), key=str)
+    assert got == sorted([(None, 1), (3, 1), (3, 1), (1, 1), (None, None)], key=str)
+    assert simhash.near_duplicates(rows.limit(0)).isEmpty()
+
+
+def test_one_of_each_group_stays(spark):
+    docs = [(1, "a b c d e", "x"), (2, "a b c d e", "y"), (4, "something else here", "z"), (4, "something else here", "z"), (None, "a b c d e", "n")]
+    rows = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    kept = simhash.keep_one(rows)
+    assert kept.columns == rows.columns
+    assert sorted(((r.doc_id, r.source) for r in kept.collect()), key=str) == sorted([(1, "x"), (4, "z"), (None, "n")], key=str)
+    assert simhash.keep_one(rows.limit(0)).isEmpty()
+
+
+def test_query(spark, sf):
+    got = simhash.op1_simhash(spark, sf).collect()
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    fps = {i: brute.simhash(t) for i, t in docs.items()}
+    groups = brute.near_groups(fps)
+    assert sorted((r.doc_id, r.fingerprint, r.component_id) for r in got) == sorted((i, f"{fps[i]:016x}", groups[i]) for i in docs)
