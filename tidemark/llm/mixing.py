@@ -89,53 +89,67 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
-    """Rows ``(doc_id, size, source, source_size, target, taken)``, one for each row of ``docs(doc_id, text, source)``."""
-    rows = docs.select(
-        "doc_id", F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size"),
-        F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, BITS // 4), 16, 10)
-        .cast("long").alias("h"),
-    ).withColumn("key", _key(F.col("source")))
-    rows = cut(rows)
+def _hash(doc_id: Column) -> Column:
+    digits = F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, BITS // 4)
+    return F.conv(digits, 16, 10).cast("long")
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size"), _hash(F.col("doc_id")).alias("h"))
+    return cut(rows.withColumn("key", _key(F.col("source"))))
+
+
+def _plans(rows: DataFrame, share: float, most: float, weights: tuple[float, ...]) -> DataFrame:
+    """What each source's documents need to know: ``(mix_key, mix_plan)``, one row for each source."""
     sizes = rows.groupBy("source", "key").agg(F.sum("size").alias("source_size"))
     goal = cut(targets(sizes, share, most, weights))
     goal = goal.withColumn("base", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     goal = goal.withColumn("rest", F.floor(F.col("target") - F.col("base") * F.col("source_size") + 0.5).cast("long"))
     edge = _thresholds(rows.where("size > 0").select("key", "h", "size"), goal.where("rest > 0").select("key", "rest"))
     edge = edge.select(F.col("key").alias("edge_key"), F.col("h").alias("edge"), "below", "within")
-    plan = goal.join(edge, F.col("key") == F.col("edge_key"), "left").select(
-        F.col("key").alias("plan_key"), "source_size", "target", "base", "rest", "edge", "below", "within"
-    )
+    joined = goal.join(edge, F.col("key") == F.col("edge_key"), "left")
+    return _small(cut(joined.select(F.col("key").alias("mix_key"), F.struct("source_size", "target", "base", "rest", "edge", "below", "within").alias("mix_plan"))))
+
+
+def _taken(size: Column, h: Column, plan: Column) -> Column:
+    """Words taken of a document: whole copies, and its share of the source's rest."""
     extra = (
-        F.when(F.col("rest") <= 0, F.lit(0))
-        .when(F.col("edge").isNull() | (F.col("h") < F.col("edge")), F.col("size"))
-        .when(F.col("h") == F.col("edge"), F.expr("size * (rest - below) div within"))
+        F.when(plan["rest"] <= 0, F.lit(0))
+        .when(plan["edge"].isNull() | (h < plan["edge"]), size)
+        .when(h == plan["edge"], F.call_function("div", size * (plan["rest"] - plan["below"]), plan["within"]))
         .otherwise(F.lit(0))
     )
-    joined = rows.join(_small(cut(plan)), F.col("key") == F.col("plan_key"))
-    return joined.select("doc_id", "size", "source", "source_size", "target", (F.col("base") * F.col("size") + extra).cast("long").alias("taken"))
+    return (plan["base"] * size + extra).cast("long")
+
+
+def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
+    """Rows ``(doc_id, size, source, source_size, target, taken)``, one for each row of ``docs(doc_id, text, source)``."""
+    rows = _rows(docs)
+    joined = rows.join(_plans(rows, share, most, weights), F.col("key") == F.col("mix_key"))
+    return joined.select("doc_id", "size", "source", "mix_plan.source_size", "mix_plan.target", _taken(F.col("size"), F.col("h"), F.col("mix_plan")).alias("taken"))
 
 
 def apply_mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """The mixed corpus, in the columns of ``docs``: a document taken more than once is as many rows, and the last copy of
-    one taken in part ends after the words taken. Documents of which nothing is taken go."""
-    taken = mix(docs, share, most, weights).groupBy(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("size").alias("mix_size")).agg(
-        F.max("taken").alias("mix_taken")
-    ).where("mix_taken > 0")
-    columns = docs.columns
-    own = docs.withColumn("mix_words", words(F.col("text")))
-    joined = own.join(
-        taken,
-        own["doc_id"].eqNullSafe(F.col("mix_id")) & F.col("source").cast("string").eqNullSafe(F.col("mix_source")) & (F.col("mix_words") == F.col("mix_size")),
-    )
-    whole, rest = F.expr("mix_taken div mix_size"), F.expr("mix_taken % mix_size")
+    one taken in part ends after the words taken. Documents of which nothing is taken go. Texts are not shuffled: each row
+    meets its source's plan."""
+    plans, columns = _plans(_rows(docs), share, most, weights), docs.columns
+    own = F.struct(*[F.col(c) for c in columns]).alias("mix_doc")
+    rows = docs.select(own, _key(F.col("source").cast("string")).alias("key"), words(F.col("text")).alias("size"), _hash(F.col("doc_id")).alias("h"))
+    taken = rows.join(plans, F.col("key") == F.col("mix_key")).select("mix_doc", "size", _taken(F.col("size"), F.col("h"), F.col("mix_plan")).alias("taken")).where("taken > 0")
+    whole, rest = F.expr("taken div size"), F.expr("taken % size")
     kept = F.concat(F.array_repeat(F.lit(-1).cast("long"), whole.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
-    copies = joined.withColumn("mix_keep", F.explode(kept))
-    head = F.expr("array_join(slice(regexp_extract_all(text, '[\\\\x20\\\\x09-\\\\x0D]*[^\\\\x20\\\\x09-\\\\x0D]+', 0), 1, cast(mix_keep as int)), '')")
-    changed = {"text": F.when(F.col("mix_keep") < 0, F.col("text")).otherwise(head)}
-    if "n_chars" in columns:
-        changed["n_chars"] = F.when(F.col("mix_keep") < 0, F.col("n_chars")).otherwise(F.length(head)).cast(docs.schema["n_chars"].dataType)
-    return copies.withColumns(changed).select(*columns)
+    copies = taken.select("mix_doc", F.explode(kept).alias("keep"))
+    head = F.expr("array_join(slice(regexp_extract_all(mix_doc.text, '[\\\\x20\\\\x09-\\\\x0D]*[^\\\\x20\\\\x09-\\\\x0D]+', 0), 1, cast(keep as int)), '')")
+    changed = {"text": head, "n_chars": F.length(head).cast("long")}
+
+    def column(c: str) -> Column:
+        old = F.col("mix_doc")[c]
+        if c not in changed:
+            return old.alias(c)
+        return F.when(F.col("keep") < 0, old).otherwise(changed[c].cast(docs.schema[c].dataType)).alias(c)
+
+    return copies.select(*map(column, columns))
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
