@@ -77,7 +77,7 @@ def innermost(points: DataFrame, intervals: DataFrame, bins: int | None = None)
     rows = cut(rows.repartitionByRange(bins, "k").withColumn("bin", F.spark_partition_id()))
     last = rows.where("kind = 0").groupBy("bin").agg(F.max_by("top", "k").alias("top"))
     earlier = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    size = max(bins, rows.rdd.getNumPartitions())
+    size = (rows.agg(F.max("bin")).first()[0] or 0) + 1
     carry = spark.range(0, size, 1, 1).select(F.col("id").cast("int").alias("carry_bin")).join(last, F.col("carry_bin") == F.col("bin"), "left")
     carry = carry.select("carry_bin", F.last("top", ignorenulls=True).over(earlier.orderBy("carry_bin")).alias("before"))
     swept = Window.partitionBy("bin").orderBy("k", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
