@@ -1,4 +1,8 @@
-"""A store of series under the user's own keys: rows ``(keys..., ts, value)``."""
+"""A store of series under the user's own keys: rows ``(keys..., ts, value)``.
+
+Series are dealt into partitions by a hash of their keys: a write reads and rewrites only the partition of its series, and
+a read that names all keys reads only that one.
+"""
 
 from __future__ import annotations
 
@@ -10,19 +14,28 @@ from pyspark.sql import types as T
 
 from tidemark.functions import filters as fl
 from tidemark.operators import series
-from tidemark.sources.snapshot import SnapshotTable
+from tidemark.sources.snapshot import BUCKETS, SnapshotTable, bucket, buckets_of
 
 
 class KeyedStore:
-    def __init__(self, spark: SparkSession, path: str, keys: Mapping[str, str]) -> None:
-        self.spark, self.keys = spark, list(keys)
-        text = ", ".join([*(f"{k} {v}" for k, v in keys.items()), "ts timestamp_ntz", "value double"])
-        self.kinds = dict(keys)
-        self.table = SnapshotTable(spark, path, T._parse_datatype_string(text), signature=text)
+    def __init__(self, spark: SparkSession, path: str, keys: Mapping[str, str], buckets: int = BUCKETS) -> None:
+        self.spark, self.keys, self.kinds, self.buckets = spark, list(keys), dict(keys), buckets
+        text = ", ".join([*(f"{k} {v}" for k, v in keys.items()), "ts timestamp_ntz", "value double", "bucket int"])
+        self.table = SnapshotTable(spark, path, T._parse_datatype_string(text), "bucket", f"{text}; {buckets}")
+
+    def _own(self, attrs: Mapping[str, object]) -> DataFrame:
+        return self.spark.range(1).select(*[F.lit(attrs[k]).cast(self.kinds[k]).alias(k) for k in self.keys])
+
+    def _read(self, only: list[int] | None = None) -> DataFrame:
+        return self.table.read(only).drop("bucket")
+
+    def _write(self, df: DataFrame, replaced: list[int] | None) -> None:
+        self.table.write(df.withColumn("bucket", bucket(self.keys, self.buckets)), replaced)
 
     def get(self, attrs: Mapping[str, object], flat: bool = False) -> DataFrame:
         """Rows of the series that match; with ``flat`` exactly one series, without its keys, else ``ValueError``."""
-        found = fl.where(self.table.read(), attrs, self.keys)
+        only = buckets_of(self._own(attrs), self.keys, self.buckets) if set(attrs) == set(self.keys) else None
+        found = fl.where(self._read(only), attrs, self.keys)
         if not flat:
             return found
         if found.select(*self.keys).distinct().limit(2).count() != 1:
@@ -41,14 +54,17 @@ class KeyedStore:
         if new.where("value is not null").limit(1).isEmpty():
             return
         match = fl.condition(attrs, self.keys)
-        everything = self.table.read()
+        touched = buckets_of(self._own(attrs), self.keys, self.buckets)
+        everything = self._read(touched)
         old, rest = everything.where(match), everything.where(~F.coalesce(match, F.lit(False)))
         if not old.limit(1).isEmpty():
             if not (update or replace):
                 raise ValueError("the series is there already")
             if update:
                 new = series.overlay([new, old], self.keys)
-        self.table.write(rest.unionByName(new))
+        self._write(rest.unionByName(new), touched)
 
     def clear(self, filters: Mapping[str, object] | None = None) -> None:
-        self.table.write(self.table.read().where(~F.coalesce(fl.condition(filters, self.keys), F.lit(False))))
+        match = F.coalesce(fl.condition(filters, self.keys), F.lit(False))
+        touched = buckets_of(self._read().where(match), self.keys, self.buckets)
+        self._write(self._read(touched).where(~match), touched)

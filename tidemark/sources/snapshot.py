@@ -10,9 +10,24 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Partitions of a table that is dealt out by a hash of its keys.
+BUCKETS = 64
+
+
+def bucket(keys: Iterable[str], buckets: int = BUCKETS) -> Column:
+    """The partition of a series: a hash of its keys."""
+    return F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(buckets)).cast("int")
+
+
+def buckets_of(df: DataFrame, keys: Iterable[str], buckets: int = BUCKETS) -> list[int]:
+    """The partitions that the series of ``df`` lie in: at most ``buckets``."""
+    return [r[0] for r in df.select(bucket(keys, buckets).alias("bucket")).distinct().collect()]
+
+
 
 class SnapshotTable:
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType, partition: str | None = None, signature: str = "") -> None:

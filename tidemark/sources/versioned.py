@@ -1,4 +1,8 @@
-"""A key-value store of series with versions: rows ``(client_id, prm, attributes..., version, ts, value)``."""
+"""A key-value store of series with versions: rows ``(client_id, prm, attributes..., version, ts, value)``.
+
+Series are dealt into partitions by a hash of client and prm: a write reads and rewrites only the partitions of its series,
+and a read that names its prms reads only those.
+"""
 
 from __future__ import annotations
 
@@ -10,20 +14,35 @@ from pyspark.sql import types as T
 
 from tidemark.functions import filters as fl
 from tidemark.operators import gaps, series, states
-from tidemark.sources.snapshot import SnapshotTable
+from tidemark.sources.snapshot import BUCKETS, SnapshotTable, bucket, buckets_of
 from tidemark.spec import frequency_us
 
 
 class VersionedStore:
-    def __init__(self, spark: SparkSession, path: str, attributes: Mapping[str, str] | None = None) -> None:
-        self.spark, self.attributes = spark, dict(attributes or {})
+    KEYS = ("client_id", "prm")
+
+    def __init__(self, spark: SparkSession, path: str, attributes: Mapping[str, str] | None = None, buckets: int = BUCKETS) -> None:
+        self.spark, self.attributes, self.buckets = spark, dict(attributes or {}), buckets
         self.fields = ["client_id", "prm", *self.attributes, "version"]
         kinds = ", ".join(f"{k} {v}" for k, v in self.attributes.items())
-        text = "client_id int, prm string, " + (kinds + ", " if kinds else "") + "version int, ts timestamp_ntz, value double"
-        self.table = SnapshotTable(spark, path, T._parse_datatype_string(text), signature=text)
+        text = "client_id int, prm string, " + (kinds + ", " if kinds else "") + "version int, ts timestamp_ntz, value double, bucket int"
+        self.table = SnapshotTable(spark, path, T._parse_datatype_string(text), "bucket", f"{text}; {buckets}")
+
+    def _read(self, only: list[int] | None = None) -> DataFrame:
+        return self.table.read(only).drop("bucket")
+
+    def _write(self, df: DataFrame, replaced: list[int]) -> None:
+        self.table.write(df.withColumn("bucket", bucket(self.KEYS, self.buckets)), replaced)
+
+    def _touched(self, df: DataFrame) -> list[int]:
+        return buckets_of(df, self.KEYS, self.buckets)
+
+    def _named(self, client_id: int, prms: Sequence[str]) -> list[int]:
+        return self._touched(self.spark.createDataFrame([(client_id, p) for p in prms], "client_id int, prm string"))
 
     def _rows(self, client_id: int | None, filters: Mapping | None, prms: Sequence[str] | None = None) -> DataFrame:
-        df = fl.where(self.table.read(), filters, self.fields)
+        only = self._named(client_id, prms) if client_id is not None and prms is not None else None
+        df = fl.where(self._read(only), filters, self.fields)
         if client_id is not None:
             df = df.where(F.col("client_id") == client_id)
         return df if prms is None else df.where(F.col("prm").isin(list(prms)))
@@ -52,23 +71,26 @@ class VersionedStore:
         if versioning and "prm" not in versioning_by:
             raise ValueError("versioning_by must hold prm")
         own = ["prm", *self.attributes]
-        new = series.ingest(df, own).withColumn("client_id", F.lit(client_id))
+        new = series.ingest(df, own).withColumn("client_id", F.lit(client_id).cast("int"))
         live = new.where("value is not null").select(*own).distinct()
         new = new.join(live, own, "left_semi")
-        old = self.table.read()
+        touched = self._touched(live.withColumn("client_id", F.lit(client_id).cast("int")))
+        if not touched:
+            return
+        old = self._read(touched)
         mine = old.where(F.col("client_id") == client_id)
         if versioning:
             by = [c for c in own if c in versioning_by]
             nxt = states.next_versions(mine, by)
             new = new.join(nxt, by, "left").withColumn("version", F.coalesce("next_version", F.lit(0))).drop("next_version")
-            return self.table.write(old.unionByName(new))
+            return self._write(old.unionByName(new), touched)
         several = mine.join(live, own, "left_semi").select(*own, "version").distinct().groupBy(*own).count().where("count > 1")
         if not several.limit(1).isEmpty():
             raise ValueError("a series with several versions cannot be set without a version")
         kept_version = mine.select(*own, "version").distinct()
         new = new.join(kept_version, own, "left").withColumn("version", F.coalesce("version", F.lit(0)))
         rest = old.join(live.withColumn("client_id", F.lit(client_id)), ["client_id", *own], "left_anti")
-        self.table.write(rest.unionByName(new))
+        self._write(rest.unionByName(new), touched)
 
     def set(self, prm: str, df: DataFrame, client_id: int, versioning: bool = False, versioning_by: Sequence[str] = ("prm",), attributes: Mapping | None = None) -> None:
         if not isinstance(df, DataFrame):
@@ -80,13 +102,16 @@ class VersionedStore:
         gone = F.col("prm").isin(list(prms)) & (F.col("client_id") == client_id) & fl.condition(filters, self.fields)
         if version is not None:
             gone = gone & (F.col("version") == version)
-        self.table.write(self.table.read().where(~F.coalesce(gone, F.lit(False))))
+        self._remove(gone, self._named(client_id, prms))
 
     def clear_all(self, client_id: int | None = None, filters: Mapping | None = None) -> None:
         gone = fl.condition(filters, self.fields)
         if client_id is not None:
             gone = gone & (F.col("client_id") == client_id)
-        self.table.write(self.table.read().where(~F.coalesce(gone, F.lit(False))))
+        self._remove(gone, self._touched(self._read().where(gone)))
+
+    def _remove(self, gone, touched: list[int]) -> None:
+        self._write(self._read(touched).where(~F.coalesce(gone, F.lit(False))), touched)
 
     def count(self, client_id: int, filters: Mapping | None = None) -> int:
         """Stored series, each version counted."""
