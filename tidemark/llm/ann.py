@@ -5,8 +5,9 @@ sign: a code of one bit a dimension, with two scalars, the vector's distance fro
 with the rotated vector. From a code and a query follow an estimate of the squared distance and a bound of its error. In
 a block of codes, a vector is reranked by its exact distance if its lower bound does not exceed the query's k-th best.
 
-Each block of queries (its size is fixed, so what is broadcast is bounded) passes once over all codes. A task keeps k
-rows of each query; the k best of all tasks follow by a ranking that is cut before the shuffle.
+Each block of queries (its size is fixed, so what is broadcast is bounded) passes once over all codes, and what it found is
+written before the next block is sent. A task keeps k rows of each query; the k best of all tasks follow by a ranking that is
+cut before the shuffle.
 
 Nulls and edges: vectors that are null, zero, hold a null or non-finite component, or have no id take no part, nor do
 those of another length than the most common one. Equal distances go to the smaller vec_id. A repeated query id is one
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -89,7 +91,8 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return ids[order], scores[order]
 
 
-def _scan(coded: DataFrame, block: pd.DataFrame, mean: np.ndarray, turn: np.ndarray, k: int, bound: float) -> DataFrame:
+def _scan(coded: DataFrame, block: pd.DataFrame, mean: np.ndarray, turn: np.ndarray, k: int, bound: float) -> tuple[DataFrame, Broadcast]:
+    """The k best of each task for a block of queries, and the broadcast that they come from."""
     sent = coded.sparkSession.sparkContext.broadcast((block["vec_id"].to_numpy(dtype=np.int64), np.array(block["v"].tolist()).reshape(len(block), len(mean))))
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -127,7 +130,7 @@ def _scan(coded: DataFrame, block: pd.DataFrame, mean: np.ndarray, turn: np.ndar
             "query_id": np.repeat(own, [len(b[0]) for b in best]), "vec_id": np.concatenate([b[0] for b in best] or [np.zeros(0, dtype=np.int64)]),
             "score": np.concatenate([b[1] for b in best] or [np.zeros(0)])})
 
-    return coded.mapInPandas(of, "query_id long, vec_id long, score double")
+    return coded.mapInPandas(of, "query_id long, vec_id long, score double"), sent
 
 
 def nearest(vectors: DataFrame, queries: Column, k: int = 10, bound: float = BOUND, block: int = QUERY_BLOCK) -> DataFrame:
@@ -138,7 +141,10 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, bound: float = BOU
     part = F.pmod(F.xxhash64("vec_id"), F.lit(blocks))
     found = None
     for b in range(blocks):
-        one = _scan(coded, asked.where(part == b).toPandas(), mean, turn, k, bound)
+        one, sent = _scan(coded, asked.where(part == b).toPandas(), mean, turn, k, bound)
+        if blocks > 1:
+            one = cut(one)
+            sent.destroy()
         found = one if found is None else found.unionByName(one)
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
