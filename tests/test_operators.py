@@ -120,6 +120,17 @@ def test_pack_and_unpack_give_the_same_rows(spark):
     assert back.exceptAll(dense).isEmpty() and dense.exceptAll(back).isEmpty()
 
 
+@pytest.mark.parametrize("spec", [StoreSpec(("k",)), StoreSpec(("k",), tz="UTC", freq="30min"), StoreSpec(("k",), freq="1d"), StoreSpec(("k",), chunk_axis=("year",)), StoreSpec(())])
+def test_sparse_packing_gives_the_same_chunks(spark, spec):
+    a = random_series(6, 300)
+    rows = lifted(spark, a).unionByName(frame(spark, [("a", "2024-04-05 10:00:07", 1.0), ("a", "2024-04-09 22:00:00", 3.0), ("b", "2023-10-28 22:00:00", 2.0), ("c", "2024-01-01", None)]))
+    rows = rows if spec.keys else rows.where("k = 'a'").drop("k")
+    want = series.pack(series.dense_regrid(rows, spec), spec)
+    got = series.pack_sparse(rows, spec)
+    assert got.columns == want.columns and sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert series.pack_sparse(rows.limit(0), spec).isEmpty()
+
+
 # Gaps.
 
 
@@ -206,6 +217,12 @@ def test_coalescing(spark, rows, want):
     assert sorted(map(tuple, intervals.coalesce(df, []).select("sd", "ed").collect())) == want
 
 
+def test_sorting_by_start(spark):
+    df = spark.createDataFrame([(2, 3), (1, 9), (1, 2)], "sd int, ed int")
+    assert [tuple(r) for r in intervals.sort_by_start(df).collect()] == [(1, 2), (1, 9), (2, 3)]
+    assert [tuple(r) for r in intervals.sort_by_start(df, reverse=True).collect()] == [(2, 3), (1, 9), (1, 2)]
+
+
 def test_overlap_join_agrees_with_all_pairs(spark):
     rng = np.random.default_rng(0)
     a = [(int(k), int(s), int(s + w)) for k, s, w in zip(rng.integers(0, 3, 60), rng.integers(-50, 200, 60), rng.integers(0, 40, 60), strict=True)]

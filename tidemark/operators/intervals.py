@@ -47,6 +47,10 @@ def difference(sd: Column, ed: Column, other_sd: Column, other_ed: Column, least
         other_ed > ed, part(ed, other_ed)).when(other_sd < sd, part(other_sd, sd)).otherwise(none)
 
 
+def sort_by_start(df: DataFrame, reverse: bool = False, sd: str = "sd", ed: str = "ed") -> DataFrame:
+    return df.orderBy(*[(F.desc(c) if reverse else F.asc(c)) for c in (sd, ed)])
+
+
 def coalesce(df: DataFrame, keys: Sequence[str], sd: str = "sd", ed: str = "ed") -> DataFrame:
     """Touching and overlapping intervals of each key merged."""
     by = [F.col(k) for k in keys] or [F.lit(0)]

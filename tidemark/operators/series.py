@@ -58,6 +58,35 @@ def pack(df: DataFrame, spec: StoreSpec) -> DataFrame:
     return rows.select(*spec.keys, "chunk_index", "start_ts", F.transform("rows", lambda r: r["value"]).alias("values"))
 
 
+def pack_sparse(df: DataFrame, spec: StoreSpec) -> DataFrame:
+    """What ``pack(dense_regrid(df))`` gives, without laying out the grid as rows: samples are shuffled once, by their chunk,
+    and only arrays are filled up with nulls. Periods between a series' first and last value have a chunk of nulls."""
+    from tidemark.spec import DAY
+
+    keys = list(spec.keys)
+    rows = with_chunk(df.where(F.col("value").isNotNull() & F.col("ts").isNotNull()), spec)
+    start, end = tg.chunk_bounds(F.col("chunk_index"), spec)
+    if spec.step_us < DAY:
+        offset = tg.between_us(start, F.col("ts"))
+        slots, size = F.when(offset % spec.step_us == 0, F.floor(offset / spec.step_us)), tg.between_us(start, end) / spec.step_us
+    else:
+        local, first = tg.to_local(F.col("ts"), spec.tz), tg.to_local(start, spec.tz)
+        slots = F.when(F.date_trunc("day", local).cast("timestamp_ntz") == local, F.datediff(local.cast("date"), first.cast("date")))
+        size = F.datediff(tg.to_local(end, spec.tz).cast("date"), first.cast("date"))
+    placed = rows.select(*keys, "chunk_index", slots.cast("int").alias("slot"), "value")
+    filled = placed.groupBy(*keys, "chunk_index").agg(F.collect_list(F.when(F.col("slot").isNotNull(), F.struct("slot", "value"))).alias("entries"))
+    if keys:
+        ends = filled.groupBy(*keys).agg(F.min("chunk_index").alias("low"), F.max("chunk_index").alias("high"))
+    else:
+        ends = filled.agg(F.min("chunk_index").alias("low"), F.max("chunk_index").alias("high")).where("low is not null")
+    chunks = ends.select(*keys, F.explode(F.sequence("low", "high")).alias("chunk_index")).join(filled, [*keys, "chunk_index"], "left")
+    entries = F.coalesce("entries", F.array().cast("array<struct<slot:int,value:double>>"))
+    free = F.array_except(F.sequence(F.lit(0), F.col("size") - 1), F.transform("entries", lambda e: e["slot"]))
+    gaps = F.transform(free, lambda i: F.struct(i.alias("slot"), F.lit(None).cast("double").alias("value")))
+    chunks = chunks.select(*keys, "chunk_index", start.alias("start_ts"), size.cast("int").alias("size"), entries.alias("entries"))
+    return chunks.select(*keys, "chunk_index", "start_ts", F.transform(F.sort_array(F.concat("entries", gaps)), lambda e: e["value"]).alias("values"))
+
+
 def unpack(chunks: DataFrame, spec: StoreSpec) -> DataFrame:
     """Rows ``(keys..., chunk_index, ts, value)`` of chunks; instants follow from the first one and the position."""
     from tidemark.spec import DAY

@@ -19,6 +19,15 @@ def upsert_rows(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFram
     return a.join(b, on, "full").select(*on, F.coalesce("new_value", "old_value").alias("value"))
 
 
+def upsert_chunks(live: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``new`` with the live values where its own are null. Chunks of a period have the same grid, so arrays are laid over
+    each other slot by slot and nothing is unpacked."""
+    on = [*keys, "chunk_index"]
+    joined = new.join(live.select(*on, F.col("values").alias("_old")), on, "left")
+    merged = F.when(F.col("_old").isNull(), F.col("values")).otherwise(F.zip_with("values", "_old", lambda a, b: F.coalesce(a, b)))
+    return joined.withColumn("values", merged).select(*new.columns)
+
+
 def tombstones(chunks: DataFrame, updated_at) -> DataFrame:
     """``chunks`` as deleted ones: empty, stamped, kept in the change feed."""
     return chunks.withColumns({"values": F.array().cast("array<double>"), "is_deleted": F.lit(True), "updated_at": updated_at})

@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.functions import filters as fl
 from tidemark.functions import timegrid as tg
@@ -73,8 +74,7 @@ def ld(spark: SparkSession, d: str) -> DataFrame:
 def ev(spark: SparkSession, d: str) -> DataFrame:
     events = _table(spark, d, "events")
     kinds = events.select("event_type").distinct()
-    rank = kinds.alias("a").join(kinds.alias("b"), F.col("b.event_type") <= F.col("a.event_type")).groupBy(F.col("a.event_type").alias("event_type")).agg(
-        (F.count("*") - 1).cast("int").alias("version"))  # a handful of event types
+    rank = kinds.withColumn("version", (F.row_number().over(Window.orderBy("event_type")) - 1).cast("int"))  # a handful of event types
     return events.join(F.broadcast(rank), "event_type").groupBy(
         (F.col("user_id") % 20).alias("prm"), "version", "event_type", tg.truncated("hour", F.col("ts")).alias("ts")).agg(F.max("value").alias("value"))
 
@@ -454,3 +454,58 @@ def _count(spark, d):
 def _live(spark, d):
     c = states.soft_delete(_chunks(spark, d), F.col("chunk_index") % 5 == 0, F.lit("2025-01-01 00:00:00").cast("timestamp_ntz"))
     return _digest(c.where(~F.col("is_deleted") & F.col("chunk_index").between(1996 * 12, 1998 * 12 + 5)))
+
+
+@query("keyed_read", " select * from ld where l_returnflag = 'R'")
+def _keyed(spark, d):
+    return fl.where(ld(spark, d), {"l_returnflag": "R"}, LD_KEYS)
+
+
+@query("multi_key_read", " select prm, ts, arg_min(value, -version) filter (where value is not null) as value from evm where prm in (1, 5, 11, 999) group by 1, 2")
+def _multi(spark, d):
+    return series.combine_versions(fl.where(ev(spark, d), {"prm__in": [1, 5, 11, 999]}, ["prm"]))
+
+
+@query("head_trim", """, t as (select *, min(ts) over (partition by event_type) as first from eh)
+select event_type, ts, value from t where ts >= first + interval 36 hour""")
+def _head(spark, d):
+    return series.head_trim(eh(spark, d), ["event_type"], 36 * HOUR)
+
+
+@query("clear_versions", " select prm, version, event_type, ts, value from evm where not (prm in (1, 2, 3) and version = 3)")
+def _clear(spark, d):
+    gone = fl.condition({"prm__in": [1, 2, 3], "version": 3}, ["prm", "version"])
+    return ev(spark, d).where(~gone)
+
+
+@query("range_check_date", _SPANS + "select k, id, sd, ed from o where 10000 >= sd and 10000 <= ed")
+def _check_date(spark, d):
+    return _spans(spark, d).where(intervals.contains(F.col("sd"), F.col("ed"), F.lit(10000)))
+
+
+@query("range_sort", _SPANS + "select k, id, sd, ed from o order by sd desc, ed desc, k desc, id desc limit 100")
+def _sorted(spark, d):
+    return intervals.sort_by_start(_spans(spark, d), reverse=True).orderBy(F.desc("sd"), F.desc("ed"), F.desc("k"), F.desc("id")).limit(100)
+
+
+@query("chunk_pack_sparse", """, g as (select l_returnflag, l_linestatus, unnest(generate_series(date_trunc('month', min(ts)), date_trunc('month', max(ts)) + interval 1 month - interval 1 hour, interval 1 hour)) as ts from ld group by 1, 2)
+select l_returnflag, l_linestatus, cast(year(ts) * 12 + month(ts) - 1 as int) as chunk_index, min(ts) as start_ts, cast(count(*) as int) as slots, count(value) as filled, coalesce(sum(value), 0) as total from g left join ld using (l_returnflag, l_linestatus, ts) group by 1, 2, 3""")
+def _pack_sparse(spark, d):
+    chunks = series.pack_sparse(ld(spark, d), StoreSpec(tuple(LD_KEYS), tz="UTC"))
+    live = F.filter("values", lambda v: v.isNotNull())
+    return chunks.select(*LD_KEYS, "chunk_index", "start_ts", F.size("values").alias("slots"), F.size(live).cast("long").alias("filled"),
+                         F.aggregate(live, F.lit(0.0), lambda a, v: a + v).alias("total"))
+
+
+@query("upsert_chunks", """, ck as (select l_returnflag, l_linestatus, cast(year(ts) * 12 + month(ts) - 1 as int) as chunk_index, ts, value from ld),
+n as (select * from ck where day(ts) <= 10), b as (select l_returnflag, l_linestatus, min(chunk_index) as lo, max(chunk_index) as hi from n group by 1, 2),
+o as (select ck.* from ck join b using (l_returnflag, l_linestatus) where day(ts) > 5 and chunk_index between lo and hi),
+u as (select coalesce(n.l_returnflag, o.l_returnflag) as l_returnflag, coalesce(n.l_linestatus, o.l_linestatus) as l_linestatus, coalesce(n.chunk_index, o.chunk_index) as chunk_index, coalesce(n.value + 1, o.value) as value
+from n full join o on n.l_returnflag = o.l_returnflag and n.l_linestatus = o.l_linestatus and n.ts = o.ts)
+select l_returnflag, l_linestatus, chunk_index, count(*) as n, sum(value) as total from u group by 1, 2, 3""")
+def _upsert_chunks(spark, d):
+    x = ld(spark, d)
+    new, old = (series.pack_sparse(p, LD_DAILY) for p in (x.where(F.day("ts") <= 10).withColumn("value", F.col("value") + 1), x.where(F.day("ts") > 5)))
+    live = F.filter("values", lambda v: v.isNotNull())
+    out = states.upsert_chunks(old, new, LD_KEYS)
+    return out.select(*LD_KEYS, "chunk_index", F.size(live).cast("long").alias("n"), F.aggregate(live, F.lit(0.0), lambda a, v: a + v).alias("total")).where("n > 0")

@@ -80,6 +80,9 @@ class ChunkedStore:
         """The rows of ``read_many``, series after series, a partition at a time on the driver."""
         return self.read_many(filters, **options).orderBy(*self.keys, "ts").toLocalIterator()
 
+    def exists(self, filters: Mapping[str, object] | None = None) -> bool:
+        return not fl.where(self.chunks(), filters, self.keys).limit(1).isEmpty()
+
     def max_ts(self, filters: Mapping[str, object] | None = None):
         """The last instant with a value, or None. Periods are looked at from the last one back until one has a value."""
         match = fl.condition(filters, self.keys)
@@ -93,7 +96,7 @@ class ChunkedStore:
 
     def _chunked(self, df: DataFrame) -> DataFrame:
         rows = series.check_unique(series.ingest(df, self.keys), self.keys)
-        return series.pack(series.dense_regrid(rows, self.spec), self.spec).withColumns({"updated_at": self._now(), "is_deleted": F.lit(False)})
+        return series.pack_sparse(rows, self.spec).withColumns({"updated_at": self._now(), "is_deleted": F.lit(False)})
 
     def _periods(self, df: DataFrame) -> list[int]:
         return [r[0] for r in df.select("chunk_index").distinct().collect()]  # calendar periods: few
@@ -133,11 +136,9 @@ class ChunkedStore:
                 return
             if update:
                 stored = self.table.read(touched)
-                live = stored.where(~F.col("is_deleted")).join(new.select(*self.keys, "chunk_index"), [*self.keys, "chunk_index"], "left_semi")
-                merged = states.upsert_rows(series.unpack(live, self.spec).drop("chunk_index"), series.unpack(new, self.spec).drop("chunk_index"), self.keys)
-                packed = series.pack(merged, self.spec).withColumns({"updated_at": self._now(), "is_deleted": F.lit(False)})
+                merged = states.upsert_chunks(stored.where(~F.col("is_deleted")), new, self.keys)
                 rest = stored.join(new.select(*self.keys, "chunk_index"), [*self.keys, "chunk_index"], "left_anti")
-                self.table.write(rest.unionByName(packed.select(*rest.columns)), touched)
+                self.table.write(rest.unionByName(merged.select(*rest.columns)), touched)
             else:
                 match = fl.condition(attrs, self.keys)
                 own = self._periods(self.table.read().where(match & ~F.col("is_deleted")))
