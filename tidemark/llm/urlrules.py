@@ -35,6 +35,8 @@ RULES = (
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 )
+#: Parts that the paths of a host are spread over.
+SALT = 32
 #: Verdict on pages without a fitting rule: the list is a block list with exceptions.
 DEFAULT = "allow"
 
@@ -114,7 +116,10 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFra
     stacks = stacks.join(host_nest.select("lo", "chain"), "lo").select("k", F.concat(F.array("lo"), F.col("chain")).alias("stack"))
     ruled = cut(hosts.join(stacks, "k").select("host", "stack"))
 
-    pairs = rows.join(ruled, "host").select("host", "path", F.explode("stack").alias("host_lo"))
+    # A host may have a third of all paths: they are spread over SALT parts, each with the host's stack.
+    spread = ruled.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    paths = rows.select("host", "path").distinct().withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(SALT)).cast("int"))
+    pairs = paths.join(spread, ["host", "salt"]).select("host", "path", F.explode("stack").alias("host_lo"))
     pairs = cut(pairs.withColumn("k", F.concat("host_lo", F.unhex(F.lit("FD")), F.col("path").cast("binary"))).distinct())
     tops = innermost(pairs.select("k").distinct(), _nested(own.select("lo")).select("lo", "around")).where(F.octet_length("lo") > 0)
     fits = pairs.join(tops, "k").join(own.select("lo", "rule_host", "rule_path", "blocks"), "lo")
