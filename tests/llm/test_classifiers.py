@@ -135,3 +135,34 @@ def test_queries_on_held_out_rows(spark, large, module, query, label, least):
     held = out.where("held_out").join(labels, "doc_id").toPandas()
     assert auc(held["score"].to_numpy(), held[label].to_numpy()) > least - 0.1  # few held-out rows, some labels are noise
     assert (held["predicted"] == held[label]).mean() > least - 0.05
+
+
+def test_shared_counts_are_of_all_documents(spark):
+    docs, labels = made(spark, 150)
+    more = docs.where("doc_id < 60").withColumns({"doc_id": F.col("doc_id") + 5000, "text": F.regexp_replace("text", "ba", "quar")})
+    every = docs.unionByName(more)
+    found = {r.doc_id: r.text for r in every.collect()}
+    toxic = {r.doc_id: r.toxic for r in labels.collect()}
+    n = {0: {}, 1: {}, None: {}}
+    for i, text in found.items():
+        learned = i in toxic and zlib.crc32(str(i).encode()) % 5 > 1
+        for word in set(toxicity.words(text)):
+            padded = "\1\1\1\1" + word + "\1"
+            for at in range(len(word) + 1):
+                for of in (None, toxic[i]) if learned else (None,):
+                    n[of][padded[at : at + 5]] = n[of].get(padded[at : at + 5], 0) + 1
+    seen = sorted(n[0].keys() | n[1].keys())
+    assert len(n[None]) > len(seen)
+    grams = pd.DataFrame({"gram": seen, "n0": [n[0].get(g, 0) for g in seen], "n1": [n[1].get(g, 0) for g in seen]})
+    counts, pairs = pd.Series(n[None]), toxicity._shared_pairs(every)
+    p = toxicity.shared_model(counts, pairs).reindex(seen).to_numpy()
+    at, _ = pd.factorize(grams["gram"].str[:-1])
+    like = []
+    for c in ("n0", "n1"):
+        own = grams[c].to_numpy(dtype=float)
+        kept, total = np.maximum(own - toxicity.DISCOUNT, 0), np.maximum(np.bincount(at, own), 1)
+        left = np.where(np.bincount(at, own) > 0, 1 - np.bincount(at, kept) / total, 1.0)
+        like.append(kept / total[at] + left[at] * p)
+    keys, ratio = toxicity.fit(every, labels).grams
+    got = ratio[np.searchsorted(keys, toxicity._hash_of(seen))]
+    assert np.allclose(got, np.log(like[1] / like[0]))

@@ -10,10 +10,12 @@ in forms that no labelled document holds.
 A word is an expression of toxicity where its toxic log-likelihood exceeds the ordinary one by ``EVIDENCE``. The excess,
 summed over a document's words and divided by their number, is calibrated to a probability.
 
-The counts are fitted on a bounded sample: of each class at most ``FIT_ROWS`` labelled documents with the smallest hashed
+The shared counts are of all documents, labelled or not, and are summed up where the data is; only those that the sample's
+sequences need are fetched. The classes' counts are fitted on a bounded sample: of each class at most ``FIT_ROWS`` labelled documents with the smallest hashed
 ids, out of three of the five folds; ``CALIBRATION_ROWS`` from a fourth fold calibrate the score. The fifth fold is never
 learned from. A document counts a word once, so that repeated lines do not pass for usage. The letter pairs cover every
-letter of every document. The broadcast model is bounded by the sample's distinct five-letter sequences.
+letter of every document. The broadcast model is bounded by the sample's distinct five-letter sequences: one that no class
+has seen is as likely in both models but for their backoff weights.
 
 Nulls and edges: a null text is an empty one, and a text without words gets the score of no evidence. Rows without doc_id
 are scored and not held out. Without any usable labels, or with one class only, every score is the label's base rate (0 if
@@ -42,6 +44,8 @@ FIT_ROWS, CALIBRATION_ROWS = 6000, 3000
 ORDER, PAIR = 5, 2
 #: Discounts of a class's counts and of the shared ones; log ratio from which a word is an expression of toxicity.
 DISCOUNT, SHARED_DISCOUNT, EVIDENCE = 2.0, 0.75, 2.5
+#: Distinct words that a worker counts before it passes their sequences on.
+COUNTED = 200_000
 #: Words whose ratio a worker remembers.
 REMEMBERED = 400_000
 _WORD = re.compile(r"\w+")
@@ -151,6 +155,45 @@ def _sequences(sample: DataFrame) -> DataFrame:
     return counted.groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
+def _all_sequences(docs: DataFrame) -> DataFrame:
+    """Rows ``(gram, n)``: sequences of ORDER letters in the words of all documents; a document counts a word once."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def grams() -> Iterator[pa.RecordBatch]:
+            sums = Counter()
+            for word, n in found.items():
+                padded = "\1" * (ORDER - 1) + word + "\1"
+                for i in range(len(word) + 1):
+                    sums[padded[i : i + ORDER]] += n
+            found.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.int64())], names=["gram", "n"])
+
+        found = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                found.update(set(words(text)))
+                if len(found) > COUNTED:
+                    yield from grams()
+        yield from grams()
+
+    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "gram string, n long")
+    return counted.groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def shared_levels(counts: DataFrame, wanted: DataFrame) -> list[pd.DataFrame]:
+    """For the ``wanted(gram)`` and their endings down to three letters ``(n, total, kinds)`` by gram, the longest first:
+    its count, that of its history, and how many letters follow the history. Counts are of all of ``counts(gram, n)``."""
+    out = []
+    for order in range(ORDER, PAIR, -1):
+        counts, wanted = cut(counts), cut(wanted)  # wanted is bounded by the sample
+        history, ending = F.substring("gram", 1, order - 1), F.substring("gram", 2, order - 1)
+        sums = counts.groupBy(history.alias("history")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+        own = counts.join(F.broadcast(wanted), "gram").select("gram", "n", history.alias("history"))
+        out.append(sums.join(F.broadcast(own), "history").select("gram", "n", "total", "kinds").toPandas().set_index("gram"))
+        counts = counts.groupBy(ending.alias("gram")).agg(F.count("*").alias("n"))
+        wanted = wanted.select(ending.alias("gram")).distinct()
+    return out
+
+
 _letter_ids: list[np.ndarray] = []
 
 
@@ -192,23 +235,34 @@ def shared_model(counts: pd.Series, pairs: np.ndarray) -> pd.Series:
     levels = [counts]
     for _ in range(ORDER - PAIR - 1):
         levels.append(pd.Series(1, index=levels[-1].index.str[1:]).groupby(level=0, sort=False).sum())
+    found = []
+    for level in levels:
+        at, _ = pd.factorize(level.index.str[:-1])
+        n = level.to_numpy(dtype=float)
+        found.append(pd.DataFrame({"n": n, "total": np.bincount(at, n)[at], "kinds": np.bincount(at)[at]}, index=level.index))
+    return interpolated(found, pairs)
+
+
+def interpolated(levels: list[pd.DataFrame], pairs: np.ndarray) -> pd.Series:
+    """Likelihoods of the first of ``levels``, as shared_levels gives them."""
     base, ids = pairs + 0.1, letter_ids()
     base = base / base.sum(axis=1, keepdims=True)
     below = None
     for level in reversed(levels):
-        history, lower = level.index.str[:-1], level.index.str[1:]
-        at, _ = pd.factorize(history)
-        n = level.to_numpy(dtype=float)
+        lower = level.index.str[1:]
+        n, total, kinds = (level[c].to_numpy(dtype=float) for c in ("n", "total", "kinds"))
         shorter = base[ids[lower.str[0].map(ord)], ids[lower.str[1].map(ord)]] if below is None else below.reindex(lower).to_numpy()
-        total = np.bincount(at, n)[at]
-        kinds = np.bincount(at)[at]
         below = pd.Series((n - SHARED_DISCOUNT + SHARED_DISCOUNT * kinds * shorter) / total, index=level.index)
     return below
 
 
-def smooth(grams: pd.DataFrame, pairs: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-    """Log ratios of the classes' likelihoods, and of their backoff weights, from ``(gram, n0, n1)`` and the letter pairs."""
-    shared = shared_model(pd.Series((grams["n0"] + grams["n1"]).to_numpy(), index=pd.Index(grams["gram"])), pairs).to_numpy()
+def smooth(grams: pd.DataFrame, pairs: np.ndarray, levels: list[pd.DataFrame] | None = None) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Log ratios of the classes' likelihoods, and of their backoff weights, from ``(gram, n0, n1)`` and the letter pairs;
+    the shared counts are those of ``levels``, or else of both classes together."""
+    if levels is None:
+        shared = shared_model(pd.Series((grams["n0"] + grams["n1"]).to_numpy(), index=pd.Index(grams["gram"])), pairs).to_numpy()
+    else:
+        shared = interpolated(levels, pairs).reindex(grams["gram"]).to_numpy()
     at, histories = pd.factorize(grams["gram"].str[:-1])
     p, back = [], []
     for n in (grams["n0"].to_numpy(dtype=float), grams["n1"].to_numpy(dtype=float)):
@@ -239,11 +293,12 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, calibratio
     picked = picked.select(F.col("doc_id").alias("picked_id"), "y", "part")
     # Bounded: at most twice fit_rows + calibration_rows ids.
     sample = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(cut(picked)), F.col("doc_id") == F.col("picked_id")).select("y", "part", "text"))
-    grams = _sequences(sample.where("part = 0")).toPandas()
+    sequences = cut(_sequences(sample.where("part = 0")))
+    grams = sequences.toPandas()
     if not len(grams):
         return nothing
     grams = grams.sort_values("gram")
-    model = Model(*smooth(grams, _shared_pairs(docs)), np.zeros(2))
+    model = Model(*smooth(grams, _shared_pairs(docs), shared_levels(_all_sequences(docs), sequences.select("gram"))), np.zeros(2))
     return _calibrated(model, sample.where("part = 1"), known)
 
 
