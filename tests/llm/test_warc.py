@@ -100,3 +100,15 @@ def test_query_gives_what_its_sql_gives(spark, request, which):
     con = duckdb.connect()
     con.execute(f"create view pages as select * from '{path}/pages.parquet'")
     assert sorted(map(tuple, warc.op8_warc(spark, path).collect()), key=str) == sorted(con.execute(warc.ORACLE_SQL).fetchall(), key=str)
+
+
+def test_one_gzip_member_a_record(spark, tmp_path):
+    bodies = {i: f"page {i} ".encode() * (i + 1) for i in range(5)}
+    made = [r for i, b in bodies.items() for r in warc.records(str(i), f"http://x/{i}", b, brute.sha1(b), None, f"0/{i}", segment=10_000)]
+    (tmp_path / "members.gz").write_bytes(b"".join(gzip.compress(r + b"\r\n") for r in made))
+    got = {r.page_id: bytes(r.data) for r in warc.read_archives(spark, str(tmp_path)).collect()}
+    assert got == bodies
+    with pytest.raises(ValueError):
+        warc.inflated(b"")
+    with pytest.raises(EOFError):
+        warc.inflated(gzip.compress(b"one") + gzip.compress(b"two")[:-9])

@@ -16,10 +16,11 @@ page_ids that are the largest of their payload are all responses; an empty table
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import io
 import re
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -113,6 +114,14 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at += 4
 
 
+def inflated(content: bytes) -> bytes:
+    """All members of a gzip file; a file that is empty or ends within a member raises."""
+    if not content:
+        raise ValueError("an archive without a gzip member")
+    with gzip.GzipFile(fileobj=io.BytesIO(content)) as members:
+        return members.read()
+
+
 def payload(headers: dict[str, str], block: bytes) -> bytes:
     """The payload of a whole response block, checked against its digest."""
     head, _, body = block.partition(b"\r\n\r\n")
@@ -162,7 +171,7 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
         for batch in batches:
             for content in batch["content"]:
                 out = []
-                for headers, block in parse(zlib.decompress(content, 47)):
+                for headers, block in parse(inflated(content)):
                     kind = headers["warc-type"]
                     if kind == "revisit":
                         digest = base64.b32decode(headers["warc-payload-digest"][5:]).hex()
