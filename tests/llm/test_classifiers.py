@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import logit, quality, toxicity
+from tidemark.llm import logit, quality, toxicity, toxicity_choice
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LABELS = "doc_id long, quality int, toxic int"
@@ -54,20 +54,67 @@ def test_logistic_regression_finds_the_weights():
     assert (logit.fit(np.zeros((0, 2)), np.zeros(0)) == 0).all()
 
 
+def key(gram: str) -> int:
+    out = 0
+    for c in gram:
+        out = out << toxicity.BITS | (1 if c == "\1" else 2 + ord(c) % toxicity._LETTERS)
+    return out
+
+
+def sequences_of(word: str) -> list[str]:
+    padded = "\1\1\1\1" + word + "\1"
+    return [padded[i : i + 5] for i in range(len(word) + 1)]
+
+
+def test_keys_are_those_of_the_sequences():
+    found = ["ab", "a", "😀é_long", "x" * 300]
+    keys, starts = toxicity.keys_of(found)
+    want = [[key(g) for g in sequences_of(w)] for w in found]
+    assert keys.tolist() == sum(want, []) and starts.tolist() == [0, 3, 5, 5 + len(want[2])]
+    own, n = toxicity.sums({"ab": 2, "a": 5})
+    assert dict(zip(own.tolist(), n.tolist(), strict=True)) == {key("\1\1\1\1a"): 7, key("\1\1\1ab"): 2, key("\1\1ab\1"): 2, key("\1\1\1a\1"): 5}
+
+
 def test_shared_likelihoods_sum_to_at_most_one():
-    grams = ["\1\1\1\1a", "\1\1\1ab", "\1\1\1ac", "\1\1ab\1", "\1\1ac\1", "\1\1ac\1"]
-    counts = pd.Series(1, index=pd.Index(grams)).groupby(level=0).sum()
-    pairs = np.ones((1024, 1024))
-    shared = toxicity.shared_model(counts, pairs)
-    by_history = shared.groupby(shared.index.str[:-1]).sum()
-    assert (shared > 0).all() and (by_history <= 1 + 1e-9).all()
+    grams, n = toxicity.sums({"a": 3, "ab": 4, "ac": 9, "cab": 1})
+    shared = toxicity.interpolated(toxicity.local_levels(grams, n))
+    by_history = shared.groupby(shared.index.to_numpy() >> toxicity.BITS).sum()
+    assert (shared > 0).all() and (by_history <= 1 + 1e-9).all() and len(shared) == len(grams)
 
 
 def test_rare_sequences_back_off_to_the_shared_counts():
-    grams = pd.DataFrame({"gram": ["\1\1\1\1a", "\1\1\1\1b", "\1\1\1\1c"], "n0": [50, 50, 1], "n1": [50, 2, 30]})
-    (keys, ratio), _ = toxicity.smooth(grams, np.ones((1024, 1024)))
-    of = {g: ratio[np.searchsorted(keys, toxicity._hash_of([g])[0])] for g in grams["gram"]}
-    assert of["\1\1\1\1c"] > 1 and of["\1\1\1\1b"] < 0 and abs(of["\1\1\1\1a"]) < 0.5
+    grams = pd.DataFrame({"gram": [key(g) for g in ("\1\1\1\1a", "\1\1\1\1b", "\1\1\1\1c")], "n0": [500, 500, 1], "n1": [50, 48, 30]})
+    shared = pd.Series([0.49, 0.49, 0.02], index=grams["gram"])
+    (keys, ratio), _ = toxicity.smooth(grams, shared)
+    of = dict(zip(keys, ratio, strict=True))
+    assert of[key("\1\1\1\1c")] > 1 and abs(of[key("\1\1\1\1b")]) < 0.5 and abs(of[key("\1\1\1\1a")]) < 0.5
+
+
+def test_scores_are_likelihoods_of_whole_texts(spark):
+    model = toxicity.fit(*made(spark, 300))
+    (keys, ratio), (histories, back) = model.grams, model.backs
+    own, fall = dict(zip(keys.tolist(), ratio, strict=True)), dict(zip(histories.tolist(), back, strict=True))
+    texts = ["zkrugba lo mi.", "lo " * 3000 + "zkrugter", "x" * 50_000, None, "...", "é zkrug mi"]
+    for text, got in zip(texts, model.evidence(texts), strict=True):
+        found = toxicity.words(text)
+        all_keys = [key(g) for w in found for g in sequences_of(w)]
+        want = sum(own.get(k, fall.get(k >> toxicity.BITS, 0.0)) for k in all_keys) / max(1, len(all_keys))
+        assert abs(got - want) < 1e-9
+    assert np.argmax(model.evidence(texts)) in (0, 5)
+
+
+def test_the_choice_reads_no_label_of_the_held_out_fold(spark, tmp_path, capsys):
+    docs, labels = (x.toPandas() for x in made(spark, 150))
+    said = []
+    for flip in (False, True):
+        folder = tmp_path / str(flip)
+        folder.mkdir()
+        marks = labels.assign(toxic=np.where(labels["doc_id"].map(held_out) & flip, 1 - labels["toxic"], labels["toxic"]))
+        docs.to_parquet(folder / "documents.parquet")
+        marks.to_parquet(folder / "labels.parquet")
+        toxicity_choice.main(str(folder))
+        said.append(capsys.readouterr().out)
+    assert said[0] == said[1] and "AUC" in said[0]
 
 
 def test_toxic_stems_are_known_in_new_forms(spark):
@@ -147,22 +194,30 @@ def test_shared_counts_are_of_all_documents(spark):
     for i, text in found.items():
         learned = i in toxic and zlib.crc32(str(i).encode()) % 5 > 1
         for word in set(toxicity.words(text)):
-            padded = "\1\1\1\1" + word + "\1"
-            for at in range(len(word) + 1):
+            for gram in map(key, sequences_of(word)):
                 for of in (None, toxic[i]) if learned else (None,):
-                    n[of][padded[at : at + 5]] = n[of].get(padded[at : at + 5], 0) + 1
+                    n[of][gram] = n[of].get(gram, 0) + 1
     seen = sorted(n[0].keys() | n[1].keys())
     assert len(n[None]) > len(seen)
     grams = pd.DataFrame({"gram": seen, "n0": [n[0].get(g, 0) for g in seen], "n1": [n[1].get(g, 0) for g in seen]})
-    counts, pairs = pd.Series(n[None]), toxicity._shared_pairs(every)
-    p = toxicity.shared_model(counts, pairs).reindex(seen).to_numpy()
-    at, _ = pd.factorize(grams["gram"].str[:-1])
-    like = []
-    for c in ("n0", "n1"):
-        own = grams[c].to_numpy(dtype=float)
-        kept, total = np.maximum(own - toxicity.DISCOUNT, 0), np.maximum(np.bincount(at, own), 1)
-        left = np.where(np.bincount(at, own) > 0, 1 - np.bincount(at, kept) / total, 1.0)
-        like.append(kept / total[at] + left[at] * p)
-    keys, ratio = toxicity.fit(every, labels).grams
-    got = ratio[np.searchsorted(keys, toxicity._hash_of(seen))]
-    assert np.allclose(got, np.log(like[1] / like[0]))
+
+    def shared(gram: int, order: int) -> float:
+        """By the definition, from the counts of all documents."""
+        if order == 0:
+            return 1 / (1 << toxicity.BITS)
+        level = {g: c for g, c in n[None].items()}
+        for k in range(5, order, -1):
+            below = {}
+            for g in level:
+                below[g & (1 << toxicity.BITS * (k - 1)) - 1] = below.get(g & (1 << toxicity.BITS * (k - 1)) - 1, 0) + 1
+            level = below
+        after = [c for g, c in level.items() if g >> toxicity.BITS == gram >> toxicity.BITS]
+        lower = shared(gram & (1 << toxicity.BITS * (order - 1)) - 1, order - 1)
+        return (level[gram] - 0.75 + 0.75 * len(after) * lower) / sum(after)
+
+    some = seen[:: max(1, len(seen) // 25)]
+    p = toxicity.interpolated(toxicity.local_levels(np.array(list(n[None])), np.array(list(n[None].values()))))
+    assert np.allclose(p.reindex(some), [shared(g, 5) for g in some])
+    (keys, ratio), (histories, back) = toxicity.smooth(grams, p)
+    model = toxicity.fit(every, labels)
+    assert model.grams[0].tolist() == keys.tolist() and np.allclose(model.grams[1], ratio) and np.allclose(model.backs[1], back)

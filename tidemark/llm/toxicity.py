@@ -2,25 +2,25 @@
 
 Two models, of toxic and of ordinary documents, spell out each word: they give a letter's likelihood after the four before
 it (a word begins and ends at a boundary). Both discount their counts and back off to one interpolated Kneser-Ney model of
-both classes together, whose lowest level are letter pairs of all documents. The discount is so large that a sequence seen
-once or twice in a class counts for nothing there: rare expressions are as likely in both models as the shared counts have
-it, and only what one class spells out again and again tells them apart. Expressions are thus recognised by their stems,
-in forms that no labelled document holds.
+all documents. A class's count of a sequence is only kept where it exceeds what the shared model expects in that class by
+a margin and some standard errors; the mass of all others goes to the shared model. So rare expressions are as likely in
+both models as the shared counts have it, and ordinary words weigh next to nothing however long a text is.
 
-A word is an expression of toxicity where its toxic log-likelihood exceeds the ordinary one by ``EVIDENCE``. The excess,
-summed over a document's words and divided by their number, is calibrated to a probability.
+A text's score is its log-likelihood under the toxic model less that under the ordinary one, each over all its letters and
+divided by their number, calibrated to a probability.
 
 The shared counts are of all documents, labelled or not, and are summed up where the data is; only those that the sample's
-sequences need are fetched. The classes' counts are fitted on a bounded sample: of each class at most ``FIT_ROWS`` labelled documents with the smallest hashed
-ids, out of three of the five folds; ``CALIBRATION_ROWS`` from a fourth fold calibrate the score. The fifth fold is never
-learned from. A document counts a word once, so that repeated lines do not pass for usage. The letter pairs cover every
-letter of every document. The broadcast model is bounded by the sample's distinct five-letter sequences: one that no class
-has seen is as likely in both models but for their backoff weights.
-
-Nulls and edges: a null text is an empty one, and a text without words gets the score of no evidence. Rows without doc_id
-are scored and not held out. Without any usable labels, or with one class only, every score is the label's base rate (0 if
-there are none). An id labelled twice counts with its largest label; an empty table gives no rows. Labels, lang, source
-and doc_id are no inputs of a score.
+sequences need are fetched. The classes' counts are fitted on a bounded sample: of each class at most ``FIT_ROWS`` labelled
+documents with the smallest hashed ids, out of three of the five folds; ``CALIBRATION_ROWS`` from a fourth fold calibrate
+the score. The fifth fold is never learned from; the constants below were chosen on the other four (``toxicity_choice``).
+A document counts a word once, so that repeated lines do not pass for usage. The broadcast model is bounded by the sample's
+distinct five-letter sequences: one that no class has seen is as likely in both models but for their backoff weights.
+
+Nulls and edges: a null text is an empty one, and a text without words gets the score of no evidence. A very long text is
+read whole; a task holds one batch of texts, its words, and the counts of at most ``COUNTED`` words and one text's. Rows without
+doc_id are scored and not held out. Without any usable labels, or with one class only, every score is the label's base
+rate (0 if there are none). An id labelled twice counts with its largest label; an empty table gives no rows. Labels,
+lang, source and doc_id are no inputs of a score; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -40,47 +40,53 @@ from tidemark.llm import logit
 from tidemark.llm.common import cut, held_out, labelled, sample_ids, small_batches, table
 
 FIT_ROWS, CALIBRATION_ROWS = 6000, 3000
-#: Letters of the longest sequences; the counts of all documents are of pairs.
-ORDER, PAIR = 5, 2
-#: Discounts of a class's counts and of the shared ones; log ratio from which a word is an expression of toxicity.
-DISCOUNT, SHARED_DISCOUNT, EVIDENCE = 2.0, 0.75, 2.5
+#: Letters of the longest sequences.
+ORDER = 5
+#: A letter's bits in a sequence's key. Code points are told apart modulo 4,094; 1 is the boundary, 0 none.
+BITS = 12
+_LETTERS = (1 << BITS) - 2
+#: Discounts of a class's counts and of the shared ones.
+DISCOUNT, SHARED_DISCOUNT = 0.75, 0.75
+#: What a class's count must exceed its expectation by: a share of it, its standard errors, and a number.
+MARGIN, ERRORS, LEAST = 0.2, 2.0, 3.0
+#: Evidence a letter is multiplied with this before calibration.
+SCALE = 1000.0
 #: Distinct words that a worker counts before it passes their sequences on.
 COUNTED = 200_000
 #: Words whose ratio a worker remembers.
 REMEMBERED = 400_000
 _WORD = re.compile(r"\w+")
-#: Letters are told apart modulo this in the shared pair counts; 0 is the boundary.
-_LETTERS = 1024
-_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def _letters(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of the words, each after ORDER - 1 boundaries and before one, and each word's first position."""
-    padded = "".join("\1" * (ORDER - 1) + w + "\1" for w in found)
-    starts = np.cumsum([0, *(len(w) + ORDER for w in found)])[:-1]
-    return np.frombuffer(padded.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64), starts
-
-
-def _hashes(codes: np.ndarray, order: int) -> np.ndarray:
-    """A 64-bit hash of the ``order`` letters that end at each position (0 where there are fewer)."""
-    out = np.zeros(len(codes), dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for back in range(order):
-            part = codes[: len(codes) - back] if back else codes
-            out[back:] = out[back:] * _BASE + (part + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93) * np.uint64(2 * back + 1)
-        out ^= out >> np.uint64(29)
-        out *= np.uint64(0xBF58476D1CE4E5B9)
-    return out
-
-
-def _hash_of(grams: list[str]) -> np.ndarray:
-    n = len(grams[0]) if grams else 1
-    codes = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
-    return _hashes(codes, n)[n - 1 :: n]
+def keys_of(found: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of the sequences of ``order`` letters that end at each letter and at the boundary after each word, word
+    after word, and where each word's begin."""
+    pad = "\1" * (order - 1)
+    padded = "".join(f"{pad}{w}\1" for w in found)
+    letters = np.frombuffer(padded.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+    letters = np.where(letters == 1, 1, 2 + letters % _LETTERS)
+    keys = np.zeros(len(letters), dtype=np.int64)
+    for back in range(order):
+        keys[back:] |= letters[: len(letters) - back] << BITS * back
+    lengths = np.array([len(w) + 1 for w in found], dtype=np.int64)
+    starts = np.cumsum(lengths) - lengths
+    given = np.arange(len(found)) * (order - 1) + starts  # the boundaries before a word are given
+    keep = np.ones(len(letters), dtype=bool)
+    for i in range(order - 1):
+        keep[given + i] = False
+    return keys[keep], starts
+
+
+def sums(found: dict[str, int], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of the words' sequences and how often they come, each word as often as ``found`` says."""
+    keys, _ = keys_of(list(found), order)
+    times = np.repeat(np.fromiter(found.values(), dtype=np.int64, count=len(found)), [len(w) + 1 for w in found])
+    own, at = np.unique(keys, return_inverse=True)
+    return own, np.bincount(at, times, minlength=len(own)).astype(np.int64)
 
 
 def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,7 +98,7 @@ def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 @dataclass
 class Model:
-    """Sorted hashes and log ratios of the sequences seen, and of the histories' backoff weights. beta: the calibration."""
+    """Sorted keys and log ratios of the sequences seen, and of the histories' backoff weights. beta: the calibration."""
 
     grams: tuple[np.ndarray, np.ndarray] | None
     backs: tuple[np.ndarray, np.ndarray] | None
@@ -103,180 +109,115 @@ class Model:
         """Toxic less ordinary log-likelihood of each word's spelling."""
         if not found:
             return np.zeros(0)
-        codes, starts = _letters(found)
-        total = np.zeros(len(codes))
-        open_ = np.ones(len(codes), dtype=bool)
-        for i in range(ORDER - 1):
-            open_[starts + i] = False  # the boundaries before a word are given
-        at = np.nonzero(open_)[0]
-        hit, place = _found(self.grams[0], _hashes(codes, ORDER)[at])
-        total[at[hit]] = self.grams[1][place[hit]]
-        rest = at[~hit]
-        hit, place = _found(self.backs[0], _hashes(codes, ORDER - 1)[rest - 1])
+        keys, starts = keys_of(found)
+        total = np.zeros(len(keys))
+        hit, place = _found(self.grams[0], keys)
+        total[hit] = self.grams[1][place[hit]]
+        rest = np.nonzero(~hit)[0]
+        hit, place = _found(self.backs[0], keys[rest] >> BITS)
         total[rest[hit]] = self.backs[1][place[hit]]
         return np.add.reduceat(total, starts)
 
-    def features(self, texts: list[str | None]) -> np.ndarray:
-        """Logarithm of each text's evidence per hundred words."""
+    def evidence(self, texts: list[str | None]) -> np.ndarray:
+        """Toxic less ordinary log-likelihood of each whole text, divided by its letters."""
         if self.grams is None:
-            return np.zeros((len(texts), 1))
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        found = [words(t) for t in texts]
-        new = list({w for f in found for w in f if w not in self.known})
-        for at in range(0, len(new), 100_000):
-            part = new[at : at + 100_000]
-            ratios = self.word_ratios(part)
-            self.known.update(zip(part, np.where(ratios > EVIDENCE, ratios, 0.0).tolist(), strict=True))
-        total = np.array([sum(map(self.known.__getitem__, f)) for f in found])
-        return np.log1p(100 * total / np.maximum(1, [len(f) for f in found]))[:, None]
+            return np.zeros(len(texts))
+        out = np.zeros(len(texts))
+        for i, text in enumerate(texts):
+            if len(self.known) > REMEMBERED:
+                self.known.clear()
+            found = words(text)
+            if new := list({w for w in found if w not in self.known}):
+                self.known.update(zip(new, self.word_ratios(new).tolist(), strict=True))
+            if found:
+                out[i] = sum(map(self.known.__getitem__, found)) / (sum(map(len, found)) + len(found))
+        return out
+
+    def features(self, texts: list[str | None]) -> np.ndarray:
+        return np.arcsinh(SCALE * self.evidence(texts))[:, None]
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         return logit.probability(logit.value(self.features(texts), self.beta))
 
 
-def _sequences(sample: DataFrame) -> DataFrame:
-    """Rows ``(gram, n0, n1)``: sequences of ORDER letters in the sample's words, by class; a document counts a word once."""
+def sequences(rows: DataFrame) -> DataFrame:
+    """Rows ``(gram, n0, n1)``: sequences of ORDER letters in the words of ``rows(y, text)``, by class y; a document counts
+    a word once."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = (Counter(), Counter())
-            for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found[y].update(set(words(text)))
-            grams = (Counter(), Counter())
-            for y in (0, 1):
-                for word, n in found[y].items():
-                    padded = "\1" * (ORDER - 1) + word + "\1"
-                    for i in range(len(word) + 1):
-                        grams[y][padded[i : i + ORDER]] += n
-            keys = list(grams[0].keys() | grams[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([g[k] for k in keys], pa.int64()) for g in grams)], names=["gram", "n0", "n1"])
-
-    counted = sample.select(F.col("y").cast("int").alias("y"), "text").mapInArrow(count, "gram string, n0 long, n1 long")
-    return counted.groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+        found = (Counter(), Counter())
 
+        def passed() -> Iterator[pa.RecordBatch]:
+            for y in (0, 1):
+                if found[y]:
+                    keys, n = sums(found[y])
+                    none = np.zeros_like(n)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(x) for x in ((none, n) if y else (n, none)))], names=["gram", "n0", "n1"])
+                    found[y].clear()
 
-def _all_sequences(docs: DataFrame) -> DataFrame:
-    """Rows ``(gram, n)``: sequences of ORDER letters in the words of all documents; a document counts a word once."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def grams() -> Iterator[pa.RecordBatch]:
-            sums = Counter()
-            for word, n in found.items():
-                padded = "\1" * (ORDER - 1) + word + "\1"
-                for i in range(len(word) + 1):
-                    sums[padded[i : i + ORDER]] += n
-            found.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.int64())], names=["gram", "n"])
-
-        found = Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                found.update(set(words(text)))
-                if len(found) > COUNTED:
-                    yield from grams()
-        yield from grams()
+            for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found[y].update(set(words(text)))
+                if len(found[y]) > COUNTED:
+                    yield from passed()
+        yield from passed()
 
-    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "gram string, n long")
-    return counted.groupBy("gram").agg(F.sum("n").alias("n"))
+    counted = rows.select(F.col("y").cast("int").alias("y"), F.col("text").cast("string").alias("text")).mapInArrow(count, "gram long, n0 long, n1 long")
+    return counted.groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
 def shared_levels(counts: DataFrame, wanted: DataFrame) -> list[pd.DataFrame]:
-    """For the ``wanted(gram)`` and their endings down to three letters ``(n, total, kinds)`` by gram, the longest first:
-    its count, that of its history, and how many letters follow the history. Counts are of all of ``counts(gram, n)``."""
+    """For the ``wanted(gram)`` and their endings down to one letter ``(n, total, kinds)`` by gram, the longest first: its
+    count, that of its history, and how many letters follow the history. Counts are of all of ``counts(gram, n)``; those of
+    endings are continuation counts, the number of letters that come before them."""
     out = []
-    for order in range(ORDER, PAIR, -1):
+    for order in range(ORDER, 0, -1):
         counts, wanted = cut(counts), cut(wanted)  # wanted is bounded by the sample
-        history, ending = F.substring("gram", 1, order - 1), F.substring("gram", 2, order - 1)
-        sums = counts.groupBy(history.alias("history")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+        history, ending = F.shiftright("gram", BITS), F.col("gram").bitwiseAND(F.lit((1 << BITS * (order - 1)) - 1))
+        totals = counts.groupBy(history.alias("history")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
         own = counts.join(F.broadcast(wanted), "gram").select("gram", "n", history.alias("history"))
-        out.append(sums.join(F.broadcast(own), "history").select("gram", "n", "total", "kinds").toPandas().set_index("gram"))
+        out.append(totals.join(F.broadcast(own), "history").select("gram", "n", "total", "kinds").toPandas().set_index("gram"))
         counts = counts.groupBy(ending.alias("gram")).agg(F.count("*").alias("n"))
         wanted = wanted.select(ending.alias("gram")).distinct()
     return out
 
 
-_letter_ids: list[np.ndarray] = []
-
-
-def letter_ids() -> np.ndarray:
-    if not _letter_ids:
-        ids = np.zeros(0x110000, dtype=np.int64)
-        for c in range(0x110000):
-            if (x := chr(c)).isalnum() or x == "_":
-                ids[c] = 1 + c % (_LETTERS - 1)
-        _letter_ids.append(ids)
-    return _letter_ids[0]
-
-
-def _shared_pairs(docs: DataFrame) -> np.ndarray:
-    """Counts of letter pairs in all documents: row, the letter before; column, the letter."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, sums = letter_ids(), np.zeros(_LETTERS * _LETTERS, dtype=np.int64)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text:
-                    own = ids[np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), dtype="<u4")]
-                    pairs = own[:-1] * _LETTERS + own[1:]
-                    if len(pairs) > 200_000:
-                        sums += np.bincount(pairs, minlength=len(sums))
-                    else:
-                        np.add.at(sums, pairs, 1)
-        at = np.nonzero(sums)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], names=["i", "n"])
-
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(_LETTERS * _LETTERS)
-    out[rows["i"].to_numpy(dtype=np.int64)] = rows["n"]
-    return out.reshape(_LETTERS, _LETTERS)
-
-
-def shared_model(counts: pd.Series, pairs: np.ndarray) -> pd.Series:
-    """Interpolated Kneser-Ney likelihoods of the sequences in ``counts``: continuation counts below the longest, letter
-    pairs of all documents at last."""
-    levels = [counts]
-    for _ in range(ORDER - PAIR - 1):
-        levels.append(pd.Series(1, index=levels[-1].index.str[1:]).groupby(level=0, sort=False).sum())
-    found = []
-    for level in levels:
-        at, _ = pd.factorize(level.index.str[:-1])
+def local_levels(grams: np.ndarray, n: np.ndarray, order: int = ORDER) -> list[pd.DataFrame]:
+    """What ``shared_levels`` gives of counts that are at hand."""
+    out, level = [], pd.Series(n, index=grams)
+    for k in range(order, 0, -1):
+        at, _ = pd.factorize(level.index.to_numpy() >> BITS)
         n = level.to_numpy(dtype=float)
-        found.append(pd.DataFrame({"n": n, "total": np.bincount(at, n)[at], "kinds": np.bincount(at)[at]}, index=level.index))
-    return interpolated(found, pairs)
+        out.append(pd.DataFrame({"n": n, "total": np.bincount(at, n)[at], "kinds": np.bincount(at)[at]}, index=level.index))
+        level = pd.Series(1, index=level.index.to_numpy() & (1 << BITS * (k - 1)) - 1).groupby(level=0, sort=False).sum()
+    return out
 
 
-def interpolated(levels: list[pd.DataFrame], pairs: np.ndarray) -> pd.Series:
-    """Likelihoods of the first of ``levels``, as shared_levels gives them."""
-    base, ids = pairs + 0.1, letter_ids()
-    base = base / base.sum(axis=1, keepdims=True)
+def interpolated(levels: list[pd.DataFrame]) -> pd.Series:
+    """Kneser-Ney likelihoods of the first of ``levels``; below single letters all are as likely."""
     below = None
-    for level in reversed(levels):
-        lower = level.index.str[1:]
+    for k, level in enumerate(reversed(levels)):
         n, total, kinds = (level[c].to_numpy(dtype=float) for c in ("n", "total", "kinds"))
-        shorter = base[ids[lower.str[0].map(ord)], ids[lower.str[1].map(ord)]] if below is None else below.reindex(lower).to_numpy()
+        shorter = 1 / (1 << BITS) if below is None else below.reindex(level.index.to_numpy() & (1 << BITS * k) - 1).to_numpy()
         below = pd.Series((n - SHARED_DISCOUNT + SHARED_DISCOUNT * kinds * shorter) / total, index=level.index)
     return below
 
 
-def smooth(grams: pd.DataFrame, pairs: np.ndarray, levels: list[pd.DataFrame] | None = None) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-    """Log ratios of the classes' likelihoods, and of their backoff weights, from ``(gram, n0, n1)`` and the letter pairs;
-    the shared counts are those of ``levels``, or else of both classes together."""
-    if levels is None:
-        shared = shared_model(pd.Series((grams["n0"] + grams["n1"]).to_numpy(), index=pd.Index(grams["gram"])), pairs).to_numpy()
-    else:
-        shared = interpolated(levels, pairs).reindex(grams["gram"]).to_numpy()
-    at, histories = pd.factorize(grams["gram"].str[:-1])
+def smooth(grams: pd.DataFrame, shared: pd.Series) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Log ratios of the classes' likelihoods, and of their backoff weights, from ``(gram, n0, n1)`` and the shared
+    likelihoods."""
+    grams = grams.sort_values("gram")
+    keys, below = grams["gram"].to_numpy(), shared.reindex(grams["gram"]).to_numpy()
+    at, histories = pd.factorize(keys >> BITS)  # in the order of the keys, so sorted too
     p, back = [], []
     for n in (grams["n0"].to_numpy(dtype=float), grams["n1"].to_numpy(dtype=float)):
-        total, kept = np.bincount(at, n), np.maximum(n - DISCOUNT, 0)
+        total = np.bincount(at, n)
+        expected = total[at] * below
+        own = n > expected * (1 + MARGIN) + ERRORS * np.sqrt(expected) + LEAST
+        kept = np.where(own, n - DISCOUNT, 0)
         left = np.where(total > 0, 1 - np.bincount(at, kept) / np.maximum(total, 1), 1.0)
-        p.append(kept / np.maximum(total, 1)[at] + left[at] * shared)
+        p.append(kept / np.maximum(total, 1)[at] + left[at] * below)
         back.append(left)
-
-    def ordered(keys: list[str], values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        hashes = _hash_of(keys)
-        place = np.argsort(hashes)
-        return hashes[place], values[place]
-
-    return ordered(grams["gram"].tolist(), np.log(p[1] / p[0])), ordered(list(histories), np.log(back[1] / back[0]))
+    return (keys, np.log(p[1] / p[0])), (histories, np.log(np.maximum(back[1], 1e-9) / np.maximum(back[0], 1e-9)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, calibration_rows: int = CALIBRATION_ROWS) -> Model:
@@ -293,12 +234,12 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, calibratio
     picked = picked.select(F.col("doc_id").alias("picked_id"), "y", "part")
     # Bounded: at most twice fit_rows + calibration_rows ids.
     sample = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(cut(picked)), F.col("doc_id") == F.col("picked_id")).select("y", "part", "text"))
-    sequences = cut(_sequences(sample.where("part = 0")))
-    grams = sequences.toPandas()
+    own = cut(sequences(sample.where("part = 0")))
+    grams = own.toPandas()
     if not len(grams):
         return nothing
-    grams = grams.sort_values("gram")
-    model = Model(*smooth(grams, _shared_pairs(docs), shared_levels(_all_sequences(docs), sequences.select("gram"))), np.zeros(2))
+    shared = interpolated(shared_levels(sequences(docs.select(F.lit(0).alias("y"), "text")).select("gram", F.col("n0").alias("n")), own.select("gram")))
+    model = Model(*smooth(grams, shared), np.zeros(2))
     return _calibrated(model, sample.where("part = 1"), known)
 
 
