@@ -4,8 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
+import struct
+from collections import Counter
 
+import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tidemark.llm import fingerprints as fp
@@ -14,8 +19,47 @@ SCHEMA = "doc_id long, text string"
 
 
 def of(spark, *texts):
-    rows = spark.createDataFrame(list(enumerate(texts)), SCHEMA).select("doc_id", fp.fingerprint(F.col("text")).alias("v")).collect()
-    return [r.v for r in sorted(rows, key=lambda r: r.doc_id)]
+    rows = fp.vectors(spark.createDataFrame(list(enumerate(texts)), SCHEMA), ["doc_id"]).collect()
+    return [r.vector for r in sorted(rows, key=lambda r: r.doc_id)]
+
+
+def brute_units(text: str | None) -> list[str]:
+    out = []
+    for unit in re.split(fp.UNIT, text or ""):
+        if len(unit) <= fp.LONG:
+            out.append(unit)
+            continue
+        at = 0
+        while at < len(unit):
+            end = at + 1
+            while end < len(unit) and end - at < fp.PIECE and not (unit[end - 1] == " " and unit[end - 2] in "dgklm" and end - at > 1 or unit[end - 1] == " " and end - at == 1 and at and unit[at - 1] in "dgklm"):
+                end += 1
+            out.append(unit[at:end])
+            at = end
+    return [u for u in out if u]
+
+
+def brute_vector(text: str | None) -> list[int]:
+    """The vector by its definition, lane by lane."""
+    counts, wide, n = [0] * 128, [0] * 4, 0
+    for unit in brute_units(text):
+        h = [xxhash.xxh64_intdigest(unit.encode(), xxhash.xxh64_intdigest(struct.pack("<i", i), 42)) for i in range(4)]
+        for lane in range(128):
+            counts[lane] += h[lane // 64] >> lane % 64 & 1
+        for i in range(4):
+            wide[i] += h[2 + i // 2] >> 32 * (i % 2) & 0xFFFFFFFF
+        n += 1
+    lanes = [counts[64 * i + j] | counts[64 * i + j + 32] << 32 for i in (0, 1) for j in range(32)]
+    return [*lanes, *(w % (1 << 62) for w in wide), n]
+
+
+def brute_likeness(x: str | None, y: str | None) -> float:
+    a, b = brute_vector(x), brute_vector(y)
+    if a == b:
+        return 1.0
+    s, t = (np.array([2 * (w >> k & 0xFFFFFFFF) - v[-1] for w in v[:64] for k in (0, 32)], dtype=float) for v in (a, b))
+    both = s @ s + t @ t
+    return float(min(1.0, max(0.0, 2 * (s @ t) / both))) if both else 0.0
 
 
 def test_order_does_not_matter_but_number_does(spark):
@@ -27,13 +71,28 @@ def test_units_go_in_and_out(spark):
     a, b, both, none, null = of(spark, "one\ntwo", "three. four! five", "three. four! five\none\ntwo", "", None)
     row = spark.range(1).select(
         fp.combine(F.lit(a), F.lit(b)).alias("sum"), fp.remove(F.lit(both), F.lit(b)).alias("rest"), fp.remove(F.lit(a), F.lit(a)).alias("zero")).first()
-    assert row["sum"] == both and row["rest"] == a and row["zero"] == none == null == [0] * 45
+    assert row["sum"] == both and row["rest"] == a and row["zero"] == none == null == [0] * fp.SIZE
+
+
+def test_lanes_wrap_alone(spark):
+    full = [(1 << 32) - 1] * fp.WORDS + [fp.MODULUS] * fp.WIDE + [7]
+    one = [1] * fp.SIZE
+    row = spark.range(1).select(fp.combine(F.lit(full), F.lit(one)).alias("sum"), fp.remove(fp.combine(F.lit(full), F.lit(one)), F.lit(one)).alias("back")).first()
+    assert row["sum"] == [0] * (fp.WORDS + fp.WIDE) + [8] and row["back"] == full
+
+
+def test_vectors_are_those_of_the_definition(spark):
+    rng = random.Random(9)
+    letters = "abdegiklmnorst"
+    texts = [None, "", "a", "é😀. x\r\ny! z", "word " * 400, "x" * 1000, ". . .", "a\n" * 500]
+    texts += [" ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(1, 300))) + rng.choice([".", ""]) for _ in range(30)]
+    assert of(spark, *texts) == [brute_vector(t) for t in texts]
 
 
 def likeness(spark, x, y):
-    row = spark.createDataFrame([(x, y)], "x string, y string").select(fp.fingerprint(F.col("x")).alias("a"), fp.fingerprint(F.col("y")).alias("b"))
-    row = row.select("a", "b", fp._signs(F.col("a")).alias("s"), fp._signs(F.col("b")).alias("t"))
-    return row.select(fp.likeness(F.col("s"), F.col("t"), F.col("a") == F.col("b"))).first()[0]
+    a, b = of(spark, x, y)
+    row = spark.range(1).select(fp.signs(F.lit(a)).alias("s"), fp.signs(F.lit(b)).alias("t"))
+    return row.select(fp.likeness(fp.dot(F.col("s"), F.col("t")), fp.dot(F.col("s"), F.col("s")), fp.dot(F.col("t"), F.col("t")), F.lit(a == b))).first()[0]
 
 
 def test_likeness_follows_the_shared_units(spark):
@@ -46,6 +105,21 @@ def test_likeness_follows_the_shared_units(spark):
         assert abs(likeness(spark, "\n".join(lines), "\n".join(other)) - shared / 120) < 0.3
 
 
+def test_long_sentences_share_their_halves(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abdegiklmnorst") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    text = " ".join(rng.choice(words) for _ in range(2000))
+    half = text[: len(text) // 2] + " ".join(rng.choice(words) for _ in range(1000))
+    assert 0.25 < likeness(spark, text, half) < 0.75 and likeness(spark, "same " * 4000, "same " * 2000 + "other " * 1600) > 0.2
+
+
+def test_a_text_of_three_million_lines(spark):
+    n = 3_000_000
+    (vector,) = of(spark, "abc\n" * n)
+    one = brute_vector("abc")
+    assert vector == [x * n % (1 << 62) if i >= fp.WORDS else (x & 0xFFFFFFFF) * n | (x >> 32) * n << 32 for i, x in enumerate(one)]
+
+
 def brute_edited(docs):
     ids = sorted(docs, key=lambda r: r[0])
     out = {}
@@ -56,27 +130,49 @@ def brute_edited(docs):
     return out
 
 
-@pytest.mark.parametrize("bins", [1, 3, 50])
-def test_every_document_meets_the_next_one(spark, bins):
+def placed(df):
+    return {(r.doc_id, r.text): r.next_text for r in df.where("ghost = 0").collect()}
+
+
+@pytest.mark.parametrize(("ranges", "size"), [(1, 1 << 20), (3, 1 << 20), (50, 1 << 20), (4, 100)])
+def test_every_document_meets_the_next_one(spark, ranges, size):
     rng = random.Random(2)
     docs = [(rng.randrange(-(10**12), 10**12), rng.choice(["", None, "é" * rng.randint(1, 50), "x\ny. z " * rng.randint(1, 40), "😀a"])) for _ in range(60)]
     rows = spark.createDataFrame(docs, SCHEMA).withColumns({"bin": F.lit("clash"), "next_text": F.lit(1), "head": F.lit(0)})
     want = brute_edited(docs)
-    got = fp.with_next(rows, bins).collect()
+    got = fp.with_next(rows, ranges, size).where("ghost = 0").collect()
     assert len(got) == 60 and all((r.text, r.next_text) == (want[r.doc_id][2], want[r.doc_id][3]) for r in got)
 
 
+def test_an_id_of_most_rows_is_cut_into_ranges(spark):
+    rng = random.Random(4)
+    docs = [(7, f"text {rng.random()}") for _ in range(300)] + [(i, f"other {i}") for i in (1, 2, 3, 900, 901, 902)] + [(None, f"none {i}") for i in range(150)]
+    rows = fp.with_next(spark.createDataFrame(docs, SCHEMA), 12, 500)
+    assert rows.where("doc_id = 7 and ghost = 0").select("bin").distinct().count() > 3
+    got = placed(rows)
+    assert len(got) == len(docs)
+    at, seen = (3, "other 3"), []
+    while not seen or at != (3, "other 3"):  # the texts of all rows, one after the other
+        seen.append(at[0])
+        at = next(((i, t) for i, t in got if t == got[at]))
+    assert seen == [3, *[7] * 300, 900, 901, 902, *[None] * 150, 1, 2]
+
+
 def test_query(spark, sf):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     want = brute_edited(docs)
     got = fp.op4_fingerprints(spark, sf).collect()
     assert len(got) == len(docs)
-    by_text, texts = {}, dict(docs)
+    texts = dict(docs)
     for r in got:
+        own, following = want[r.doc_id][2:]
+        half = len(own) // 2
+        changed = own[: len(own) - half] + following[:half]
         assert (r.n_chars, r.edited_sha256) == want[r.doc_id][:2]
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
-        assert by_text.setdefault(texts[r.doc_id] or "", r.fingerprint) == r.fingerprint
-    assert len(set(by_text.values())) == len({frozenset(__import__("collections").Counter(u for u in __import__("re").split(fp.UNIT, t) if u).items()) for t in by_text})
+        for text, found in ((own, r.fingerprint), (changed, r.edited_fingerprint)):
+            assert found == "".join(f"{x:016x}" for x in brute_vector(text))
+        assert abs(r.near_edited - brute_likeness(own, changed)) < 1e-9 and abs(r.near_next - brute_likeness(own, following)) < 1e-9
+    assert len({r.fingerprint for r in got}) == len({frozenset(Counter(brute_units(t)).items()) for t in texts.values()})
 
 
 def test_nulls_repeats_one_row_and_no_rows(spark):
@@ -84,7 +180,7 @@ def test_nulls_repeats_one_row_and_no_rows(spark):
     r = fp.compare_edited(one).first()
     assert r.edited_sha256 == hashlib.sha256(b"abab").hexdigest() and r.near_next == 1.0
     rows = spark.createDataFrame([(None, "n"), (1, "b"), (1, "a"), (2, None)], SCHEMA)
-    got = {(r.doc_id, r.text): r.next_text for r in fp.with_next(rows).collect()}
+    got = placed(fp.with_next(rows))
     assert got == {(None, "n"): "a", (1, "a"): "b", (1, "b"): "", (2, ""): "n"}
     assert fp.compare_edited(one.limit(0)).isEmpty()
 
