@@ -143,17 +143,89 @@ def test_quality_on_held_out_documents(spark):
     assert kept == set(out.loc[out["predicted"] == 1, "doc_id"])
 
 
+def picked_locally(pool, ids, share, per_round, sure=quality.SURE):
+    """The same as quality.pick_from, on an array."""
+    def pick(views, known):
+        out = []
+        for v, part in enumerate(quality.split(pool)):
+            p, own, marks = logit.probability(views[v].value(part)), [], []
+            for mark, certain, of in ((1.0, p, share), (0.0, 1 - p, 1 - share)):
+                fine = sorted((-c, i) for i, c in zip(ids, certain, strict=True) if c >= sure and i not in known[1 - v])
+                own += [i for _, i in fine[: int(np.ceil(per_round * of))]]
+                marks += [mark] * (len(own) - len(marks))
+            out.append((own, pool[[ids.index(i) for i in own]], np.array(marks)))
+        return out
+
+    return pick
+
+
+def two_views(rng, n):
+    y = (rng.random(n) < 0.5).astype(float)
+    x = np.zeros((n, quality.TEXT + quality.META + quality.WORDS), dtype=np.float32)
+    x[:, : quality.TEXT + quality.META] = rng.standard_normal((n, quality.TEXT + quality.META))
+    x[:, : quality.TEXT] += 0.5 * y[:, None]
+    x[:, quality.TEXT : quality.TEXT + quality.META] += 1.2 * y[:, None]
+    return x, y
+
+
 def test_views_teach_each_other():
-    rng = np.random.default_rng(1)
-    y = (rng.random(2500) < 0.5).astype(float)
-    x = rng.standard_normal((2500, quality.TEXT + quality.META))
-    x[:, : quality.TEXT] += 0.9 * y[:, None]
-    x[:, quality.TEXT :] += 1.2 * y[:, None]
-    few, pool, test = slice(0, 40), slice(40, 1500), slice(1500, None)
-    alone = quality.co_train(x[few], y[few], x[pool], np.ones(40), rounds=0)
-    taught = quality.co_train(x[few], y[few], x[pool], np.ones(40))
-    for v, part in enumerate(quality.split(x[test])):
-        assert auc(taught[v].value(part), y[test]) > auc(alone[v].value(part), y[test]) - 0.01
+    gain = np.zeros((8, 2))
+    for seed in range(len(gain)):
+        x, y = two_views(np.random.default_rng(seed), 2500)
+        few, pool, test = slice(0, 60), slice(60, 1500), slice(1500, None)
+        alone = quality.co_train(x[few], y[few], np.ones(60), None)
+        taught = quality.co_train(x[few], y[few], np.ones(60), picked_locally(x[pool], list(range(1440)), 0.5, 30))
+        gain[seed] = [auc(taught[v].value(part), y[test]) - auc(alone[v].value(part), y[test]) for v, part in enumerate(quality.split(x[test]))]
+    assert (gain.mean(axis=0) > 0.01).all()
+
+
+def test_every_unlabelled_row_may_be_picked(spark):
+    x, y = two_views(np.random.default_rng(3), 700)
+    views = quality.co_train(x[:200], y[:200], np.ones(200), None)
+    measures, words = quality._packed(x)
+    rows = spark.createDataFrame([(i, i, [float(v) for v in m], w) for i, m, w in zip(range(700), measures, words, strict=True)], "doc_id long, h long, x array<float>, w binary").repartition(5)
+    known = [{3, 5, 8}, {1, 2}]
+    for share in (0.5, 0.9, 1.0):
+        got = quality.pick_from(rows, share, 40, 0.7)(views, known)
+        want = picked_locally(x, list(range(700)), share, 40, 0.7)(views, known)
+        for (ids, found, marks), (want_ids, want_found, want_marks) in zip(got, want, strict=True):
+            assert ids == want_ids and np.allclose(found, want_found) and marks.tolist() == want_marks.tolist() and len(ids) > 20
+
+
+def test_values_are_those_of_the_design():
+    x, y = two_views(np.random.default_rng(4), 300)
+    x[:, quality.TEXT + quality.META :] = np.random.default_rng(5).integers(0, 256, (300, quality.WORDS))
+    for view, part in zip(quality.co_train(x, y, np.ones(300), None), quality.split(x), strict=True):
+        assert np.allclose(view.value(part), logit.value(view.design(part), view.beta))
+
+
+def brute_text_features(text):
+    """The measures and the words' buckets of a text, one after the other."""
+    raw = (text or "").encode("utf-8", "replace")
+    n = max(1, len(raw))
+    words = raw.split()
+    k = max(1, len(words))
+
+    def count(test):
+        return sum(1 for c in raw if test(c))
+
+    upper, lower, digits, high, space = count(lambda c: 65 <= c <= 90), count(lambda c: 97 <= c <= 122), count(lambda c: 48 <= c <= 57), count(lambda c: c >= 128), count(lambda c: c in b" \t\n\r\x0b\x0c")
+    plain = raw.count(b".") + raw.count(b",")
+    lines = [x for x in raw.split(b"\n") if x]
+    pairs = [(words[i], words[i + 1]) for i in range(len(words) - 1)]
+    measures = [(upper + lower + high) / n, upper / max(1, upper + lower), digits / n, (n - upper - lower - digits - high - space - plain) / n, plain / k, raw.count(b"|") / k, raw.count(b"!") / k,
+                (n - space) / k, len(set(words)) / k ** 0.75, sum(a == b for a, b in pairs) / k, len(set(pairs)) / k, len(set(lines)) / max(1, len(lines)), np.log(1 + k), sum(map(raw.count, (b"#", b"$", b"%", b"&", b"*"))) / k]
+    shares = np.zeros(quality.WORDS)
+    for w in words:
+        shares[zlib.crc32(w) % quality.WORDS] += 1 / k
+    return measures, np.rint(255 * np.sqrt(shares))
+
+
+@pytest.mark.parametrize("text", [None, "", "a", "One two TWO. two\n\nthree!| 4 &#$%*", "é😀 " * 50, "x " * 100_000, "same same\n" * 40])
+def test_text_features_are_those_of_the_definition(text):
+    measures, words = quality.text_features(text)
+    want, want_words = brute_text_features(text)
+    assert np.allclose(measures, want) and np.allclose(words, want_words, atol=1)
 
 
 @pytest.mark.parametrize("module", [toxicity, quality])

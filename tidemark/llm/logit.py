@@ -5,10 +5,10 @@ from __future__ import annotations
 import numpy as np
 
 
-def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1.0, steps: int = 40) -> np.ndarray:
-    """Weights, the intercept last, by Newton steps; the ridge leaves the intercept free. No rows: all zero."""
+def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1.0, steps: int = 40, start: np.ndarray | None = None) -> np.ndarray:
+    """Weights, the intercept last, by Newton steps; the ridge leaves the intercept free. No rows: all zero, or ``start``."""
     x = np.hstack([x, np.ones((len(x), 1))]).astype(float)
-    beta = np.zeros(x.shape[1])
+    beta = np.zeros(x.shape[1]) if start is None else start.copy()
     if not len(x):
         return beta
     weight = np.ones(len(x)) if weight is None else weight

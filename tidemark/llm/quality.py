@@ -1,24 +1,28 @@
 """Quality classifier by co-training.
 
-Two views of a document: what its text is made of (shares of letters, capitals, digits, symbols, repeated words, lines
-and so on), and its page metadata (language, source, declared length, lines). A logistic classifier is fitted on each view of a
-labelled sample. Over some rounds each gives the unlabelled documents it is surest of, as many of a class as its share,
-as pseudo-labelled examples to the other. In the end both are calibrated on a fold of their own and combined, and all
+Two views of a document: its text (hashed words, and shares of letters, capitals, digits, symbols, repeated words, lines and
+so on), and its page metadata (language, source, declared length, lines). A logistic classifier is fitted on each view of a
+labelled sample. Over some rounds each gives the unlabelled documents it is surest of, as many of a class as its share, as
+pseudo-labelled examples to the other. In the end both are calibrated on a fold of their own and combined, and all
 documents are scored.
 
-Bounds, all parameters: ``FIT_ROWS`` labelled documents of each class, ``CALIBRATION_ROWS`` of each for calibration, and
-``POOL_ROWS`` unlabelled ones, those with the smallest hashed ids. Rows whose crc32(doc_id) divides by 5 are held out from
-all of them. Scoring reads every whole text.
+Every unlabelled document is judged by both views in every round, where it is: the views' features are worked out once, and
+a round is a pass over them that leaves each task's surest ones. Bounds, all parameters: ``FIT_ROWS`` labelled documents of
+each class, ``CALIBRATION_ROWS`` of each for calibration, those with the smallest hashed ids, and ``PER_ROUND``, the examples
+that a view gives in a round (and no more than a tenth of the labelled sample, so that labels outweigh them). Rows whose crc32(doc_id) divides by 5 are held out from all of them.
 
 Nulls and edges: null text, lang, source or n_chars are values of their own (an empty text, an empty name, length 0);
 rows without doc_id are scored and not held out. Without labels of both classes every score is the base rate (1 if there
-are no labels, so that nothing is rejected unjudged). Repeated rows are scored each; an empty table gives no rows.
+are no labels, so that nothing is rejected unjudged). Of equally sure documents those with the smaller hashed id are given.
+Repeated rows are scored each; whole texts are read, a very long one as one row; an empty table gives no rows; columns with
+clashing names are not looked at.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from operator import eq
 
@@ -30,14 +34,18 @@ from pyspark.sql import functions as F
 from tidemark.llm import logit
 from tidemark.llm.common import cut, held_out, labelled, sample_ids, small_batches, table
 
-FIT_ROWS, CALIBRATION_ROWS, POOL_ROWS = 5000, 2000, 6000
+FIT_ROWS, CALIBRATION_ROWS = 5000, 2000
 ROUNDS, PER_ROUND, SURE = 4, 300, 0.9
+#: Examples of a round as a share of the labelled sample, at most; weight of one.
+GROWTH, GIVEN = 0.1, 0.5
 BINS = 12
-TEXT, META = 14, 4
+#: Measured features of the text, those of the metadata, and buckets of hashed words.
+TEXT, META, WORDS = 14, 4, 256
 _NAMES = 16
 
 
-def text_features(text: str | None) -> list[float]:
+def text_features(text: str | None) -> tuple[list[float], np.ndarray]:
+    """Measures of a text, and by bucket the root of its words' share, in 255ths."""
     raw = (text or "").encode("utf-8", "replace")
     n = max(1, len(raw))
     bytes_ = np.bincount(np.frombuffer(raw, dtype=np.uint8), minlength=256)
@@ -45,15 +53,19 @@ def text_features(text: str | None) -> list[float]:
     high = bytes_[128:].sum()
     space = bytes_[32] + bytes_[9:14].sum()
     words = raw.split()
+    found = Counter(words)
     k = max(1, len(words))
     lines = [x for x in raw.split(b"\n") if x]
     symbols = n - upper - lower - digits - high - space
     plain = bytes_[46] + bytes_[44]
-    return [
+    measures = [
         (upper + lower + high) / n, upper / max(1, upper + lower), digits / n, (symbols - plain) / n, plain / k, bytes_[124] / k, bytes_[33] / k,
-        (n - space) / k, len(set(words)) / k ** 0.75, sum(map(eq, words, words[1:])) / k, len(set(zip(words, words[1:], strict=False))) / k,
+        (n - space) / k, len(found) / k ** 0.75, sum(map(eq, words, words[1:])) / k, len(set(zip(words, words[1:], strict=False))) / k,
         len(set(lines)) / max(1, len(lines)), np.log1p(k), (bytes_[35] + bytes_[36] + bytes_[37] + bytes_[38] + bytes_[42]) / k,
     ]
+    buckets = np.fromiter(map(zlib.crc32, found), dtype=np.int64, count=len(found)) % WORDS
+    shares = np.bincount(buckets, np.fromiter(found.values(), dtype=float, count=len(found)), minlength=WORDS) / k
+    return measures, np.rint(255 * np.sqrt(shares)).astype(np.uint8)
 
 
 def meta_features(lang: str | None, source: str | None, n_chars: float, lines: float) -> list[float]:
@@ -71,34 +83,58 @@ def _columns(docs: DataFrame) -> list[Column]:
 
 
 def features(batch: pd.DataFrame) -> np.ndarray:
-    """Both views of a batch of (text, lang, source, n_chars, n_lines), the text's first."""
-    return np.array([
-        text_features(t if isinstance(t, str) else None) + meta_features(a if isinstance(a, str) else None, b if isinstance(b, str) else None, c, d)
-        for t, a, b, c, d in zip(batch["text"], batch["lang"], batch["source"], batch["n_chars"], batch["n_lines"], strict=True)
-    ]).reshape(len(batch), TEXT + META)
+    """Both views of a batch of (text, lang, source, n_chars, n_lines): the text's measures, the metadata, the words."""
+    out = np.zeros((len(batch), TEXT + META + WORDS), dtype=np.float32)
+    for i, (t, a, b, c, d) in enumerate(zip(batch["text"], batch["lang"], batch["source"], batch["n_chars"], batch["n_lines"], strict=True)):
+        measures, words = text_features(t if isinstance(t, str) else None)
+        out[i, :TEXT] = measures
+        out[i, TEXT : TEXT + META] = meta_features(a if isinstance(a, str) else None, b if isinstance(b, str) else None, c, d)
+        out[i, TEXT + META :] = words
+    return out
+
+
+def _packed(x: np.ndarray) -> tuple[list, list[bytes]]:
+    return list(x[:, : TEXT + META]), [w.tobytes() for w in x[:, TEXT + META :].astype(np.uint8)]
+
+
+def _unpacked(batch: pd.DataFrame) -> np.ndarray:
+    if not len(batch):
+        return np.zeros((0, TEXT + META + WORDS), dtype=np.float32)
+    words = np.frombuffer(b"".join(batch["w"]), dtype=np.uint8).reshape(len(batch), WORDS)
+    return np.hstack([np.array(batch["x"].tolist(), dtype=np.float32), words.astype(np.float32)])
 
 
 @dataclass
 class View:
-    """One classifier: each feature is cut into bins at the sample's quantiles, and a bin has a weight."""
+    """One classifier: each measure is cut into bins at the sample's quantiles, and a bin has a weight, as has each bucket."""
 
     edges: list[np.ndarray]
     beta: np.ndarray
 
     @staticmethod
     def bins(x: np.ndarray) -> list[np.ndarray]:
-        return [np.unique(np.quantile(c, np.arange(1, BINS) / BINS)) for c in x.T]
+        return [np.unique(np.quantile(c, np.arange(1, BINS) / BINS)).astype(np.float32) for c in x.T]
+
+    def _places(self, x: np.ndarray) -> Iterator[tuple[int, np.ndarray, int]]:
+        start = 0
+        for c, e in zip(x.T, self.edges, strict=False):
+            yield start, np.searchsorted(e, c, side="right"), len(e) + 1
+            start += len(e) + 1
 
     def design(self, x: np.ndarray) -> np.ndarray:
         parts = []
-        for c, e in zip(x.T, self.edges, strict=True):
-            one = np.zeros((len(x), len(e) + 1))
-            one[np.arange(len(x)), np.searchsorted(e, c, side="right")] = 1.0
+        for _, place, size in self._places(x):
+            one = np.zeros((len(x), size))
+            one[np.arange(len(x)), place] = 1.0
             parts.append(one)
-        return np.hstack(parts)
+        return np.hstack([*parts, x[:, len(self.edges) :] / 255])
 
     def value(self, x: np.ndarray) -> np.ndarray:
-        return logit.value(self.design(x), self.beta)
+        out, end = np.full(len(x), self.beta[-1]), 0
+        for start, place, size in self._places(x):
+            out += self.beta[start + place]
+            end = start + size
+        return out + x[:, len(self.edges) :] @ (self.beta[end:-1] / 255)
 
 
 @dataclass
@@ -116,61 +152,106 @@ class Model:
 
 
 def split(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return x[:, :TEXT], x[:, TEXT:]
+    """The text's view, words last, and the metadata's."""
+    return np.hstack([x[:, :TEXT], x[:, TEXT + META :]]), x[:, TEXT : TEXT + META]
+
 
+#: What a view gives: from both views and by view the ids given to it so far, the ids, features and labels of its examples.
+Pick = Callable[[list[View], list[set[int]]], list[tuple[list[int], np.ndarray, np.ndarray]]]
 
-def co_train(x: np.ndarray, y: np.ndarray, pool: np.ndarray, weight: np.ndarray, rounds: int = ROUNDS, per_round: int = PER_ROUND, sure: float = SURE) -> list[View]:
-    """Both views' classifiers after ``rounds`` of exchanging pseudo-labels on the pool."""
-    parts, pools = split(x), split(pool)
-    edges = [View.bins(np.vstack([a, b])) for a, b in zip(parts, pools, strict=True)]
-    share = float((weight * y).sum() / weight.sum())
-    given: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, dtype=int), np.zeros(0)), (np.zeros(0, dtype=int), np.zeros(0))]
+
+def co_train(x: np.ndarray, y: np.ndarray, weight: np.ndarray, pick: Pick | None, rounds: int = ROUNDS) -> list[View]:
+    """Both views' classifiers after ``rounds`` of exchanging pseudo-labels."""
+    parts = split(x)
+    edges = [View.bins(parts[0][:, :TEXT]), View.bins(parts[1])]
+    ids: list[set[int]] = [set(), set()]
+    given = [(np.zeros((0, x.shape[1]), dtype=np.float32), np.zeros(0)) for _ in (0, 1)]
+    views: list[View] = []
 
     def fitted(v: int) -> View:
-        view = View(edges[v], np.zeros(0))
-        rows, marks = given[v]
-        design = view.design(np.vstack([parts[v], pools[v][rows]]))
-        view.beta = logit.fit(design, np.concatenate([y, marks]), np.concatenate([weight, np.full(len(rows), 0.5)]))
+        view = View(edges[v], views[v].beta if views else np.zeros(0))
+        design = view.design(np.vstack([parts[v], split(given[v][0])[v]]))
+        view.beta = logit.fit(design, np.concatenate([y, given[v][1]]), np.concatenate([weight, np.full(len(given[v][1]), GIVEN)]), start=view.beta if len(view.beta) else None)
         return view
 
     views = [fitted(0), fitted(1)]
-    for _ in range(rounds if len(pool) else 0):
-        for v in (0, 1):
-            p = logit.probability(views[v].value(pools[v]))
-            rows, marks = given[1 - v]
-            for mark, order, part in ((1.0, np.argsort(-p, kind="stable"), share), (0.0, np.argsort(p, kind="stable"), 1 - share)):
-                certain = p if mark else 1 - p
-                picked = [i for i in order[: int(np.ceil(per_round * part)) + len(rows)] if certain[i] >= sure]
-                picked = np.setdiff1d(np.array(picked, dtype=int), rows)[: int(np.ceil(per_round * part))]
-                rows, marks = np.concatenate([rows, picked]), np.concatenate([marks, np.full(len(picked), mark)])
-            given[1 - v] = rows, marks
+    for _ in range(rounds if pick else 0):
+        for v, (own, rows, marks) in enumerate(pick(views, ids)):
+            ids[1 - v] |= set(own)
+            given[1 - v] = np.vstack([given[1 - v][0], rows]), np.concatenate([given[1 - v][1], marks])
         views = [fitted(0), fitted(1)]
     return views
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, calibration_rows: int = CALIBRATION_ROWS, pool_rows: int = POOL_ROWS) -> Model:
+def surest(views: list[View], x: np.ndarray, ids: np.ndarray, order: np.ndarray, known: list[set[int]], share: float, per_round: int, sure: float) -> Iterator[tuple[int, float, np.ndarray, np.ndarray]]:
+    """(view, label, rows, probabilities of the label) of the rows that a view gives next: the surest, ties by ``order``."""
+    for v, part in enumerate(split(x)):
+        p = logit.probability(views[v].value(part))
+        new = ~np.isin(ids, list(known[1 - v])) if known[1 - v] else np.ones(len(ids), dtype=bool)
+        for mark, certain, of in ((1.0, p, share), (0.0, 1 - p, 1 - share)):
+            rows = np.nonzero(new & (certain >= sure))[0]
+            rows = rows[np.lexsort((order[rows], -certain[rows]))][: int(np.ceil(per_round * of))]
+            yield v, mark, rows, certain[rows]
+
+
+def pick_from(pool: DataFrame, share: float, per_round: int = PER_ROUND, sure: float = SURE) -> Pick:
+    """Picks from all of ``pool(doc_id, x, w)``: each task leaves its surest rows, and of those the surest are taken."""
+    def pick(views: list[View], known: list[set[int]]) -> list[tuple[list[int], np.ndarray, np.ndarray]]:
+        sent = pool.sparkSession.sparkContext.broadcast((views, known))
+
+        def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            own, taken = sent.value
+            best: dict[tuple[int, float], pd.DataFrame] = {}
+            for batch in batches:
+                x = _unpacked(batch)
+                for v, mark, rows, p in surest(own, x, batch["doc_id"].to_numpy(), batch["h"].to_numpy(), taken, share, per_round, sure):
+                    if len(rows):
+                        some = batch.iloc[rows].assign(view=v, mark=mark, p=p)
+                        some = pd.concat([best[v, mark], some]) if (v, mark) in best else some
+                        best[v, mark] = some.sort_values(["p", "h", "doc_id"], ascending=[False, True, True]).head(int(np.ceil(per_round * (share if mark else 1 - share))))
+            yield from best.values()
+
+        found = cut(pool.mapInPandas(of, "doc_id long, h long, x array<float>, w binary, view long, mark double, p double"))
+        out = []
+        for v in (0, 1):
+            rows = []
+            for mark, part in ((1.0, share), (0.0, 1 - share)):
+                most = int(np.ceil(per_round * part))
+                if most:
+                    rows.append(found.where((F.col("view") == v) & (F.col("mark") == mark)).orderBy(F.desc("p"), "h", "doc_id").limit(most).toPandas())
+            both = pd.concat(rows)
+            out.append((both["doc_id"].tolist(), _unpacked(both), both["mark"].to_numpy(dtype=float)))
+        return out
+
+    return pick
+
+
+def seen(docs: DataFrame) -> DataFrame:
+    """Rows ``(doc_id, x, w)``: the features of every row of ``docs``."""
     small_batches(docs.sparkSession)
-    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
-    rows = cut(labelled(docs, labels, "quality", ~held_out(F.col("doc_id"))).where("y in (0, 1)"))
-    known = {int(r["y"]): r["count"] for r in rows.groupBy("y").count().collect()}
-    base = known.get(1, 0) / sum(known.values()) if known else 1.0
-    if len(known) < 2:
-        return Model([], np.array([np.log(max(base, 1e-9) / max(1 - base, 1e-9))]))
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    free = ids.join(rows.select("doc_id"), "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(pool_rows)
-    picked = sample_ids(rows.where(fold != 1), fit_rows).withColumn("part", F.lit(0)).unionByName(
-        sample_ids(rows.where(fold == 1), calibration_rows).withColumn("part", F.lit(1))
-    ).unionByName(free.select("doc_id", F.lit(-1).alias("y"), F.lit(2).alias("part"))).withColumnRenamed("doc_id", "picked_id")
-    # Bounded: at most twice fit_rows + calibration_rows, and pool_rows ids.
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_columns(docs)).join(F.broadcast(cut(picked)), F.col("doc_id") == F.col("picked_id"))
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "y": batch["y"], "part": batch["part"], "x": list(features(batch))})
+            x, w = _packed(features(batch))
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "x": x, "w": w})
 
-    found = sample.select("doc_id", "y", "part", "text", "lang", "source", "n_chars", "n_lines").mapInPandas(of, "doc_id long, y int, part int, x array<double>").toPandas()
-    found = found.sort_values("doc_id", kind="stable")
-    x, y, part = np.array(found["x"].tolist()).reshape(len(found), TEXT + META), found["y"].to_numpy(dtype=float), found["part"].to_numpy()
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_columns(docs)).mapInPandas(of, "doc_id long, x array<float>, w binary")
+
+
+def fit(rows: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, calibration_rows: int = CALIBRATION_ROWS, per_round: int = PER_ROUND) -> Model:
+    """The model of ``rows``, which ``seen`` made and which lie somewhere, and their labels."""
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    marks = cut(labelled(rows, labels, "quality", ~held_out(F.col("doc_id"))).where("y in (0, 1)"))
+    known = {int(r["y"]): r["count"] for r in marks.groupBy("y").count().collect()}
+    base = known.get(1, 0) / sum(known.values()) if known else 1.0
+    nothing = Model([], np.array([np.log(max(base, 1e-9) / max(1 - base, 1e-9))]))
+    if len(known) < 2:
+        return nothing
+    picked = sample_ids(marks.where(fold != 1), fit_rows).withColumn("part", F.lit(0)).unionByName(
+        sample_ids(marks.where(fold == 1), calibration_rows).withColumn("part", F.lit(1)))
+    # Bounded: at most twice fit_rows + calibration_rows ids.
+    found = rows.join(F.broadcast(cut(picked)), "doc_id").toPandas().sort_values("doc_id", kind="stable")
+    x, y, part = _unpacked(found), found["y"].to_numpy(dtype=float), found["part"].to_numpy()
 
     def weights(which: np.ndarray) -> np.ndarray:
         own = y[which]
@@ -179,8 +260,12 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, calibratio
 
     first, second = part == 0, part == 1
     if len(set(y[first])) < 2:
-        return Model([], np.array([np.log(max(base, 1e-9) / max(1 - base, 1e-9))]))
-    views = co_train(x[first], y[first], x[part == 2], weights(first))
+        return nothing
+    weight = weights(first)
+    free = rows.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).join(marks.select("doc_id"), "doc_id", "left_anti")
+    pool = cut(free.select("doc_id", F.xxhash64("doc_id").alias("h"), "x", "w"))
+    per_round = min(per_round, int(np.ceil(GROWTH * first.sum())))
+    views = co_train(x[first], y[first], weight, pick_from(pool, float((weight * y[first]).sum() / weight.sum()), per_round))
     model = Model(views, np.array([1.0, 0.0, 0.0]))
     if len(set(y[second])) == 2:
         model.beta = logit.fit(model.calibrated(x[second]), y[second], weights(second))
@@ -203,14 +288,22 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows ``(doc_id, held_out, score, predicted)``: score is the probability of good quality."""
-    rows = scored(docs.select("doc_id", "text", "lang", "source", "n_chars"), fit(docs, labels))
-    return rows.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.col("quality_score").alias("score"),
-                       (F.col("quality_score") >= 0.5).cast("int").alias("predicted"))
+    rows = cut(seen(docs))
+    sent = docs.sparkSession.sparkContext.broadcast(fit(rows, labels))
+
+    @F.pandas_udf("double")
+    def of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for x, w in batches:
+            yield pd.Series(sent.value.score(_unpacked(pd.DataFrame({"x": x, "w": w}))))
+
+    found = rows.select("doc_id", of("x", "w").alias("quality_score"))
+    return found.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.col("quality_score").alias("score"),
+                        (F.col("quality_score") >= 0.5).cast("int").alias("predicted"))
 
 
 def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the documents that are predicted to be of low quality."""
-    return scored(docs, fit(docs, labels)).where("quality_score >= 0.5").select(*docs.columns)
+    return scored(docs, fit(cut(seen(docs)), labels)).where("quality_score >= 0.5").select(*docs.columns)
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:
