@@ -41,6 +41,8 @@ def test_golay_code_decodes_every_vector():
     for a, i in zip(at, index, strict=True):
         found[a].add(int(i))
     assert all(f == set(np.nonzero(d <= 4)[0]) for f, d in zip(found, distance, strict=True))
+    at, index = code.near(v[:500], 5)
+    assert sorted(zip(at.tolist(), index.tolist(), strict=True)) == [(i, j) for i in range(500) for j in np.nonzero(distance[i] <= 5)[0]]
 
 
 @pytest.mark.parametrize("errors", [0, 1, 2])
@@ -56,8 +58,22 @@ def test_fingerprints_within_two_bits_share_a_key(errors):
     assert len(hit) == len(a)
 
 
-@pytest.mark.parametrize("dense", [2, 32])
-def test_links_connect_what_brute_force_connects(spark, dense):
+@pytest.mark.parametrize("errors", [0, 1, 2])
+def test_split_keys_are_shared_too(errors):
+    rng = np.random.default_rng(10 + errors)
+    a = rng.integers(-(1 << 63), (1 << 63) - 1, 2000)
+    b = a.copy()
+    for _ in range(errors):
+        b ^= np.int64(1) << rng.integers(0, 63, len(b))
+    def split(fps, probe):
+        at, key = simhash.segment_keys(fps, probe)
+        more = simhash.third_keys(key, fps[at], probe)
+        return set(zip(at[more[0]].tolist(), key[more[0]].tolist(), more[1].tolist(), strict=True))
+    assert {at for at, _, _ in split(a, False) & split(b, True)} == set(range(2000))
+
+
+@pytest.mark.parametrize(("dense", "crowd"), [(2, 0), (32, 0), (3, 300), (40, 300)])
+def test_links_connect_what_brute_force_connects(spark, dense, crowd):
     rng = np.random.default_rng(7)
     fps = set()
     for centre in rng.integers(-(1 << 63), (1 << 63) - 1, 40):
@@ -65,6 +81,8 @@ def test_links_connect_what_brute_force_connects(spark, dense):
             flips = np.bitwise_or.reduce(np.int64(1) << rng.integers(0, 63, rng.integers(0, 4)), initial=np.int64(0))
             fps.add(int(centre ^ flips))
     fps |= {0, 1, 3, -1}
+    for x in rng.integers(0, 1 << 20, crowd):  # two segments in common, the third far apart: split; and a dense cluster
+        fps |= {int(x) << 43 | 5 << 22, 1 << 60 | int(x % 24) | 1 << int(x % 19) + 20}
     rows = spark.createDataFrame([(x,) for x in fps], "fp long")
     edges = [(r.fp_a, r.fp_b) for r in simhash.fingerprint_links(rows, dense).collect()]
     assert all(((a ^ b) & (1 << 64) - 1).bit_count() <= 2 for a, b in edges)
@@ -74,6 +92,19 @@ def test_links_connect_what_brute_force_connects(spark, dense):
     assert got == want
 
 
+def test_long_paths_settle(spark):
+    n = 200
+    rows = spark.range(n - 1).selectExpr("id as a", "id + 1 as b")
+    assert {r.component for r in connected_components(rows).collect()} == {0}
+
+
+def test_very_long_texts(spark):
+    long = " ".join(f"w{i % 70001}" for i in range(400_000))
+    rows = spark.createDataFrame([(1, long), (2, long + " end"), (3, "x" * 2_000_000)], SCHEMA)
+    got = {r.doc_id: (r.fp & (1 << 64) - 1, r.component_id) for r in simhash.near_duplicates(rows).collect()}
+    assert got == {1: (brute.simhash(long), 1), 2: (brute.simhash(long + " end"), 1), 3: (brute.simhash("x" * 2_000_000), 3)}
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(100, 160)] + [(0, i) for i in range(1, 60)] + [(rng.randint(200, 400), rng.randint(200, 400)) for _ in range(120)] + [(5, 5), (7, 0), (0, 7)]
@@ -116,11 +147,11 @@ def test_nulls_repeats_and_no_rows(spark):
 
 
 def test_one_of_each_group_stays(spark):
-    docs = [(1, "a b c d e", "x"), (2, "a b c d e", "y"), (4, "something else here", "z"), (4, "something else here", "z"), (None, "a b c d e", "n")]
+    docs = [(1, "a b c d e", "x"), (2, "a b c d e", "y"), (4, "something else here", "z"), (4, "something else here", "z"), (None, "a b c d e", "n"), (1, "quite another text under one id", "w")]
     rows = spark.createDataFrame(docs, "doc_id long, text string, source string")
     kept = simhash.keep_one(rows)
     assert kept.columns == rows.columns
-    assert sorted(((r.doc_id, r.source) for r in kept.collect()), key=str) == sorted([(1, "x"), (4, "z"), (None, "n")], key=str)
+    assert sorted(((r.doc_id, r.source) for r in kept.collect()), key=str) == sorted([(1, "x"), (1, "w"), (4, "z"), (None, "n")], key=str)
     assert simhash.keep_one(rows.limit(0)).isEmpty()
 
 

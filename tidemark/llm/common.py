@@ -16,13 +16,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a temporary one if the session
+    runs in this process alone, as in tests; else an error, since executors could not read each other's folders."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    current = context.getCheckpointDir()
     if not current:
-        spark.sparkContext.setCheckpointDir(current := tempfile.mkdtemp(prefix="tidemark-"))
+        if context.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(current := tempfile.mkdtemp(prefix="tidemark-"))
     return current.rstrip("/")
 
 

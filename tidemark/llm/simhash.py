@@ -7,14 +7,17 @@ one of the two (at most 3 bits off) lies within 4 bits of the other. So one side
 codeword and the other asks under the indices of all codewords within 4 bits (one or six): every link shares a key of the
 agreeing segment and a 12-bit index. Keys are joined and the distance is verified.
 
-A key under which many fingerprints are filed would give pairs with the square of its size. The fingerprints of such keys
-go another exact way: each is filed under itself and its 64 one-bit neighbours, and two fingerprints share one of these
-midpoints just if they differ in at most two bits. A midpoint has at most 65 fingerprints, all of them linked, and only
-a star of them is kept.
-
-Nulls and empty tables: a null text counts as empty, a text without words has fingerprint zero and is linked like any
-other. A row without doc_id keeps its fingerprint and gets the component of that fingerprint's other rows, or null if it
-has none. Repeated ids stay repeated rows. Other columns of the input are not looked at.
+A key under which more than ``DENSE`` fingerprints are filed is split by the third segment, which two bits at most may
+change: filed under the codeword nearest to it, asked under all within 5 bits, again 12 bits more of key. With 46 bits the
+number of documents crowds no key, only fingerprints that are much alike do. Those of a key that is crowded even then
+would give pairs with the square of their number; they go another exact way: each is filed under itself and its 64 one-bit
+neighbours, and two fingerprints share one of these midpoints just if they differ in at most two bits. A midpoint has at
+most 65 fingerprints, all of them linked, and only a star of them is kept.
+
+Nulls and edges: a null text counts as empty, a text without words has fingerprint zero and is linked like any other. Whole
+texts are hashed, a very long one as one row. A row without doc_id keeps its fingerprint and gets the component of that
+fingerprint's other rows, or null if it has none. Repeated ids stay repeated rows. Other columns of the input are not looked
+at; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +31,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, small_batches
+from tidemark.llm import nearcopies
+from tidemark.llm.common import cut, small_batches, table
 from tidemark.llm.components import connected_components
 
 SEED = 42
@@ -36,8 +40,10 @@ SEED = 42
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Generator polynomial of the (23, 12) Golay code.
 GENERATOR = 0xC75
-#: Fingerprints filed under one key, above which its members take the midpoint way.
+#: Fingerprints filed under one key, above which it is split, and those of a split key take the midpoint way.
 DENSE = 32
+#: Bits that a codeword may be off: of a segment with one error, and of one with two.
+NEAR, FAR = 4, 5
 
 
 def fingerprint(text: bytes | None, width: int = 3) -> int:
@@ -78,7 +84,7 @@ def _remainder(v: int) -> int:
 
 
 class Golay:
-    """Tables of the (23, 12) code: syndromes of 23-bit vectors and the error patterns of weight at most 4 for each."""
+    """Tables of the (23, 12) code: syndromes of 23-bit vectors and the error patterns of weight at most 5 for each."""
 
     def __init__(self) -> None:
         powers = [_remainder(1 << bit) for bit in range(23)]
@@ -90,25 +96,26 @@ class Golay:
 
         self.low, self.high = table(0, 12), table(12, 11)
         patterns: list[list[int]] = [[] for _ in range(2048)]
-        for weight in range(5):
+        for weight in range(FAR + 1):
             for bits in combinations(range(23), weight):
                 e, s = 0, 0
                 for bit in bits:
                     e |= 1 << bit
                     s ^= powers[bit]
                 patterns[s].append(e)
-        self.count = np.array([len(p) for p in patterns])  # 1 or 6, the lightest first
-        self.errors = np.array([p + [-1] * (6 - len(p)) for p in patterns], dtype=np.int64)
+        most = max(map(len, patterns))
+        self.errors = np.array([p + [-1] * (most - len(p)) for p in patterns], dtype=np.int64)  # the lightest first
+        self.weights = np.where(self.errors < 0, 24, np.bitwise_count(self.errors))
 
     def nearest(self, v: np.ndarray) -> np.ndarray:
         """Index of the codeword nearest to each vector."""
         return (v ^ self.errors[self._syndrome(v), 0]) >> 11
 
-    def near(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All (position in v, index) of codewords within 4 bits."""
-        errors = self.errors[self._syndrome(v)]
-        at, which = np.nonzero(errors >= 0)
-        return at, (v[at] ^ errors[at, which]) >> 11
+    def near(self, v: np.ndarray, bits: int = NEAR) -> tuple[np.ndarray, np.ndarray]:
+        """All (position in v, index) of codewords within ``bits`` of 4 or 5."""
+        syndrome = self._syndrome(v)
+        at, which = np.nonzero(self.weights[syndrome] <= bits)
+        return at, (v[at] ^ self.errors[syndrome[at], which]) >> 11
 
     def _syndrome(self, v: np.ndarray) -> np.ndarray:
         return self.low[v & 0xFFF] ^ self.high[v >> 12]
@@ -123,11 +130,22 @@ def golay() -> Golay:
     return _golay[0]
 
 
+def _segments(bits: np.ndarray) -> list[np.ndarray]:
+    return [((bits >> np.uint64(low)) & np.uint64((1 << n) - 1)).astype(np.int64) for low, n in SEGMENTS]
+
+
+def third_keys(keys: np.ndarray, fps: np.ndarray, probe: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(position, index of the codeword) of the segment that each row's key says nothing of."""
+    code, which = golay(), ((keys >> 40) + 2) % 3
+    third = np.choose(which, _segments(fps.view(np.uint64)))
+    return code.near(third, FAR) if probe else (np.arange(len(fps)), code.nearest(third))
+
+
 def segment_keys(fps: np.ndarray, probe: bool) -> tuple[np.ndarray, np.ndarray]:
     """(position, key) of each signed fingerprint: three filing keys, or three to eighteen asking keys."""
     code, out = golay(), []
     bits = fps.view(np.uint64)
-    parts = [((bits >> np.uint64(low)) & np.uint64((1 << n) - 1)).astype(np.int64) for low, n in SEGMENTS]
+    parts = _segments(bits)
     for i in range(3):
         same, fuzzy = parts[i], parts[(i + 1) % 3]
         if probe:
@@ -156,18 +174,36 @@ def _midpoint_links(fps: DataFrame) -> DataFrame:
     return stars.select("fp_a", F.explode("fps").alias("fp_b")).where("fp_a <> fp_b").distinct()
 
 
+def _split(rows: DataFrame, probe: bool) -> DataFrame:
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keys, own = batch["key"].to_numpy(dtype=np.int64), batch["fp"].to_numpy(dtype=np.int64)
+            at, more = third_keys(keys, own, probe)
+            yield pd.DataFrame({"key": keys[at], "more": more, "fp": own[at]})
+
+    return rows.select("key", "fp").mapInPandas(of, "key long, more long, fp long")
+
+
+def _near(filed: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs that share a key and differ in two bits at most."""
+    pairs = filed.withColumnRenamed("fp", "fp_a").join(asked.withColumnRenamed("fp", "fp_b"), keys).where("fp_a <> fp_b")
+    pairs = pairs.where(F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= 2)
+    return pairs.select(F.least("fp_a", "fp_b").alias("fp_a"), F.greatest("fp_a", "fp_b").alias("fp_b")).distinct()
+
+
 def fingerprint_links(fps: DataFrame, dense: int = DENSE) -> DataFrame:
     """Rows ``(fp_a, fp_b)`` whose components are those of "differs in at most two bits" on the distinct ``fps(fp)``."""
     filed, asked = _keys(fps, probe=False), _keys(fps, probe=True)
     hot = cut(filed.groupBy("key").count().where(F.col("count") > dense).select("key"))
-    near = (
-        filed.join(hot, "key", "left_anti").select("key", F.col("fp").alias("fp_a"))
-        .join(asked.join(hot, "key", "left_anti").select("key", F.col("fp").alias("fp_b")), "key")
-        .where("fp_a <> fp_b").where(F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= 2)
-        .select(F.least("fp_a", "fp_b").alias("fp_a"), F.greatest("fp_a", "fp_b").alias("fp_b")).distinct()
-    )
-    crowded = filed.unionByName(asked).join(hot, "key", "left_semi").select("fp").distinct()
-    return near.unionByName(_midpoint_links(crowded))
+    links = _near(filed.join(hot, "key", "left_anti"), asked.join(hot, "key", "left_anti"), ["key"])
+    if hot.isEmpty():
+        return links
+    filed, asked = (_split(rows.join(hot, "key", "left_semi"), probe) for rows, probe in ((filed, False), (asked, True)))
+    keys = ["key", "more"]
+    crowds = cut(filed.groupBy(*keys).count().where(F.col("count") > dense).select(*keys))
+    links = links.unionByName(_near(filed.join(crowds, keys, "left_anti"), asked.join(crowds, keys, "left_anti"), keys))
+    crowded = filed.unionByName(asked).join(crowds, keys, "left_semi").select("fp").distinct()
+    return links.unionByName(_midpoint_links(crowded))
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, dense: int = DENSE) -> DataFrame:
@@ -189,21 +225,15 @@ def near_duplicates(docs: DataFrame, width: int = 3, dense: int = DENSE) -> Data
     return rows.join(cut(classes), F.col("fp") == F.col("class_fp"), "left").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 3) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the row with the smallest doc_id, all columns as they were.
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay: of each group of near copies the one with the smallest doc_id, all columns as they were.
 
-    Rows without doc_id stay. Of rows that repeat the same doc_id one stays.
+    A stage that removes documents goes by five-word shingles and a Jaccard similarity of 0.8. No radius of fingerprints gives
+    these groups (the README has the figures), so they are found by the shingles' minima; see ``nearcopies``.
     """
-    kept = near_duplicates(docs, width).where("doc_id = component_id").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("copies"))
-    kept = cut(kept)
-    stay = docs.join(kept.select("kept_id"), docs["doc_id"] == F.col("kept_id"), "left_semi")
-    if not kept.where("copies > 1").isEmpty():
-        stay = stay.dropDuplicates(["doc_id"])
-    return stay.unionByName(docs.where("doc_id is null"))
+    return nearcopies.keep_one(docs)
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
-    from tidemark.llm.common import table
-
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
