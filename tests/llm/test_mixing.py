@@ -47,6 +47,18 @@ def test_boundary_buckets_are_refined(spark):
     assert [(r.h, r.below, r.within) for r in edge] == [(below[12], 120, 10)]
 
 
+def test_very_long_texts(spark):
+    docs = [(1, "w " * 400_000, "a"), (2, "x" * 1_000_000, "a"), (3, "v " * 1000, "b")]
+    rows = spark.createDataFrame(docs, SCHEMA)
+    sizes, _, goal = brute.mix(docs)
+    got = {r.doc_id: r for r in mixing.mix(rows).collect()}
+    assert [got[i].size for i in (1, 2, 3)] == sizes and abs(got[1].taken + got[2].taken - goal["a"]) <= 1
+    taken = {}
+    for r in mixing.apply_mix(rows).select("doc_id", mixing.words(F.col("text")).alias("n")).collect():
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + r.n
+    assert taken == {i: r.taken for i, r in got.items() if r.taken}
+
+
 def test_nulls_repeats_and_no_rows(spark):
     docs = spark.createDataFrame([(1, None, "a"), (2, "", "a"), (3, "x y", None), (3, "x y", None), (None, "p q r", "a"), (4, " \t ", "empty")], SCHEMA)
     docs = docs.withColumns({"size": F.lit("clash"), "target": F.lit(1), "key": F.lit(2), "h": F.lit(3)})

@@ -49,16 +49,19 @@ def tokenizer():
     return t
 
 
-def test_both_ways_of_encoding_agree(tokenizer):
+def test_remembered_words_give_the_ids_of_whole_texts(tokenizer, monkeypatch):
     rng = random.Random(1)
-    texts = ["", " ", "\n\n  x\t\ty  ", "don't I'll we've THEY'RE", "<|endoftext|> x", "日本語 текст é😀‍", "a" * 3000, "  " * 700 + "z", "x y z 　", "1234 5,6.7", "\r\n\r\n a"]
-    texts += ["".join(rng.choice("ab é\n\t'.1😀 ") for _ in range(200)) for _ in range(60)]
-    encoder = packing.encoder(None)
-    assert encoder.ranks is not None
+    texts = ["", " ", "\n\n  x\t\ty  ", "don't I'll we've THEY'RE", "<|endoftext|> x <|endoftext|>", "日本語 текст é😀‍", "a" * 3000, "  " * 700 + "z", "x y z\u3000", "1234 5,6.7", "\r\n\r\n a", " a", "a ", "a\n b\n", "\x85a \x1cb",
+             "a \nb", "a\n \nb", "'s 't", "x 's", "\u00a0 x", "x \u00a0y"]
+    texts += ["".join(rng.choice("ab é\n\t'.1😀 ") for _ in range(200)) for _ in range(60)]
+    texts += [" ".join(rng.choice(["ab", "é's", "a\nb", "'ll", "x.y", "\u00a0", "1,2", "😀", "\n"]) for _ in range(rng.randint(1, 60))) for _ in range(200)]
+    monkeypatch.setattr(packing, "REMEMBERED", 40)
+    encoder = packing.Encoder()
+    assert encoder.words is not None
     for text, got in zip(texts, encoder.encode(texts), strict=True):
         want = tokenizer.encode(text, add_special_tokens=False).ids
-        assert [int.from_bytes(got[i : i + 4], "little") for i in range(0, len(got), 4)] == want
-        assert encoder._whole(text) == got
+        assert [int.from_bytes(got[i : i + 4], "little") for i in range(0, len(got), 4)] == want, text
+    assert 0 < len(encoder.words) <= 40
 
 
 def verify(rows, docs, tokenizer, capacity: int = 1024):
@@ -89,7 +92,7 @@ def verify(rows, docs, tokenizer, capacity: int = 1024):
 
 def test_every_id_lies_in_one_piece(spark, tokenizer):
     rng = random.Random(2)
-    docs = [(i, " ".join(rng.choice(["alpha", "beta", "γάμμα", "x", "\n"]) for _ in range(rng.choice([0, 1, 5, 300, 3000])))) for i in range(60)] + [(100, None), (101, ""), (102, "w" * 100_000)]
+    docs = [(i, " ".join(rng.choice(["alpha", "beta", "γάμμα", "x", "\n"]) for _ in range(rng.choice([0, 1, 5, 300, 3000])))) for i in range(60)] + [(100, None), (101, ""), (102, "w" * 100_000), (103, "alpha \n beta" * 60_000), (104, "one word more " * 50_000)]
     df = spark.createDataFrame(docs, SCHEMA).withColumns({"start": F.lit("clash"), "offset": F.lit(1), "length": F.lit(2)}).repartition(3)
     verify(packing.pack(df).collect(), docs, tokenizer)
     verify(packing.pack(df, capacity=300, group=7).collect(), docs, tokenizer, 300)

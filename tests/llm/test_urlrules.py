@@ -48,6 +48,20 @@ def test_equal_rules_block_and_bad_rules_are_ignored(spark):
     assert got == [(1, "x.org", "/a", "x.org/", "block")] * 2 + [(None, "y.net", "/", None, "allow")]
 
 
+def test_only_latin_letters_are_lowered(spark):
+    pages = spark.createDataFrame([(1, "http://É.ORG/a"), (2, "http://é.org/a")], SCHEMA)
+    rules = urlrules.rule_table(spark, [("É.Org", "/", "block")])
+    assert sorted((r.page_id, r.host, r.rule, r.verdict) for r in urlrules.judge(pages, rules).collect()) == [(1, "É.org", "É.org/", "block"), (2, "é.org", None, "allow")]
+
+
+def test_very_long_urls_and_clashing_columns(spark):
+    long = "http://" + "a." * 2000 + "example.org/es/" + "x" * 500_000
+    pages = spark.createDataFrame([(1, long), (2, "http://" + "y" * 300_000), (3, "http://b.com/de/" + "/" * 100_000)], SCHEMA)
+    pages = pages.selectExpr("*", *(f"'clash' as {c}" for c in ("host", "path", "rule", "verdict", "k", "lo", "bin", "salt", "stack")))
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urlrules.judge(pages, urlrules.rule_table(spark, urlrules.RULES)).collect()}
+    assert got == {r.page_id: brute.url_verdict(r.url, urlrules.RULES) for r in pages.collect()}
+
+
 def test_empty_tables(spark):
     pages = spark.createDataFrame([(1, "http://x.org/a")], SCHEMA)
     rules = urlrules.rule_table(spark, urlrules.RULES)

@@ -84,6 +84,27 @@ def test_a_lost_segment_is_an_error(spark, tmp_path):
         warc.read_archives(spark, str(path)).collect()
 
 
+@pytest.mark.parametrize("segment", [65536, 700])
+def test_a_lost_response_is_an_error(spark, tmp_path, segment):
+    rows = [(1, "u", "y" * 3000), (2, "u", "y" * 3000), (3, "u", "z")]
+    warc.write_archives(spark.createDataFrame(rows, SCHEMA).coalesce(1), str(tmp_path / "w"), segment)
+    assert warc.read_archives(spark, str(tmp_path / "w")).count() == 3
+    (file,) = Path(tmp_path / "w").glob("*.gz")
+    parts = gzip.decompress(file.read_bytes()).split(b"WARC/1.1")
+    kept = [p for p in parts if b"\r\nPage-ID: 2\r\n" not in p and b"continuation" not in p]
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "a.gz").write_bytes(gzip.compress(b"WARC/1.1".join(kept)))
+    with pytest.raises(ValueError, match="refer"):
+        warc.read_archives(spark, str(tmp_path / "x"))
+
+
+def test_a_very_long_page(spark, tmp_path):
+    page = "long é " * 700_000
+    warc.write_archives(spark.createDataFrame([(1, "u", page)], SCHEMA), str(tmp_path / "w"))
+    (row,) = warc.read_archives(spark, str(tmp_path / "w")).collect()
+    assert bytes(row.data) == page.encode() and row.payload_bytes == len(page.encode())
+
+
 def test_nulls_repeats_and_no_rows(spark, tmp_path):
     long = "z" * 1500
     df = spark.createDataFrame([(None, None, long), (1, "u", long), (3, "u", long), (3, "u", long), (None, "u", None)], SCHEMA)

@@ -10,13 +10,15 @@ Everything happens in one pass over the documents of a partition: no shuffle, an
 Sequence ids hold the partition's number, so they are unique, and a part that is made again gets the same ones.
 
 Nulls and edges: a null or empty text is one piece, the end id; a row without doc_id is packed with a null doc_id; repeated
-ids are packed each; special tokens' strings are ordinary text; an empty table gives no rows; other columns are ignored.
+ids are packed each; special tokens' strings are ordinary text; a very long text is encoded whole, in one task; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -32,26 +34,37 @@ CAPACITY = 1024
 #: Longest piece of a document's rest, and documents whose rests are packed together.
 PIECE, GROUP = 256, 512
 TOKENIZER = "byte_bpe_50k.json"
-#: How the byte-level pre-tokenizer splits a text, and the length from which a text is left to ``tokenizers``.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-LONG = 500_000
+#: Words whose ids a worker remembers, and the letters of the longest one that it does.
+REMEMBERED, LETTERS = 400_000, 64
+_RUN = re.compile(r"\s\s")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def _bytes_of_letters() -> dict[str, int]:
-    """The letters that a byte-level vocabulary writes bytes with."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    letters = dict(zip(map(chr, plain), plain, strict=True))
-    letters |= {chr(256 + i): x for i, x in enumerate(x for x in range(256) if x not in plain)}
-    return letters
+class _Words(dict):
+    """Ids of words with the space before them, worked out when first asked for."""
+
+    def __init__(self, tokenizer) -> None:
+        self.encode = tokenizer.encode
+
+    def __missing__(self, word: str) -> bytes:
+        ids = _ids(self.encode(" " + word, add_special_tokens=False))
+        if len(word) <= LETTERS:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
+def _ids(encoding) -> bytes:
+    return np.array(encoding.ids, dtype="<u4").tobytes()
 
 
 class Encoder:
     """Ids (little-endian unsigned 32-bit) of texts by a ``tokenizers`` file.
 
-    A byte-level BPE whose merges come in the order of their ids, the usual kind, gives the same ids by ranks; its
-    vocabulary then goes to a faster implementation. Any other file, and texts so long that their white space may be beyond
-    that implementation's pattern, are encoded by ``tokenizers`` itself.
+    The usual byte-level pre-tokenizer never joins a word to the space after it. A text whose white space comes one character at
+    a time is thus the same as its first word and, one after the other, its further words with the spaces before them, whose
+    ids are remembered. Texts with longer white space, and those for any other file, are encoded whole.
     """
 
     def __init__(self, path: str | None = None) -> None:
@@ -63,32 +76,22 @@ class Encoder:
             path = public_tokenizers.path(TOKENIZER)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.ranks = self._ranks(json.loads(self.tokenizer.to_str()))
-
-    @staticmethod
-    def _ranks(spec: dict):
-        import tiktoken
-
-        kind, model = spec["pre_tokenizer"] or {}, spec["model"]
+        spec = json.loads(self.tokenizer.to_str())
         usual = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
-        if spec["normalizer"] or spec["post_processor"] or model.get("type", "BPE") != "BPE" or model.get("ignore_merges") or any(kind.get(k) != v for k, v in usual.items()):
-            return None
-        special = {t["content"] for t in spec["added_tokens"]}
-        merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
-        if merged != sorted(merged):
-            return None
-        of = _bytes_of_letters()
-        ranks = {bytes(of[c] for c in word): n for word, n in model["vocab"].items() if word not in special}
-        return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        kind, after = spec["pre_tokenizer"] or {}, spec["post_processor"] or {"type": "ByteLevel"}
+        by_word = not spec["normalizer"] and after["type"] == "ByteLevel" and all(kind.get(k) == v for k, v in usual.items()) and all(t["special"] for t in spec["added_tokens"])
+        self.words = _Words(self.tokenizer) if by_word else None
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [self._by_ranks(t) if self.ranks and len(t) <= LONG else self._whole(t) for t in texts]
+        return [self._by_word(t) if self.words is not None and not _RUN.search(t) else self.whole(t) for t in texts]
 
-    def _by_ranks(self, text: str) -> bytes:
-        return self.ranks.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+    def _by_word(self, text: str) -> bytes:
+        first, _, rest = text.partition(" ")
+        ids = self.whole(first)
+        return ids + b"".join(map(self.words.__getitem__, rest.split(" "))) if _ else ids
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def whole(self, text: str) -> bytes:
+        return _ids(self.tokenizer.encode(text, add_special_tokens=False))
 
 
 _encoders: dict[str | None, Encoder] = {}

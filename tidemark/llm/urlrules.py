@@ -14,7 +14,8 @@ pages whose host has no rule do not enter it. Longest: by characters of host and
 equal in both the blocking one wins.
 
 Nulls and edges: a null url or one without ``://`` has empty host and path and gets the default verdict; rules with a null
-host, path or action are ignored; empty tables of pages or rules work; repeated pages are judged each. Only
+host, path or action are ignored; empty tables of pages or rules work; repeated pages are judged each; a very long url is a
+long key. Only
 ``page_id`` and ``url`` are read.
 """
 
@@ -53,8 +54,12 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     rest = F.when(F.instr(url, "://") > 0, F.expr("substring(url, instr(url, '://') + 3)")).otherwise(F.lit(""))
     host = F.regexp_extract(rest, r"^([^/?#]*)", 1)
     path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
-    lower = F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.coalesce(lower, F.lit("")), F.coalesce(path, F.lit(""))
+    return F.coalesce(lowered(host), F.lit("")), F.coalesce(path, F.lit(""))
+
+
+def lowered(host: Column) -> Column:
+    """A host in lower case: A-Z only, in urls and in rules."""
+    return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def host_key(host: Column) -> Column:
@@ -106,7 +111,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFra
     host, path = url_parts(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     own = rules.where("host is not null and path is not null and action is not null").select(
-        F.lower("host").alias("rule_host"), F.col("path").alias("rule_path"), "action"
+        lowered(F.col("host")).alias("rule_host"), F.col("path").alias("rule_path"), "action"
     ).groupBy("rule_host", "rule_path").agg(F.max(F.col("action") == "block").alias("blocks"))
     own = cut(own.withColumn("host_lo", host_key(F.col("rule_host"))).withColumn("lo", F.concat("host_lo", F.unhex(F.lit("FD")), F.col("rule_path").cast("binary"))))
 

@@ -7,7 +7,9 @@ bytes of a text-file sink, so any store that Spark can write takes the archives;
 Reading parses each file on its own by the records' lengths. Records in one piece are decoded at once; the segments of
 others are grouped by the origin's identifier, ordered by segment number, checked against the total length, joined, and
 then decoded: the HTTP head is cut off, the chunked framing undone, and the payload's digest compared with the header.
-A missing segment, a wrong length, bad framing or a wrong digest is an error, never a silent loss.
+Revisits are resolved: the response that each refers to has to be in the archives, with the revisit's digest. A missing
+segment or response, a wrong length, bad framing or a wrong digest is an error, never a silent loss. A worker holds one file
+and, to join it, one whole record.
 
 Nulls and edges: null html is an empty payload; a page without page_id is a response that none refers to; repeated
 page_ids that are the largest of their payload are all responses; an empty table gives archives without records.
@@ -77,7 +79,7 @@ def records(page_id: str | None, url: str | None, html: bytes, digest: str, refe
     own = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}/{number}')}>"
     uri = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "")
     common = [("WARC-Record-ID", own), ("WARC-Date", DATE), ("WARC-Target-URI", uri or "about:blank"),
-              ("WARC-Payload-Digest", "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode())]
+              ("WARC-Payload-Digest", _label(digest))]
     if page_id is not None:
         common.append(("Page-ID", page_id))
     http = ("Content-Type", "application/http; msgtype=response")
@@ -126,7 +128,7 @@ def payload(headers: dict[str, str], block: bytes) -> bytes:
     """The payload of a whole response block, checked against its digest."""
     head, _, body = block.partition(b"\r\n\r\n")
     body = dechunked(body) if b"transfer-encoding: chunked" in head.lower() else body
-    if (want := headers.get("warc-payload-digest")) and want != "sha1:" + base64.b32encode(hashlib.sha1(body).digest()).decode():
+    if (want := headers.get("warc-payload-digest")) and want != _label(hashlib.sha1(body).hexdigest()):
         raise ValueError(f"payload of {headers.get('warc-record-id')} does not match its digest")
     return body
 
@@ -158,6 +160,22 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT_BYTES, fi
     ).mode("overwrite").text(path)
 
 
+def _label(digest: str) -> str:
+    return "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode()
+
+
+def _hex(label: str | None) -> str | None:
+    return base64.b32decode(label[5:]).hex() if label else None
+
+
+def _resolve(found: DataFrame) -> None:
+    """Raise if a revisit refers to no response of its digest. Revisits are counted by what they refer to before any join."""
+    wanted = found.where("record_type = 'revisit'").groupBy("refers_to", "payload_digest").count()
+    there = found.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest").distinct()
+    if lost := wanted.join(there, ["refers_to", "payload_digest"], "left_anti").limit(1).collect():
+        raise ValueError(f"{lost[0]['count']} revisits refer to page {lost[0]['refers_to']}, whose response with digest {lost[0]['payload_digest']} is not in the archives")
+
+
 def _found(headers: dict[str, str], body: bytes, keep: bool) -> dict:
     return {"page_id": headers.get("page-id"), "payload_bytes": len(body), "payload_digest": hashlib.sha1(body).hexdigest(),
             "record_type": "response", "data": body if keep else None}
@@ -174,10 +192,10 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
                 for headers, block in parse(inflated(content)):
                     kind = headers["warc-type"]
                     if kind == "revisit":
-                        digest = base64.b32decode(headers["warc-payload-digest"][5:]).hex()
+                        digest = _hex(headers["warc-payload-digest"])
                         out.append({"page_id": headers.get("page-id"), "payload_bytes": int(headers["payload-length"]), "payload_digest": digest, "record_type": kind, "refers_to": headers["refers-to-page-id"]})
                     elif kind == "continuation" or "warc-segment-number" in headers:
-                        out.append({"page_id": headers.get("page-id"), "payload_digest": headers.get("warc-payload-digest"), "record_type": kind,
+                        out.append({"page_id": headers.get("page-id"), "payload_digest": _hex(headers.get("warc-payload-digest")), "record_type": kind,
                                     "origin": headers.get("warc-segment-origin-id", headers["warc-record-id"]), "segment": int(headers["warc-segment-number"]),
                                     "total": int(headers.get("warc-segment-total-length", -1)), "data": block})
                     elif kind == "response":
@@ -190,11 +208,14 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
         if list(parts["segment"]) != list(range(1, len(parts) + 1)) or len(block) != total:
             raise ValueError(f"record {parts['origin'].iloc[0]}: {len(parts)} segments with {len(block)} of {total} bytes")
         first = parts.iloc[0]
-        headers = {"page-id": first["page_id"], "warc-payload-digest": first["payload_digest"], "warc-record-id": first["origin"]}
+        headers = {"page-id": first["page_id"], "warc-record-id": first["origin"]}
+        if first["payload_digest"]:
+            headers["warc-payload-digest"] = _label(first["payload_digest"])
         return pd.DataFrame([_found(headers, payload(headers, block), with_payload)], columns=names, dtype=object)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
     found = cut(files.select("content").mapInPandas(read, _RECORD))
+    _resolve(found)
     whole = found.where("origin is null")
     joined = found.where("origin is not null").groupBy("origin").applyInPandas(join, _RECORD)
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "data"]
