@@ -28,6 +28,7 @@ from operator import eq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -230,12 +231,12 @@ def seen(docs: DataFrame) -> DataFrame:
     """Rows ``(doc_id, x, w)``: the features of every row of ``docs``."""
     small_batches(docs.sparkSession)
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, w = _packed(features(batch))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "x": x, "w": w})
+            x, w = _packed(features(batch.to_pandas()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float32())), pa.array(w, pa.binary())], names=["doc_id", "x", "w"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_columns(docs)).mapInPandas(of, "doc_id long, x array<float>, w binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_columns(docs)).mapInArrow(of, "doc_id long, x array<float>, w binary")
 
 
 def fit(rows: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, calibration_rows: int = CALIBRATION_ROWS, per_round: int = PER_ROUND) -> Model:
