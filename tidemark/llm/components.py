@@ -19,12 +19,12 @@ def _large_star(edges: DataFrame) -> DataFrame:
     )
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).select(F.col("u").alias("k"), "m")
     larger = both.where("v > u")
-    return larger.join(cut(least), F.col("u") == F.col("k")).where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+    return larger.join(least, F.col("u") == F.col("k")).where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     least = edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), "m")
-    moved = edges.join(cut(least), F.col("a") == F.col("k")).where("b <> m")
+    moved = edges.join(least, F.col("a") == F.col("k")).where("b <> m")
     stars = least.select(F.col("k").alias("a"), F.col("m").alias("b"))
     moved = moved.select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
     return stars.unionByName(moved).distinct()

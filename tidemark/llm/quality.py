@@ -31,6 +31,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.llm import logit
 from tidemark.llm.common import cut, held_out, labelled, sample_ids, small_batches, table
@@ -197,8 +198,8 @@ def surest(views: list[View], x: np.ndarray, ids: np.ndarray, order: np.ndarray,
 
 def pick_from(pool: DataFrame, share: float, per_round: int = PER_ROUND, sure: float = SURE) -> Pick:
     """Picks from all of ``pool(doc_id, x, w)``: each task leaves its surest rows, and of those the surest are taken."""
-    def pick(views: list[View], known: list[set[int]]) -> list[tuple[list[int], np.ndarray, np.ndarray]]:
-        sent = pool.sparkSession.sparkContext.broadcast((views, known))
+    def pick(views: list[View], given: list[set[int]]) -> list[tuple[list[int], np.ndarray, np.ndarray]]:
+        sent = pool.sparkSession.sparkContext.broadcast((views, given))
 
         def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             own, taken = sent.value
@@ -212,17 +213,13 @@ def pick_from(pool: DataFrame, share: float, per_round: int = PER_ROUND, sure: f
                         best[v, mark] = some.sort_values(["p", "h", "doc_id"], ascending=[False, True, True]).head(int(np.ceil(per_round * (share if mark else 1 - share))))
             yield from best.values()
 
-        found = cut(pool.mapInPandas(of, "doc_id long, h long, x array<float>, w binary, view long, mark double, p double"))
-        out = []
-        for v in (0, 1):
-            rows = []
-            for mark, part in ((1.0, share), (0.0, 1 - share)):
-                most = int(np.ceil(per_round * part))
-                if most:
-                    rows.append(found.where((F.col("view") == v) & (F.col("mark") == mark)).orderBy(F.desc("p"), "h", "doc_id").limit(most).toPandas())
-            both = pd.concat(rows)
-            out.append((both["doc_id"].tolist(), _unpacked(both), both["mark"].to_numpy(dtype=float)))
-        return out
+        found = pool.select("doc_id", "h", "x", "w").mapInPandas(of, "doc_id long, h long, x array<float>, w binary, view long, mark double, p double")
+        place = F.row_number().over(Window.partitionBy("view", "mark").orderBy(F.desc("p"), "h", "doc_id"))
+        most = {mark: int(np.ceil(per_round * part)) for mark, part in ((1.0, share), (0.0, 1 - share))}
+        best = found.withColumn("place", place).where(F.col("place") <= F.when(F.col("mark") == 1, most[1.0]).otherwise(most[0.0])).where(F.col("place") <= max(most.values()))
+        best = best.toPandas().sort_values(["view", "mark", "place"], ascending=[True, False, True])  # at most twice per_round rows
+        own = [best[best["view"] == v] for v in (0, 1)]
+        return [(x["doc_id"].tolist(), _unpacked(x), x["mark"].to_numpy(dtype=float)) for x in own]
 
     return pick
 
@@ -239,32 +236,37 @@ def seen(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_columns(docs)).mapInArrow(of, "doc_id long, x array<float>, w binary")
 
 
-def fit(rows: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, calibration_rows: int = CALIBRATION_ROWS, per_round: int = PER_ROUND) -> Model:
-    """The model of ``rows``, which ``seen`` made and which lie somewhere, and their labels."""
+def known(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``seen(docs)``, written once, with ``y``, the label of the rows that may be learned from, and null for all others."""
+    marks = labelled(docs, labels, "quality", ~held_out(F.col("doc_id"))).where("y in (0, 1)")
+    return cut(seen(docs).join(marks, "doc_id", "left"))
+
+
+def fit(rows: DataFrame, fit_rows: int = FIT_ROWS, calibration_rows: int = CALIBRATION_ROWS, per_round: int = PER_ROUND) -> Model:
+    """The model of ``rows``, which ``known`` made."""
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
-    marks = cut(labelled(rows, labels, "quality", ~held_out(F.col("doc_id"))).where("y in (0, 1)"))
-    known = {int(r["y"]): r["count"] for r in marks.groupBy("y").count().collect()}
-    base = known.get(1, 0) / sum(known.values()) if known else 1.0
+    marks = rows.where("y is not null").select("doc_id", "y").distinct()
+    count = {int(r["y"]): r["count"] for r in marks.groupBy("y").count().collect()}
+    base = count.get(1, 0) / sum(count.values()) if count else 1.0
     nothing = Model([], np.array([np.log(max(base, 1e-9) / max(1 - base, 1e-9))]))
-    if len(known) < 2:
+    if len(count) < 2:
         return nothing
     picked = sample_ids(marks.where(fold != 1), fit_rows).withColumn("part", F.lit(0)).unionByName(
         sample_ids(marks.where(fold == 1), calibration_rows).withColumn("part", F.lit(1)))
     # Bounded: at most twice fit_rows + calibration_rows ids.
-    found = rows.join(F.broadcast(cut(picked)), "doc_id").toPandas().sort_values("doc_id", kind="stable")
+    found = rows.drop("y").join(F.broadcast(picked), "doc_id").toPandas().sort_values("doc_id", kind="stable")
     x, y, part = _unpacked(found), found["y"].to_numpy(dtype=float), found["part"].to_numpy()
 
     def weights(which: np.ndarray) -> np.ndarray:
         own = y[which]
-        raw = np.where(own == 1, known[1] / max(1, (own == 1).sum()), known[0] / max(1, (own == 0).sum()))
+        raw = np.where(own == 1, count.get(1, 0) / max(1, (own == 1).sum()), count.get(0, 0) / max(1, (own == 0).sum()))
         return raw * len(own) / max(raw.sum(), 1e-9)
 
     first, second = part == 0, part == 1
     if len(set(y[first])) < 2:
         return nothing
     weight = weights(first)
-    free = rows.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).join(marks.select("doc_id"), "doc_id", "left_anti")
-    pool = cut(free.select("doc_id", F.xxhash64("doc_id").alias("h"), "x", "w"))
+    pool = rows.where(F.col("doc_id").isNotNull() & F.col("y").isNull() & ~held_out(F.col("doc_id"))).withColumn("h", F.xxhash64("doc_id"))
     per_round = min(per_round, int(np.ceil(GROWTH * first.sum())))
     views = co_train(x[first], y[first], weight, pick_from(pool, float((weight * y[first]).sum() / weight.sum()), per_round))
     model = Model(views, np.array([1.0, 0.0, 0.0]))
@@ -289,8 +291,8 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows ``(doc_id, held_out, score, predicted)``: score is the probability of good quality."""
-    rows = cut(seen(docs))
-    sent = docs.sparkSession.sparkContext.broadcast(fit(rows, labels))
+    rows = known(docs, labels)
+    sent = docs.sparkSession.sparkContext.broadcast(fit(rows))
 
     @F.pandas_udf("double")
     def of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -304,7 +306,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the documents that are predicted to be of low quality."""
-    return scored(docs, fit(cut(seen(docs)), labels)).where("quality_score >= 0.5").select(*docs.columns)
+    return scored(docs, fit(known(docs, labels))).where("quality_score >= 0.5").select(*docs.columns)
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:

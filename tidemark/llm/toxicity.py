@@ -169,9 +169,8 @@ def shared_levels(counts: DataFrame, wanted: DataFrame) -> list[pd.DataFrame]:
     """For the ``wanted(gram)`` and their endings down to one letter ``(n, total, kinds)`` by gram, the longest first: its
     count, that of its history, and how many letters follow the history. Counts are of all of ``counts(gram, n)``; those of
     endings are continuation counts, the number of letters that come before them."""
-    out = []
-    for order in range(ORDER, 0, -1):
-        counts, wanted = cut(counts), cut(wanted)  # wanted is bounded by the sample
+    out, counts = [], cut(counts)
+    for order in range(ORDER, 0, -1):  # wanted is bounded by the sample
         history, ending = F.shiftright("gram", BITS), F.col("gram").bitwiseAND(F.lit((1 << BITS * (order - 1)) - 1))
         totals = counts.groupBy(history.alias("history")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
         own = counts.join(F.broadcast(wanted), "gram").select("gram", "n", history.alias("history"))
