@@ -14,6 +14,14 @@ def check(sd, ed) -> None:
         raise ValueError(f"interval ends before it starts: {sd} > {ed}")
 
 
+def same(sd: Column, ed: Column, other_sd: Column, other_ed: Column) -> Column:
+    return sd.eqNullSafe(other_sd) & ed.eqNullSafe(other_ed)
+
+
+def as_text(sd: Column, ed: Column) -> Column:
+    return F.concat(F.lit("["), sd.cast("string"), F.lit(", "), ed.cast("string"), F.lit("]"))
+
+
 def overlaps(sd: Column, ed: Column, other_sd: Column, other_ed: Column) -> Column:
     return (sd <= other_ed) & (ed >= other_sd)
 

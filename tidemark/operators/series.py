@@ -106,20 +106,64 @@ def overlay(frames: Sequence[DataFrame], keys: Sequence[str], order_col: str = "
     return rows.groupBy(*keys, order_col).agg(F.expr("min_by(value, prio) FILTER (WHERE value IS NOT NULL)").alias("value"))
 
 
+def with_totals(df: DataFrame, keys: Sequence[str], **totals: Column) -> DataFrame:
+    """``df`` with aggregates of each series as further columns. They are summed up before any shuffle and joined back, by a
+    broadcast where there are few series, so that a long series is not gathered in one task."""
+    if not keys:
+        return df.crossJoin(F.broadcast(df.agg(*[t.alias(n) for n, t in totals.items()])))  # one row
+    names = {k: f"_key_{i}" for i, k in enumerate(keys)}
+    found = df.groupBy(*keys).agg(*[t.alias(n) for n, t in totals.items()]).withColumnsRenamed(names)
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()])
+    return df.join(found, same).drop(*names.values())
+
+
 def head_trim(df: DataFrame, by: Sequence[str], delay_us: int, order_col: str = "ts") -> DataFrame:
     """Rows from ``delay_us`` after the first of each series on."""
-    first = F.min(order_col).over(Window.partitionBy(*_by(by)))
-    return df.withColumn("_first", first).where(F.col(order_col) >= F.col("_first") + tg.step(delay_us)).drop("_first")
+    return with_totals(df, by, _first=F.min(order_col)).where(F.col(order_col) >= F.col("_first") + tg.step(delay_us)).drop("_first")
+
+
+def _descending(c: Column, kind: str) -> Column:
+    """A column that orders the other way round; null stays null."""
+    if kind in ("timestamp", "timestamp_ntz"):
+        return -F.unix_micros(c.cast("timestamp"))
+    if kind == "date":
+        return -F.unix_date(c)
+    if kind == "boolean":
+        return ~c
+    if kind in ("string", "binary"):  # the complement of each half byte, and a letter above them at the end
+        return F.concat(F.translate(F.hex(c), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("G"))
+    return -c
 
 
-def combine_versions(df: DataFrame, combined_by: Sequence[str] = ("prm",), order_by: Sequence[str] = ("-version",),
-                     delay_us: int | None = None, order_col: str = "ts", version_by: Sequence[str] = ("version",)) -> DataFrame:
-    """Overlay of the versions of each group, in the order of ``order_by`` (``-`` for descending)."""
+def priority(df: DataFrame, order_by: Sequence[str], ties: Sequence[str] = ()) -> Column:
+    """A struct whose smallest value comes first in ``order_by`` (``-`` for descending), nulls last, then by ``ties``."""
+    kinds, parts = dict(df.dtypes), []
+    for name in [*order_by, *ties]:
+        c = F.col(name.removeprefix("-"))
+        parts += [c.isNull(), _descending(c, kinds[name[1:]]) if name.startswith("-") else c]
+    return F.struct(*[p.alias(f"o{i}") for i, p in enumerate(parts)])
+
+
+def combine_versions(df: DataFrame, combined_by: Sequence[str] = ("prm",), order_by: Sequence[str] = ("-version",), delay_us: int | None = None,
+                     order_col: str = "ts", version_by: Sequence[str] = ("version",), metadata: Sequence[str] = ()) -> DataFrame:
+    """Overlay of the versions of each group, in the order of ``order_by`` (``-`` for descending), of any kind of field.
+
+    Versions that are equal in it follow each other by ``version_by``. ``metadata`` are columns to be carried along: those of
+    the group's first version.
+    """
     if delay_us is not None:
         df = head_trim(df, [*combined_by, *version_by], delay_us, order_col)
-    order = F.struct(*[(-F.col(o[1:]) if o.startswith("-") else F.col(o)).alias(f"o{i}") for i, o in enumerate(order_by)])
-    rows = df.select(*combined_by, order_col, "value", order.alias("prio"))
-    return rows.groupBy(*combined_by, order_col).agg(F.expr("min_by(value, prio) FILTER (WHERE value IS NOT NULL)").alias("value"))
+    there = [v for v in version_by if v in df.columns]
+    order = priority(df, order_by, [v for v in there if v not in {o.removeprefix("-") for o in order_by}])
+    rows = df.select(*combined_by, order_col, "value", order.alias("prio"), *[F.col(m).alias(f"_meta_{i}") for i, m in enumerate(metadata)])
+    out = rows.groupBy(*combined_by, order_col).agg(F.expr("min_by(value, struct(prio, value)) FILTER (WHERE value IS NOT NULL)").alias("value"))
+    if not metadata:
+        return out
+    first = F.min(F.struct("prio", *[f"_meta_{i}" for i in range(len(metadata))]))
+    names = {k: f"_key_{i}" for i, k in enumerate(combined_by)}
+    groups = rows.groupBy(*combined_by).agg(first.alias("first")).withColumnsRenamed(names)
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()], F.lit(True))
+    return out.join(groups, same).select(*combined_by, order_col, "value", *[F.col(f"first._meta_{i}").alias(m) for i, m in enumerate(metadata)])
 
 
 def slice_half_open(df: DataFrame, start, end, order_col: str = "ts") -> DataFrame:
@@ -142,9 +186,8 @@ def split_at(df: DataFrame, at, low=None, high=None, order_col: str = "ts") -> D
 
 def trim_null_edges(df: DataFrame, keys: Sequence[str], order_col: str = "ts") -> DataFrame:
     """Without the nulls before a series' first and after its last value; a series of nulls only is kept whole."""
-    w = Window.partitionBy(*_by(keys))
     valid = F.when(F.col("value").isNotNull(), F.col(order_col))
-    ends = df.withColumns({"_lo": F.min(valid).over(w), "_hi": F.max(valid).over(w)})
+    ends = with_totals(df, keys, _lo=F.min(valid), _hi=F.max(valid))
     return ends.where(F.col("_lo").isNull() | F.col(order_col).between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
 
 
@@ -180,9 +223,9 @@ def upsample(coarse: DataFrame, reference: DataFrame, keys: Sequence[str], order
 
 def normalize(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(value - min) / (max - min) of each series; null where a series is constant."""
-    w = Window.partitionBy(*_by(keys))
-    low, high = F.min("value").over(w), F.max("value").over(w)
-    return df.withColumn("value", (F.col("value") - low) / F.nullif(high - low, F.lit(0.0)))
+    ends = with_totals(df, keys, _low=F.min("value"), _high=F.max("value"))
+    scaled = (F.col("value") - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0))
+    return ends.withColumn("value", scaled).drop("_low", "_high")
 
 
 def min_frequency(df: DataFrame, keys: Sequence[str], order_col: str = "ts") -> DataFrame:

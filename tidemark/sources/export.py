@@ -14,8 +14,8 @@ from pyspark.sql.window import Window
 
 
 def export_text(df: DataFrame) -> DataFrame:
-    """``df`` with its value as text of eight decimals."""
-    return df.withColumn("value", F.format_string("%.8f", F.col("value")))
+    """``df`` with its value as text of eight decimals; a null stays null."""
+    return df.withColumn("value", F.when(F.col("value").isNotNull(), F.format_string("%.8f", F.col("value"))))
 
 
 def summary(df: DataFrame, keys: Sequence[str], prefix: str = "export_serie") -> DataFrame:
@@ -32,11 +32,11 @@ def write_csv(df: DataFrame, path: str, keys: Sequence[str]) -> None:
 
 def zip_bytes(df: DataFrame, keys: Sequence[str], most_rows: int = 5_000_000) -> bytes:
     """A zip file of a selection that fits the driver: one CSV for each series and ``content_summary.csv``."""
-    listing = summary(df, keys).orderBy("number").collect()
-    if not listing:
-        warnings.warn("nothing was selected", stacklevel=2)
     if df.limit(most_rows + 1).count() > most_rows:
         raise ValueError(f"more than {most_rows} rows; use write_csv")
+    listing = summary(df, keys).orderBy("number").collect()  # no more series than rows
+    if not listing:
+        warnings.warn("nothing was selected", stacklevel=2)
     out = io.BytesIO()
     names = {tuple(r[k] for k in keys): r["filename"] for r in listing}
     texts: dict[tuple, list[str]] = {k: [";value"] for k in names}
