@@ -86,6 +86,33 @@ def test_versions_combine_from_the_highest_down(spark):
     assert values(series.combine_versions(df, order_by=("version",))) == [1.0, 2.0, 30.0]
 
 
+def test_versions_combine_by_fields_of_any_kind(spark):
+    rows = [("p", "a", "2024-01-03", True, 1, 1.0), ("p", "ab", "2024-01-01", False, 1, 2.0), ("p", "b", None, None, 1, 3.0), ("p", None, "2024-01-02", True, 1, 4.0)]
+    df = spark.createDataFrame(rows, "prm string, kind string, day string, flag boolean, ts long, value double").withColumn("day", F.col("day").cast("date"))
+    def first(*by):
+        return values(series.combine_versions(df, order_by=by, version_by=("kind",)))[0]
+    assert [first("kind"), first("-kind"), first("day"), first("-day"), first("-flag", "-kind"), first("flag")] == [1.0, 3.0, 2.0, 1.0, 1.0, 2.0]
+    times = df.withColumn("day", F.col("day").cast("timestamp_ntz"))
+    assert values(series.combine_versions(times, order_by=("-day",), version_by=("kind",))) == [1.0]
+    tied = df.withColumn("kind", F.lit("same")).withColumn("n", F.col("value").cast("int"))
+    assert values(series.combine_versions(tied, order_by=("kind",), version_by=("n",))) == [1.0]
+    assert values(series.combine_versions(df.where("kind in ('a', 'ab')"), order_by=("-kind",))) == [2.0]
+
+
+def test_holes_of_empty_and_null_series(spark):
+    lo, hi = "2024-01-01 00:00:00", "2024-01-01 05:30:00"
+    none = frame(spark, [("a", lo, None), ("b", "2024-02-01 00:00:00", 1.0)])
+    wanted = spark.createDataFrame([("a",), ("c",), (None,)], "k string")
+    got = sorted((str(r.k), str(r.start), str(r.end)) for r in gaps.holes(none, ["k"], lo, hi, HOUR, HOUR, wanted).collect())
+    whole, wide = (lo, hi), ("2023-12-31 23:00:00", "2024-01-01 06:00:00")
+    assert got == [("None", *whole), ("a", *wide), ("b", *wide), ("c", *whole)]
+    assert [(str(r.start), str(r.end)) for r in gaps.holes(none.limit(0).drop("k"), [], lo, hi, HOUR, HOUR).collect()] == [whole]
+    assert [(str(r.start), str(r.end)) for r in gaps.holes(none.where("k = 'a'").drop("k"), [], lo, hi, HOUR).collect()] == [(lo, "2024-01-01 05:00:00")]
+    one = frame(spark, [("a", "2024-01-01 01:00:00", 1.0)])
+    said = gaps.check_completeness(one, ["k"], lo, "2024-01-01 03:00:00", HOUR).orderBy("start").collect()
+    assert [(r.start.hour, r.end.hour) for r in said] == [(23, 1), (1, 4)] and said[1].message == "a misses 2024-01-01 01:00:00 to 2024-01-01 04:00:00 (holes widen by 3600 s)"
+
+
 def test_delay_trims_the_head_of_each_version(spark):
     rows = [("p", 0, f"2024-01-0{i}", 1.0) for i in range(1, 6)] + [("p", 1, f"2024-01-0{i}", 2.0) for i in range(2, 6)]
     df = frame(spark, rows, "prm string, version int, ts string, value double")

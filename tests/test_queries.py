@@ -8,7 +8,10 @@ import duckdb
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
+from tidemark.operators import series
 from tidemark.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -50,7 +53,8 @@ def test_entry(spark):
 
 
 def test_a_range_read_pushes_its_bounds_into_the_scan(spark, tmp_path):
-    plan = catalogue.queries()["range_read_closed"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    low, high = (F.lit(x).cast("timestamp_ntz") for x in ("1997-03-10 00:00:00", "1998-02-20 00:00:00"))
+    plan = series.slice_closed(catalogue.ld(spark, SF), low, high)._jdf.queryExecution().executedPlan().toString()
     scan = next(x for x in plan.splitlines() if "FileScan" in x)
     assert "GreaterThanOrEqual(l_shipdate" in scan and "l_extendedprice" not in scan
 

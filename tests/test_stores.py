@@ -8,12 +8,14 @@ import zipfile
 
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.sources import export
+from tidemark.sources import export, snapshot
 from tidemark.sources.chunked import ChunkedStore
 from tidemark.sources.keyed import KeyedStore
+from tidemark.sources.snapshot import ConflictError
 from tidemark.sources.versioned import VersionedStore
 from tidemark.spec import DuplicateChunkError, StoreSpec
 from tidemark.streaming.sync import SyncClient, stream_pull
@@ -239,6 +241,99 @@ def test_keyed_store(spark, tmp_path):
     assert store.get({"kind": "a"}).isEmpty() and not store.get({"kind": "b"}).isEmpty()
 
 
+def test_many_series_are_updated_and_replaced_at_once(spark, store):
+    series = {(v, k): made("2020-01-10", 1500, 10 * v + len(k)) for v in (1, 2) for k in ("a", "bb")}
+
+    def table(of):
+        parts = [lifted(spark, s).withColumns({"version": F.lit(v), "kind": F.lit(k)}) for (v, k), s in of.items()]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+    store.set_many(table(series))
+    new = {(1, "a"): made("2020-02-20", 400, 77), (2, "bb"): made("2020-05-01", 100, 78), (3, "c"): made("2020-01-01", 50, 79)}
+    store.set_many(table(new), update=True)
+    want = series | {k: (s.combine_first(series[k]) if k in series else s) for k, s in new.items()}
+    for (v, k), s in want.items():
+        same(store.get({"version": v, "kind": k}), s)
+    short = {(1, "a"): made("2020-02-01", 100, 80), (2, "a"): made("2021-01-01", 100, 81)}
+    store.set_many(table(short), replace=True)
+    for (v, k), s in (want | short).items():
+        same(store.get({"version": v, "kind": k}), s)
+    with pytest.raises(ValueError):
+        store.set_many(table(short), True, True)
+    with pytest.raises(DuplicateChunkError):
+        store.set_many(table(short))
+
+
+def test_a_second_writer_is_refused(spark, tmp_path):
+    spec = StoreSpec(("version", "kind"))
+    one, two = (ChunkedStore(spark, str(tmp_path / "t"), spec, KINDS) for _ in (1, 2))
+    s = lifted(spark, made("2020-01-01", 100))
+    one.set({"version": 1, "kind": "a"}, s)
+    with one.table.writing():
+        stored = one.table.read()
+        two.set({"version": 2, "kind": "b"}, s)
+        with pytest.raises(ConflictError):
+            one.table.write(stored, [2020 * 12])
+    one.set({"version": 3, "kind": "c"}, s)
+    assert {r.version for r in two.chunks().collect()} == {1, 2, 3}
+
+
+def test_a_read_of_one_series_skips_row_groups(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(snapshot, "GROUP_BYTES", 64 << 10)
+    store = ChunkedStore(spark, str(tmp_path / "t"), StoreSpec(("k",), tz="UTC"), {"k": "int"})
+    rows = spark.range(600 * 50).selectExpr("cast(id div 50 as int) as k", "timestampadd(HOUR, id % 50, timestamp_ntz'2020-01-01') as ts", "rand(1) as value")
+    store.set_many(rows)
+    (file,) = (tmp_path / "t").rglob("part-*.parquet")
+    meta = pq.ParquetFile(file).metadata
+    spans = [(meta.row_group(i).column(0).statistics.min, meta.row_group(i).column(0).statistics.max) for i in range(meta.num_row_groups)]
+    assert len(spans) > 3 and sum(low <= 17 <= high for low, high in spans) == 1
+    plan = store.get({"k": 17})._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(k,17)" in plan and store.get({"k": 17}).count() == 50
+
+
+def test_partitions_of_hashed_stores_can_grow(spark, tmp_path):
+    store = KeyedStore(spark, str(tmp_path / "k"), {"n": "int"}, buckets=2)
+    for n in range(5):
+        store.set({"n": n}, pairs(spark, {0: n}))
+    assert store.resize() == 2 and store.resize(7) == 7
+    again = KeyedStore(spark, str(tmp_path / "k"), {"n": "int"})
+    assert again.buckets == 7 and len(again.table.partitions()) > 2 and [vals(again.get({"n": n}, flat=True)) for n in range(5)] == [[n] for n in range(5)]
+    again.set({"n": 3}, pairs(spark, {0: 30}), replace=True)
+    assert vals(store.get({"n": 3}, flat=True)) == [30]
+    versions = VersionedStore(spark, str(tmp_path / "v"), buckets=2)
+    versions.set("p", pairs(spark, {0: 1}), 1)
+    assert versions.resize(5) == 5 and vals(VersionedStore(spark, str(tmp_path / "v")).get("p", 1)) == [1]
+
+
+def test_versions_carry_their_metadata(spark, tmp_path):
+    stamp = "2024-05-0{} 00:00:00"
+    store = VersionedStore(spark, str(tmp_path / "v"), {"kind": "string"})
+    for day, (kind, points) in enumerate([("low", {0: 1, 1: 2}), ("high", {1: 20, 2: None}), ("mid", {2: 7})], 1):
+        store.clock = F.lit(stamp.format(day)).cast("timestamp_ntz")
+        store.set("p", pairs(spark, points), 1, True, attributes={"kind": kind})
+    got = store.get("p", 1, order_by=("-kind",), metadata=True).orderBy("ts").collect()
+    assert [r.value for r in got] == [1, 2, 7] and {(r.kind, r.version, r.client_id) for r in got} == {("mid", 2, 1)}
+    assert {str(r.created_at) for r in got} == {stamp.format(3)}
+    got = store.get("p", 1, order_by=("kind",), metadata=True).orderBy("ts").collect()
+    assert [r.value for r in got] == [1, 20, 7] and {r.kind for r in got} == {"high"}
+    assert [r.value for r in store.get("p", 1, order_by=("-created_at",)).orderBy("ts").collect()] == [1, 20, 7]
+    store.clear(["p"], 1)
+    store.set("p", pairs(spark, {0: 1}), 1)
+    store.clock = F.lit(stamp.format(9)).cast("timestamp_ntz")
+    store.set("p", pairs(spark, {0: 2}), 1)
+    (row,) = store.get("p", 1, combined=False, metadata=True).collect()
+    assert (str(row.created_at), str(row.last_modified), row.value) == (stamp.format(3), stamp.format(9), 2)
+
+
+def test_nulls_are_exported_as_nothing(spark):
+    df = pairs(spark, {0: 1, 1: None}).withColumn("kind", F.lit("a"))
+    with zipfile.ZipFile(io.BytesIO(export.zip_bytes(df, ["kind"]))) as z:
+        assert z.read("export_serie_0.csv").decode() == ";value\n2024-01-01 00:00:00;1.00000000\n2024-01-01 01:00:00;\n"
+
+
 def test_export(spark, tmp_path):
     df = pairs(spark, {0: 1, 1: None}).withColumns({"year": F.lit(2020), "kind": F.lit("a")}).unionByName(pairs(spark, {0: 2.5}).withColumns({"year": F.lit(2020), "kind": F.lit("b")}))
     with zipfile.ZipFile(io.BytesIO(export.zip_bytes(df, ["year", "kind"]))) as z:
@@ -287,7 +382,7 @@ def test_pulls_follow_the_feed(spark, ends):
         clock.tick(server)
         server.set({"version": key[0], "kind": key[1]}, lifted(spark, s), update=True)
     sync = SyncClient(server, client)
-    fetched, deleted = sync.pull(page_size=2)
+    fetched, deleted = sync.pull()
     assert fetched == server.chunks().count() and deleted == 0 and state(client) == state(server)
     assert client.last_updated() == server.last_updated()
     clock.tick(server)
@@ -318,17 +413,17 @@ def test_a_pull_that_died_is_run_again(spark, ends, monkeypatch):
         server.set({"version": 1, "kind": kind}, lifted(spark, made("2025-01-01", 24)), update=True)
     real, calls = client.import_, []
 
-    def once(page):
-        if calls:
-            raise RuntimeError("lost")
+    def flaky(page):
         calls.append(1)
+        if len(calls) < 3:
+            raise RuntimeError("lost")
         real(page)
 
-    monkeypatch.setattr(client, "import_", once)
+    monkeypatch.setattr(client, "import_", flaky)
     with pytest.raises(RuntimeError):
-        SyncClient(server, client).pull(page_size=1)
-    monkeypatch.undo()
-    assert SyncClient(server, client).pull() == (2, 0) and state(client) == state(server)
+        SyncClient(server, client).pull(retries=0)
+    assert client.chunks(deleted=True).isEmpty()
+    assert SyncClient(server, client).pull(retries=1, pause=0.01) == (2, 0) and len(calls) == 3 and state(client) == state(server)
 
 
 def test_import_refuses_bad_rows_and_older_stamps(spark, ends):

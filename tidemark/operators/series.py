@@ -106,15 +106,19 @@ def overlay(frames: Sequence[DataFrame], keys: Sequence[str], order_col: str = "
     return rows.groupBy(*keys, order_col).agg(F.expr("min_by(value, prio) FILTER (WHERE value IS NOT NULL)").alias("value"))
 
 
+def join_safe(df: DataFrame, other: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """``df`` joined with ``other`` on ``keys``, where null equals null; the keys of ``df`` stay."""
+    names = {k: f"_other_{i}" for i, k in enumerate(keys)}
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()])
+    return df.join(other.withColumnsRenamed(names), same, how).drop(*names.values())
+
+
 def with_totals(df: DataFrame, keys: Sequence[str], **totals: Column) -> DataFrame:
     """``df`` with aggregates of each series as further columns. They are summed up before any shuffle and joined back, by a
     broadcast where there are few series, so that a long series is not gathered in one task."""
     if not keys:
         return df.crossJoin(F.broadcast(df.agg(*[t.alias(n) for n, t in totals.items()])))  # one row
-    names = {k: f"_key_{i}" for i, k in enumerate(keys)}
-    found = df.groupBy(*keys).agg(*[t.alias(n) for n, t in totals.items()]).withColumnsRenamed(names)
-    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()])
-    return df.join(found, same).drop(*names.values())
+    return join_safe(df, df.groupBy(*keys).agg(*[t.alias(n) for n, t in totals.items()]), keys, "inner")
 
 
 def head_trim(df: DataFrame, by: Sequence[str], delay_us: int, order_col: str = "ts") -> DataFrame:
@@ -160,10 +164,8 @@ def combine_versions(df: DataFrame, combined_by: Sequence[str] = ("prm",), order
     if not metadata:
         return out
     first = F.min(F.struct("prio", *[f"_meta_{i}" for i in range(len(metadata))]))
-    names = {k: f"_key_{i}" for i, k in enumerate(combined_by)}
-    groups = rows.groupBy(*combined_by).agg(first.alias("first")).withColumnsRenamed(names)
-    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()], F.lit(True))
-    return out.join(groups, same).select(*combined_by, order_col, "value", *[F.col(f"first._meta_{i}").alias(m) for i, m in enumerate(metadata)])
+    groups = rows.groupBy(*combined_by).agg(first.alias("first"))
+    return join_safe(out, groups, combined_by, "inner").select(*combined_by, order_col, "value", *[F.col(f"first._meta_{i}").alias(m) for i, m in enumerate(metadata)])
 
 
 def slice_half_open(df: DataFrame, start, end, order_col: str = "ts") -> DataFrame:

@@ -2,10 +2,14 @@
 
 Each query applies an operator to whole driver tables: EH, events summed by type and hour; UD, by user and day; LD,
 quantities by return flag, line status and shipping date; EV, versions of user groups' hourly maxima.
+
+Queries of the stores write a store into the shared folder (``spark.checkpoint.dir``) and read it again.
 """
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,8 +20,11 @@ from tidemark.functions import filters as fl
 from tidemark.functions import timegrid as tg
 from tidemark.operators import gaps, intervals, series, states
 from tidemark.sources import export
+from tidemark.sources.chunked import ChunkedStore
+from tidemark.sources.keyed import KeyedStore
+from tidemark.sources.versioned import VersionedStore
 from tidemark.spec import StoreSpec
-from tidemark.streaming.sync import feed_page
+from tidemark.streaming.sync import SyncClient, feed_page
 
 HOUR, DAY = 3_600_000_000, 86_400_000_000
 START, END = "2024-01-01 00:00:00", "2024-01-30 23:00:00"
@@ -79,7 +86,46 @@ def ev(spark: SparkSession, d: str) -> DataFrame:
         (F.col("user_id") % 20).alias("prm"), "version", "event_type", tg.truncated("hour", F.col("ts")).alias("ts")).agg(F.max("value").alias("value"))
 
 
+def _folder(spark: SparkSession) -> str:
+    """A new folder for a store, where all executors see it."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(shared or tempfile.mkdtemp(prefix='tidemark-')).rstrip('/')}/store-{uuid.uuid4().hex}"
+
+
+def _stamp(text: str) -> Column:
+    return F.lit(text).cast("timestamp_ntz")
+
+
+def ld_store(spark: SparkSession, d: str, sync: bool = False, rows: DataFrame | None = None, stamp: str = "2024-06-01 00:00:00") -> ChunkedStore:
+    """A chunked store of LD."""
+    store = ChunkedStore(spark, _folder(spark), StoreSpec(tuple(LD_KEYS), tz="UTC", freq="1d", sync=sync), clock=_stamp(stamp))
+    store.set_many(ld(spark, d) if rows is None else rows, update=sync)
+    return store
+
+
+def eh_store(spark: SparkSession, rows: DataFrame) -> ChunkedStore:
+    store = ChunkedStore(spark, _folder(spark), EH_UTC)
+    store.set_many(rows)
+    return store
+
+
+def ev_store(spark: SparkSession, d: str) -> VersionedStore:
+    """A versioned store of EV: each event type's series of a group is its next version, in the order of the types."""
+    store, rows = VersionedStore(spark, _folder(spark), buckets=8), ev(spark, d).persist()
+    for v in range((rows.agg(F.max("version")).first()[0] or 0) + 1):  # a handful of event types
+        store.set_many(rows.where(F.col("version") == v).select(F.col("prm").cast("string").alias("prm"), "ts", "value"), 1, versioning=True)
+    rows.unpersist()
+    return store
+
+
+def _numbered(df: DataFrame) -> DataFrame:
+    return df.withColumn("prm", F.col("prm").cast("long"))
+
+
 LD_KEYS = ["l_returnflag", "l_linestatus"]
+LD_SERIES = [(flag, status) for flag in "ANR" for status in "FO"]
 EH_UTC = StoreSpec(("event_type",), tz="UTC")
 EH_PARIS = StoreSpec(("event_type",))
 LD_DAILY = StoreSpec(tuple(LD_KEYS), tz="UTC", freq="1d")
@@ -129,18 +175,18 @@ def _roundtrip(spark, d):
 
 @query("range_read_closed", " select * from ld where ts >= timestamp '1997-03-10' and ts <= timestamp '1998-02-20'")
 def _closed(spark, d):
-    low, high = "1997-03-10 00:00:00", "1998-02-20 00:00:00"
-    rows = series.with_chunk(ld(spark, d), LD_DAILY).where(F.col("chunk_index").between(1997 * 12 + 2, 1998 * 12 + 1))
-    return series.slice_closed(rows, F.lit(low).cast("timestamp_ntz"), F.lit(high).cast("timestamp_ntz")).drop("chunk_index")
+    return ld_store(spark, d).read_many(None, "1997-03-10 00:00:00", "1998-02-20 00:00:00").where("value is not null")
 
 
-@query("range_read_trim", """, n as (select event_type, ts, case when hour(ts) in (0, 1, 23) then null else value end as value from eh where ts >= timestamp '2024-01-05' and ts <= timestamp '2024-01-09 23:00:00'),
+
+@query("range_read_trim", """, g as (select event_type, unnest(generate_series(timestamp '2024-01-05', timestamp '2024-01-09 23:00:00', interval 1 hour)) as ts from (select distinct event_type from eh)),
+n as (select g.event_type, g.ts, case when hour(g.ts) in (0, 1, 23) then null else eh.value end as value from g left join eh using (event_type, ts)),
 b as (select *, min(case when value is not null then ts end) over (partition by event_type) as lo, max(case when value is not null then ts end) over (partition by event_type) as hi from n)
 select event_type, ts, value from b where lo is null or ts between lo and hi""")
 def _trim(spark, d):
     rows = eh(spark, d).withColumn("value", F.when(~F.hour("ts").isin(0, 1, 23), F.col("value")))
-    rows = series.slice_closed(rows, F.lit("2024-01-05 00:00:00").cast("timestamp_ntz"), F.lit("2024-01-09 23:00:00").cast("timestamp_ntz"))
-    return series.trim_null_edges(rows, ["event_type"])
+    return eh_store(spark, rows).read_many(None, "2024-01-05 00:00:00", "2024-01-09 23:00:00")
+
 
 
 @query("slice_half_open", " select * from eh where ts >= timestamp '2024-01-03' and ts < timestamp '2024-01-07'")
@@ -150,22 +196,26 @@ def _half(spark, d):
 
 @query("split_point", " select *, 'left' as side from ud where ts <= timestamp '2024-01-15' union all select *, 'right' from ud where ts >= timestamp '2024-01-15'")
 def _split(spark, d):
-    at = F.lit("2024-01-15").cast("timestamp_ntz")
-    rows = ud(spark, d)
-    return series.slice_closed(rows, None, at).withColumn("side", F.lit("left")).unionByName(series.slice_closed(rows, at).withColumn("side", F.lit("right")))
+    return series.split_at(ud(spark, d), _stamp("2024-01-15 00:00:00"))
 
 
-@query("yield_many", """, r as (select event_type, ts, case when value > 150 then value end as value from eh where event_type in ('click', 'view', 'purchase')),
+
+@query("yield_many", """, g as (select event_type, unnest(generate_series(timestamp '2024-01-02', timestamp '2024-01-25', interval 1 hour)) as ts from (select distinct event_type from eh where value > 150 and event_type in ('click', 'view', 'purchase'))),
+r as (select g.event_type, g.ts, case when value > 150 then value end as value from g left join eh using (event_type, ts)),
 b as (select *, min(case when value is not null then ts end) over (partition by event_type) as lo, max(case when value is not null then ts end) over (partition by event_type) as hi from r)
 select event_type, ts, value from b where lo is null or ts between lo and hi""")
 def _many(spark, d):
-    rows = fl.where(eh(spark, d), {"event_type__in": ["click", "view", "purchase"]}, ["event_type"]).withColumn("value", F.when(F.col("value") > 150, F.col("value")))
-    return series.trim_null_edges(rows, ["event_type"])
+    store = eh_store(spark, eh(spark, d).withColumn("value", F.when(F.col("value") > 150, F.col("value"))))
+    return store.read_many({"event_type__in": ["click", "view", "purchase"]}, "2024-01-02 00:00:00", "2024-01-25 00:00:00")
+
 
 
-@query("max_horodate", " select event_type, max(ts) filter (where value > 100) as max_ts from eh group by 1")
+@query("max_horodate", " select event_type, max(ts) as max_ts from eh where value > 100 and event_type in ('click', 'purchase', 'view') group by 1")
 def _max(spark, d):
-    return eh(spark, d).groupBy("event_type").agg(F.max(F.when(F.col("value") > 100, F.col("ts"))).alias("max_ts"))
+    store = eh_store(spark, eh(spark, d).withColumn("value", F.when(F.col("value") > 100, F.col("value"))))
+    found = [(k, store.max_ts({"event_type": k})) for k in ("click", "purchase", "view")]
+    return spark.createDataFrame([(k, t) for k, t in found if t is not None], "event_type string, max_ts timestamp_ntz")
+
 
 
 @query("overlay_two", """, a as (select * from eh where hour(ts) % 2 = 0), b as (select event_type, ts, value + 1000 as value from eh where hour(ts) % 3 = 0)
@@ -201,12 +251,17 @@ def _combine_delay(spark, d):
 
 @query("version_exact", " select prm, version, ts, value from evm where version = 2 and prm in (3, 7)")
 def _exact(spark, d):
-    return fl.where(ev(spark, d), {"version": 2, "prm__in": [3, 7]}, ["prm", "version"]).select("prm", "version", "ts", "value")
+    found = ev_store(spark, d).get_many(["3", "7"], 1, combined=False, version=2)
+    return _numbered(found.select("prm", "version", "ts", "value"))
+
 
 
 @query("next_version", " select prm, cast(max(version) + 1 as int) as next_version from evm group by 1")
 def _next(spark, d):
-    return states.next_versions(ev(spark, d), ["prm"])
+    store, new = ev_store(spark, d), ev(spark, d).where("version = 0").select(F.col("prm").cast("string").alias("prm"), "ts", "value")
+    store.set_many(new, 1, versioning=True)
+    return _numbered(store.get_many(None, 1, combined=False).groupBy("prm").agg(F.max("version").alias("next_version")))
+
 
 
 _HOLES = """, g as (select k, unnest(generate_series(timestamp '{lo}', timestamp '{hi}', interval 1 {unit})) as ts from (select distinct {key} as k from {frame})),
@@ -268,11 +323,17 @@ def _spans(spark, d) -> DataFrame:
 
 
 def _pairs(spark, d) -> DataFrame:
+    """Overlapping intervals of each customer, by bins."""
     o = _spans(spark, d)
-    a = o.withColumnRenamed("id", "a_id")
-    b = o.select("k", F.col("id").alias("b_id"), F.col("sd").alias("other_sd"), F.col("ed").alias("other_ed"))
-    return a.join(b, "k").where("a_id < b_id")
+    other = o.select("k", F.col("id").alias("b_id"), F.col("sd").alias("other_sd"), F.col("ed").alias("other_ed"))
+    return intervals.overlap_join(o.withColumnRenamed("id", "a_id"), other, ["k"], 128).where("a_id < b_id")
+
 
+def _next_pairs(spark, d) -> DataFrame:
+    """Each interval of a customer and the one that starts next, disjoint ones too."""
+    w = Window.partitionBy("k").orderBy("sd", "ed", "id")
+    return _spans(spark, d).select("k", F.col("id").alias("a_id"), "sd", "ed", F.lead("id").over(w).alias("b_id"), F.lead("sd").over(w).alias("other_sd"),
+                                   F.lead("ed").over(w).alias("other_ed")).where("b_id is not null")
 
 
 def _ends() -> tuple[Column, Column, Column, Column]:
@@ -281,9 +342,8 @@ def _ends() -> tuple[Column, Column, Column, Column]:
 
 @query("range_overlap", _SPANS + "select k, a_id, b_id from p where sd <= other_ed and ed >= other_sd")
 def _overlap(spark, d):
-    o = _spans(spark, d)
-    other = o.select("k", F.col("id").alias("b_id"), F.col("sd").alias("other_sd"), F.col("ed").alias("other_ed"))
-    return intervals.overlap_join(o.withColumnRenamed("id", "a_id"), other, ["k"], 128).where("a_id < b_id").select("k", "a_id", "b_id")
+    return _pairs(spark, d).select("k", "a_id", "b_id")
+
 
 
 @query("range_includes", _SPANS + "select k, a_id, b_id from p where sd <= other_sd and ed >= other_ed")
@@ -297,13 +357,15 @@ def _intersection(spark, d):
     return x.select("k", "a_id", "b_id", "r.sd", "r.ed")
 
 
-@query("range_difference", _SPANS + """, c as (select *, case when sd <= other_sd and ed >= other_ed then 0 when other_sd <= sd and other_ed >= ed then 3 when other_ed > ed then 2 when other_sd < sd then 1 else 0 end as c from p)
+@query("range_difference", _SPANS + """, p2 as (select k, id as a_id, sd, ed, lead(id) over w as b_id, lead(sd) over w as other_sd, lead(ed) over w as other_ed from o window w as (partition by k order by sd, ed, id)),
+c as (select *, case when sd <= other_sd and ed >= other_ed then 0 when other_sd <= sd and other_ed >= ed then 3 when other_ed > ed then 2 when other_sd < sd then 1 else 0 end as c from p2 where b_id is not null)
 select k, a_id, b_id, other_sd as sd, sd as ed from c where c in (1, 3) and sd - other_sd >= 1 union all select k, a_id, b_id, ed, other_ed from c where c in (2, 3) and other_ed - ed >= 1""")
 def _difference(spark, d):
-    x = _pairs(spark, d).withColumn("r", F.explode(intervals.difference(*_ends(), F.lit(1))))
+    x = _next_pairs(spark, d).withColumn("r", F.explode(intervals.difference(*_ends(), F.lit(1))))
     return x.select("k", "a_id", "b_id", "r.sd", "r.ed")
 
 
+
 @query("range_combine", _SPANS + """, f as (select k, sd, ed, case when sd <= max(ed) over (partition by k order by sd, ed rows between unbounded preceding and 1 preceding) then 0 else 1 end as n from o),
 q as (select *, sum(n) over (partition by k order by sd, ed rows between unbounded preceding and current row) as g from f)
 select k, min(sd) as sd, max(ed) as ed from q group by k, g""")
@@ -363,6 +425,12 @@ def _digest(chunks: DataFrame) -> DataFrame:
     return chunks.select(*LD_KEYS, "chunk_index", F.size("values").cast("long").alias("n"), total.alias("total"), "updated_at", "is_deleted")
 
 
+def _sums(chunks: DataFrame) -> DataFrame:
+    """Values and their sum by chunk."""
+    live = F.filter("values", lambda v: v.isNotNull())
+    return chunks.select(*LD_KEYS, "chunk_index", F.size(live).cast("long").alias("n"), F.aggregate(live, F.lit(0.0), lambda a, v: a + v).alias("total")).where("n > 0 or is_deleted")
+
+
 @query("upsert_state", """, a as (select l_returnflag, l_linestatus, ts, value * 2 as value from ld where month(ts) <= 3)
 select coalesce(a.l_returnflag, b.l_returnflag) as l_returnflag, coalesce(a.l_linestatus, b.l_linestatus) as l_linestatus, coalesce(a.ts, b.ts) as ts, coalesce(a.value, b.value) as value
 from a full join (select * from ld where day(ts) <= 20) b on a.l_returnflag = b.l_returnflag and a.l_linestatus = b.l_linestatus and a.ts = b.ts""")
@@ -402,21 +470,37 @@ def _keyset(spark, d):
     return page.select(*LD_KEYS, "chunk_index", "updated_at", "is_deleted")
 
 
-@query("latest_change", _CHUNKS + "select l_returnflag, l_linestatus, max(updated_at) as last_updated from ck group by 1, 2")
+@query("latest_change", _CHUNKS + "select l_returnflag, l_linestatus, case when l_returnflag = 'R' and max(chunk_index) >= 1998 * 12 then timestamp '2024-03-01' else timestamp '2024-02-01' end as last_updated from ck group by 1, 2")
 def _latest(spark, d):
-    return _chunks(spark, d).groupBy(*LD_KEYS).agg(F.max("updated_at").alias("last_updated"))
-
-
-@query("sync_merge", _CHUNKS + """, s as (select *, 0 as inc from ck where chunk_index % 7 <> 0),
-i as (select l_returnflag, l_linestatus, chunk_index, case when chunk_index % 4 = 0 then 0 else n end as n, case when chunk_index % 4 = 0 then 0 else total end as total, timestamp '2024-01-06' as updated_at, chunk_index % 4 = 0 as is_deleted, 1 as inc from ck where chunk_index % 2 = 0),
-u as (select * from s union all select * from i),
-r as (select *, row_number() over (partition by l_returnflag, l_linestatus, chunk_index order by updated_at desc, inc desc) as k, max(case when inc = 0 or not is_deleted then 1 else 0 end) over (partition by l_returnflag, l_linestatus, chunk_index) as known from u)
-select l_returnflag, l_linestatus, chunk_index, n, total, updated_at, is_deleted from r where k = 1 and known = 1""")
+    store, found = ld_store(spark, d, sync=True, stamp="2024-02-01 00:00:00"), []
+    store.clock = _stamp("2024-03-01 00:00:00")
+    store.delete({"l_returnflag": "R", "chunk_index__gte": 1998 * 12}, keep_tracking=True)
+    for a, b in LD_SERIES:
+        if store.exists({"l_returnflag": a, "l_linestatus": b}):
+            found.append((a, b, store.last_updated({"l_returnflag": a, "l_linestatus": b})))
+    return spark.createDataFrame(found, "l_returnflag string, l_linestatus string, last_updated timestamp_ntz")
+
+
+
+@query("sync_merge", """, b as (select l_returnflag, l_linestatus, min(ts) as lo, max(ts) as hi from ld where day(ts) <= 10 and year(ts) = 1996 group by 1, 2),
+p as (select l_returnflag, l_linestatus, cast(year(ts) * 12 + month(ts) - 1 as int) as chunk_index, ts, case when day(ts) <= 10 and year(ts) = 1996 then value + 1 else value end as value from ld),
+q as (select l_returnflag, l_linestatus, unnest(generate_series(date_trunc('month', min(ts)), date_trunc('month', max(ts)), interval 1 month)) as m from ld group by 1, 2),
+c as (select q.l_returnflag, q.l_linestatus, cast(year(q.m) * 12 + month(q.m) - 1 as int) as chunk_index from q),
+t as (select c.*, count(p.value) as n, coalesce(sum(p.value), 0) as total from c left join p using (l_returnflag, l_linestatus, chunk_index) group by all)
+select t.l_returnflag, t.l_linestatus, chunk_index, case when gone then 0 else n end as n, case when gone then 0 else total end as total,
+case when gone then timestamp '2024-08-01' when chunk_index between year(lo) * 12 + month(lo) - 1 and year(hi) * 12 + month(hi) - 1 then timestamp '2024-07-01' else timestamp '2024-06-01' end as updated_at, gone as is_deleted
+from (select *, l_returnflag = 'A' and chunk_index < 1996 * 12 as gone from t) t left join b on t.l_returnflag = b.l_returnflag and t.l_linestatus = b.l_linestatus""")
 def _merge(spark, d):
-    c, now = _chunks(spark, d), F.lit("2024-01-06 00:00:00").cast("timestamp_ntz")
-    incoming = c.where(F.col("chunk_index") % 2 == 0)
-    incoming = states.soft_delete(incoming, F.col("chunk_index") % 4 == 0, now).withColumn("updated_at", now)
-    return _digest(states.latest_wins(c.where(F.col("chunk_index") % 7 != 0), incoming, LD_KEYS))
+    source, target = ld_store(spark, d, True), ChunkedStore(spark, _folder(spark), StoreSpec(tuple(LD_KEYS), tz="UTC", freq="1d", sync=True))
+    client = SyncClient(source, target)
+    client.pull()
+    source.clock = _stamp("2024-07-01 00:00:00")
+    source.set_many(ld(spark, d).where("day(ts) <= 10 and year(ts) = 1996").withColumn("value", F.col("value") + 1), update=True)
+    source.clock = _stamp("2024-08-01 00:00:00")
+    source.delete({"l_returnflag": "A", "chunk_index__lt": 1996 * 12}, keep_tracking=True)
+    client.pull()
+    return _sums(target.chunks(deleted=True)).join(target.chunks(deleted=True).select(*LD_KEYS, "chunk_index", "updated_at", "is_deleted"), [*LD_KEYS, "chunk_index"])
+
 
 
 @query("export_join", _CHUNKS + "select * from ck where chunk_index % 6 = 1")
@@ -447,23 +531,36 @@ def _lookups(spark, d):
 
 @query("row_count", " select prm, count(distinct version) as n from evm where prm >= 10 group by 1")
 def _count(spark, d):
-    return fl.where(ev(spark, d), {"prm__gte": 10}, ["prm"]).groupBy("prm").agg(F.countDistinct("version").alias("n"))
+    store = ev_store(spark, d)
+    return spark.createDataFrame([(p, store.count(1, {"prm": str(p)})) for p in range(10, 20)], "prm long, n long").where("n > 0")
+
 
 
-@query("tombstone_filter", _CHUNKS + "select l_returnflag, l_linestatus, chunk_index, n, total, updated_at, is_deleted from ck where chunk_index % 5 <> 0 and chunk_index between 1996 * 12 and 1998 * 12 + 5")
+@query("tombstone_filter", _CHUNKS + "select l_returnflag, l_linestatus, chunk_index, n, total from ck where chunk_index % 5 <> 0 and chunk_index between 1996 * 12 and 1998 * 12 + 5")
 def _live(spark, d):
-    c = states.soft_delete(_chunks(spark, d), F.col("chunk_index") % 5 == 0, F.lit("2025-01-01 00:00:00").cast("timestamp_ntz"))
-    return _digest(c.where(~F.col("is_deleted") & F.col("chunk_index").between(1996 * 12, 1998 * 12 + 5)))
+    store = ld_store(spark, d)
+    for period in range(1990 * 12, 2001 * 12, 5):
+        if str(period) in store.table.partitions():
+            store.delete({"chunk_index": period}, keep_tracking=True)
+    live = store.chunks("1996-01-01 00:00:00", "1998-06-30 00:00:00")
+    return _sums(live)
+
 
 
 @query("keyed_read", " select * from ld where l_returnflag = 'R'")
 def _keyed(spark, d):
-    return fl.where(ld(spark, d), {"l_returnflag": "R"}, LD_KEYS)
+    store = KeyedStore(spark, _folder(spark), {"l_returnflag": "string", "l_linestatus": "string"}, buckets=8)
+    for a, b in LD_SERIES:
+        rows = ld(spark, d).where((F.col("l_returnflag") == a) & (F.col("l_linestatus") == b)).select("ts", "value")
+        store.set({"l_returnflag": a, "l_linestatus": b}, rows)
+    return store.get({"l_returnflag": "R"})
+
 
 
 @query("multi_key_read", " select prm, ts, arg_min(value, -version) filter (where value is not null) as value from evm where prm in (1, 5, 11, 999) group by 1, 2")
 def _multi(spark, d):
-    return series.combine_versions(fl.where(ev(spark, d), {"prm__in": [1, 5, 11, 999]}, ["prm"]))
+    return _numbered(ev_store(spark, d).get_many(["1", "5", "11", "999"], 1))
+
 
 
 @query("head_trim", """, t as (select *, min(ts) over (partition by event_type) as first from eh)
@@ -474,8 +571,11 @@ def _head(spark, d):
 
 @query("clear_versions", " select prm, version, event_type, ts, value from evm where not (prm in (1, 2, 3) and version = 3)")
 def _clear(spark, d):
-    gone = fl.condition({"prm__in": [1, 2, 3], "version": 3}, ["prm", "version"])
-    return ev(spark, d).where(~gone)
+    store = ev_store(spark, d)
+    store.clear(["1", "2", "3"], 1, version=3)
+    kinds = ev(spark, d).select("version", "event_type").distinct()
+    return _numbered(store.get_many(None, 1, combined=False)).join(F.broadcast(kinds), "version").select("prm", "version", "event_type", "ts", "value")  # one row an event type
+
 
 
 @query("range_check_date", _SPANS + "select k, id, sd, ed from o where 10000 >= sd and 10000 <= ed")
@@ -483,9 +583,10 @@ def _check_date(spark, d):
     return _spans(spark, d).where(intervals.contains(F.col("sd"), F.col("ed"), F.lit(10000)))
 
 
-@query("range_sort", _SPANS + "select k, id, sd, ed from o order by sd desc, ed desc, k desc, id desc limit 100")
+@query("range_sort", _SPANS + "select sd, ed from o order by sd desc, ed desc limit 100")
 def _sorted(spark, d):
-    return intervals.sort_by_start(_spans(spark, d), reverse=True).orderBy(F.desc("sd"), F.desc("ed"), F.desc("k"), F.desc("id")).limit(100)
+    return intervals.sort_by_start(_spans(spark, d), reverse=True).limit(100).select("sd", "ed")
+
 
 
 @query("chunk_pack_sparse", """, g as (select l_returnflag, l_linestatus, unnest(generate_series(date_trunc('month', min(ts)), date_trunc('month', max(ts)) + interval 1 month - interval 1 hour, interval 1 hour)) as ts from ld group by 1, 2)
@@ -509,3 +610,132 @@ def _upsert_chunks(spark, d):
     live = F.filter("values", lambda v: v.isNotNull())
     out = states.upsert_chunks(old, new, LD_KEYS)
     return out.select(*LD_KEYS, "chunk_index", F.size(live).cast("long").alias("n"), F.aggregate(live, F.lit(0.0), lambda a, v: a + v).alias("total")).where("n > 0")
+
+
+@query("version_metadata", """, m as (select *, max(version) over (partition by prm) as top from evm)
+select prm, ts, arg_min(value, -version) filter (where value is not null) as value, any_value(top) as version from m group by 1, 2""")
+def _metadata(spark, d):
+    return _numbered(ev_store(spark, d).get_many(None, 1, metadata=True).select("prm", "ts", "value", "version"))
+
+
+@query("version_combine_text_order", " select prm, ts, arg_max(value, event_type) filter (where value is not null) as value from evm group by 1, 2")
+def _text_order(spark, d):
+    return series.combine_versions(ev(spark, d), order_by=("-event_type",))
+
+
+@query("unversioned_set", " select prm, ts, cast(value * 2 as double) as value from evm where version = 1 and prm < 10 union all select prm, ts, value from evm where version = 1 and prm >= 10")
+def _unversioned(spark, d):
+    store, rows = VersionedStore(spark, _folder(spark), buckets=8), ev(spark, d).where("version = 1").select(F.col("prm").cast("string").alias("prm"), "ts", "value")
+    store.set_many(rows, 1)
+    store.set_many(rows.where("int(prm) < 10").withColumn("value", F.col("value") * 2), 1)  # in the place of what is there
+    return _numbered(store.get_many(None, 1, combined=False).select("prm", "ts", "value"))
+
+
+@query("clear_all_versions", " select prm, version, ts, value from evm where version <> 0")
+def _clear_all(spark, d):
+    store = ev_store(spark, d)
+    store.clear_all(1, {"version": 0})
+    return _numbered(store.get_many(None, 1, combined=False).select("prm", "version", "ts", "value"))
+
+
+@query("keyed_update_clear", """, n as (select l_returnflag, l_linestatus, ts, value + 1 as value from ld where l_linestatus = 'F' and day(ts) <= 10)
+select l_returnflag, l_linestatus, ts, coalesce(n.value, ld.value) as value from ld left join n using (l_returnflag, l_linestatus, ts) where l_linestatus = 'F' and l_returnflag <> 'N'""")
+def _keyed_update(spark, d):
+    store = KeyedStore(spark, _folder(spark), {"l_returnflag": "string", "l_linestatus": "string"}, buckets=8)
+    for flag, status in LD_SERIES:
+        own = {"l_returnflag": flag, "l_linestatus": status}
+        rows = ld(spark, d).where((F.col("l_returnflag") == flag) & (F.col("l_linestatus") == status)).select("ts", "value")
+        store.set(own, rows)
+        if status == "F":
+            store.set(own, rows.where("day(ts) <= 10").withColumn("value", F.col("value") + 1), update=True)
+    store.clear({"l_returnflag": "N"})
+    store.clear({"l_linestatus": "O"})
+    return store.get({})
+
+
+@query("bulk_update", """, n as (select l_returnflag, l_linestatus, ts, value + 1 as value from ld where day(ts) > 20)
+select l_returnflag, l_linestatus, ts, coalesce(n.value, ld.value) as value from ld left join n using (l_returnflag, l_linestatus, ts)""")
+def _bulk_update(spark, d):
+    store = ld_store(spark, d)
+    store.set_many(ld(spark, d).where("day(ts) > 20").withColumn("value", F.col("value") + 1), update=True)
+    return store.read_many().where("value is not null")
+
+
+@query("bulk_replace", " select * from ld where l_returnflag <> 'R' or year(ts) = 1996")
+def _bulk_replace(spark, d):
+    store = ld_store(spark, d)
+    store.set_many(ld(spark, d).where("l_returnflag = 'R' and year(ts) = 1996"), replace=True)
+    return store.read_many().where("value is not null")
+
+
+@query("holes_all_null_margin", """, k as (select event_type, count(value) filter (where value > 1e12) as n from eh group by 1)
+select event_type, timestamp '2023-12-31 23:00:00' as "start", timestamp '2024-01-31 00:00:00' as "end" from k where n = 0""")
+def _holes_null(spark, d):
+    return gaps.holes(eh(spark, d).withColumn("value", F.when(F.col("value") > 1e12, F.col("value"))), ["event_type"], START, END, HOUR, HOUR)
+
+
+@query("holes_empty", """ select event_type, timestamp '2024-01-01' as "start", timestamp '2024-01-30 23:00:00' as "end" from (select distinct event_type from events)""")
+def _holes_empty(spark, d):
+    e = eh(spark, d)
+    return gaps.holes(e.limit(0), ["event_type"], START, END, HOUR, HOUR, e)
+
+
+@query("completeness_messages", _HOLES.format(lo=START, hi=END, unit="hour", key="event_type", frame="eh", margin="1 hour").replace("select k as event_type", "select *, event_type || ' misses ' || strftime(\"start\", '%Y-%m-%d %H:%M:%S') || ' to ' || strftime(\"end\", '%Y-%m-%d %H:%M:%S') || ' (holes widen by 3600 s)' as message from (select k as event_type") + ")")
+def _messages(spark, d):
+    return gaps.check_completeness(eh(spark, d), ["event_type"], START, END, HOUR)
+
+
+@query("export_null", " select event_type, ts, case when value > 100 then printf('%.8f', value) end as value from eh")
+def _export_null(spark, d):
+    return export.export_text(eh(spark, d).withColumn("value", F.when(F.col("value") > 100, F.col("value"))))
+
+
+@query("store_exists", " select event_type, max(value) > 300 as there from eh where event_type in ('click', 'view', 'purchase') group by 1")
+def _exists(spark, d):
+    store = eh_store(spark, eh(spark, d).where("value > 300"))
+    kinds = [r[0] for r in eh(spark, d).where(F.col("event_type").isin("click", "view", "purchase")).select("event_type").distinct().collect()]  # three at most
+    return spark.createDataFrame([(k, store.exists({"event_type": k})) for k in kinds], "event_type string, there boolean")
+
+
+@query("bounds_of_the_store", " select l_returnflag, l_linestatus, ts, value from ld where ts >= timezone('UTC', timezone('Europe/Paris', timestamp '1996-03-10')) and ts <= timestamp '1996-05-01 04:00:00'")
+def _bounds(spark, d):
+    import datetime
+
+    store = ChunkedStore(spark, _folder(spark), LD_PARIS)
+    store.set_many(ld(spark, d))
+    return store.read_many(None, "1996-03-10 00:00:00", datetime.datetime(1996, 5, 1, 4, tzinfo=datetime.UTC)).where("value is not null")
+
+
+@query("series_between_dates", " select l_returnflag, l_linestatus, date_trunc('hour', ts) as ts, value from ld where timezone('Europe/Paris', timezone('UTC', ts))::date = date '1997-06-01'")
+def _local_day(spark, d):
+    return ld(spark, d).where(tg.to_local(F.col("ts"), "Europe/Paris").cast("date") == F.lit("1997-06-01").cast("date"))
+
+
+@query("feed_with_tombstones", _CHUNKS + """select l_returnflag, l_linestatus, chunk_index, gone as is_deleted, case when gone then timestamp '2024-09-01' else timestamp '2024-06-01' end as updated_at
+from (select *, l_returnflag = 'N' and chunk_index >= 1997 * 12 as gone from ck)""")
+def _feed_store(spark, d):
+    store = ld_store(spark, d, sync=True)
+    store.clock = _stamp("2024-09-01 00:00:00")
+    store.delete({"l_returnflag": "N", "chunk_index__gte": 1997 * 12}, keep_tracking=True)
+    return store.updates(_stamp("2000-01-01 00:00:00")).select(*LD_KEYS, "chunk_index", "is_deleted", "updated_at")
+
+
+@query("export_import", " select * from ld where year(ts) = 1996")
+def _import(spark, d):
+    source, target = ld_store(spark, d, True), ChunkedStore(spark, _folder(spark), StoreSpec(tuple(LD_KEYS), tz="UTC", freq="1d", sync=True))
+    wanted = source.updates(_stamp("2000-01-01 00:00:00")).where(F.col("chunk_index").between(1996 * 12, 1996 * 12 + 11))
+    target.import_(source.export(wanted))
+    return target.read_many().where("value is not null")
+
+
+@query("hard_delete", " select * from ld where year(ts) <> 1996")
+def _hard_delete(spark, d):
+    store = ld_store(spark, d)
+    store.delete({"chunk_index__range": (1996 * 12, 1996 * 12 + 11)})
+    return store.read_many().where("value is not null")
+
+
+@query("range_equality", _SPANS + "select k, count(*) filter (where sd = other_sd and ed = other_ed) as same, min('[' || sd || ', ' || ed || ']') as first from p where sd <= other_ed and ed >= other_sd group by 1")
+def _equality(spark, d):
+    same = F.count(F.when(intervals.same(*_ends()), 1))
+    return _pairs(spark, d).groupBy("k").agg(same.alias("same"), F.min(intervals.as_text(F.col("sd"), F.col("ed"))).alias("first"))

@@ -28,7 +28,7 @@ class ChunkedStore:
         text = ", ".join([*(f"{k} {kinds.get(k, 'string')}" for k in spec.keys), "chunk_index int", "start_ts timestamp_ntz", "values array<double>", "updated_at timestamp_ntz", "is_deleted boolean"])
         self.kinds = {k: kinds.get(k, "string") for k in spec.keys}
         self.keys = list(spec.keys)
-        self.table = SnapshotTable(spark, path, T._parse_datatype_string(text), "chunk_index", spec.signature())
+        self.table = SnapshotTable(spark, path, T._parse_datatype_string(text), "chunk_index", spec.signature(), [*spec.keys, "chunk_index"])
 
     # Reading.
 
@@ -84,10 +84,12 @@ class ChunkedStore:
         return not fl.where(self.chunks(), filters, self.keys).limit(1).isEmpty()
 
     def max_ts(self, filters: Mapping[str, object] | None = None):
-        """The last instant with a value, or None. Periods are looked at from the last one back until one has a value."""
-        match = fl.condition(filters, self.keys)
-        for period in sorted(map(int, self.table.partitions()), reverse=True):
-            rows = series.unpack(self.table.read([period]).where(~F.col("is_deleted") & match), self.spec)
+        """The last instant with a value, or None. Periods are looked at from the last one back, at first one, then twice as
+        many each time, until one has a value."""
+        match, periods, step = fl.condition(filters, self.keys), sorted(map(int, self.table.partitions()), reverse=True), 1
+        while periods:
+            some, periods, step = periods[:step], periods[step:], 2 * step
+            rows = series.unpack(self.table.read(some).where(~F.col("is_deleted") & match), self.spec)
             if (found := rows.where("value is not null").agg(F.max("ts")).first()[0]) is not None:
                 return found
         return None
@@ -101,63 +103,61 @@ class ChunkedStore:
     def _periods(self, df: DataFrame) -> list[int]:
         return [r[0] for r in df.select("chunk_index").distinct().collect()]  # calendar periods: few
 
-    def set_many(self, df: DataFrame) -> None:
-        """Add the chunks of ``df(keys..., ts, value)``; none of them may be there."""
-        if self.spec.sync:
-            raise ValueError("a replicated store takes updates or replacements of single series")
-        self._add(self._chunked(df))
+    def set_many(self, df: DataFrame, update: bool = False, replace: bool = False) -> None:
+        """Store ``df(keys..., ts, value)``, any number of series at once: add their chunks, none of which may be there; lay
+        their values over the stored ones; or put them in the place of the stored series of the same keys."""
+        if self.spec.sync and not (update or replace):
+            raise ValueError("a replicated store takes updates or replacements")
+        self._put(self._chunked(df), update, replace)
 
-    def _add(self, new: DataFrame) -> None:
+    def _put(self, new: DataFrame, update: bool, replace: bool) -> None:
+        if update and replace:
+            raise ValueError("update or replace, not both")
+        on = [*self.keys, "chunk_index"]
         new = new.persist()
         try:
-            touched = self._periods(new)
-            old = self.table.read(touched)
-            if not old.join(new.select(*self.keys, "chunk_index"), [*self.keys, "chunk_index"], "left_semi").limit(1).isEmpty():
-                raise DuplicateChunkError("a chunk is there already")
-            if touched:
-                self.table.write(old.unionByName(new.select(*old.columns)), touched)
+            with self.table.writing():
+                touched = self._periods(new)
+                if not touched:
+                    return
+                if replace:
+                    stored = self.table.read()
+                    if self.keys:
+                        stored = stored.join(new.select(*self.keys).distinct(), self.keys, "left_semi")
+                    touched = sorted({*touched, *self._periods(stored.where(~F.col("is_deleted")))})
+                stored = self.table.read(touched)
+                new = new.select(*stored.columns)
+                if replace:
+                    state = states.replace_chunks(stored, new, self.keys, self._now())
+                elif update:
+                    rest = stored.join(new.select(*on), on, "left_anti")
+                    state = rest.unionByName(states.upsert_chunks(stored.where(~F.col("is_deleted")), new, self.keys))
+                else:
+                    if not stored.join(new.select(*on), on, "left_semi").limit(1).isEmpty():
+                        raise DuplicateChunkError("a chunk is there already")
+                    state = stored.unionByName(new)
+                self.table.write(state, touched)
         finally:
             new.unpersist()
 
     def set(self, attrs: Mapping[str, object], df: DataFrame, update: bool = False, replace: bool = False) -> None:
-        """Store one series: add its chunks, lay its values over the stored ones, or put it in the place of the stored one."""
+        """Store one series, as ``set_many`` does many. All keys must be given."""
         if update and replace:
             raise ValueError("update or replace, not both")
         if self.spec.sync and not (update or replace):
             raise ValueError("a replicated store needs update or replace")
         fl.require_all(attrs, self.keys)
-        new = self._chunked(df.withColumns({k: F.lit(attrs[k]).cast(self.kinds[k]) for k in self.keys}) if self.keys else df)
-        if not (update or replace):
-            return self._add(new)
-        new = new.persist()
-        try:
-            touched = self._periods(new)
-            if not touched:
-                return
-            if update:
-                stored = self.table.read(touched)
-                merged = states.upsert_chunks(stored.where(~F.col("is_deleted")), new, self.keys)
-                rest = stored.join(new.select(*self.keys, "chunk_index"), [*self.keys, "chunk_index"], "left_anti")
-                self.table.write(rest.unionByName(merged.select(*rest.columns)), touched)
-            else:
-                match = fl.condition(attrs, self.keys)
-                own = self._periods(self.table.read().where(match & ~F.col("is_deleted")))
-                periods = sorted({*touched, *own})
-                stored = self.table.read(periods)
-                state = states.replace_chunks(stored, new.select(*stored.columns), self.keys, self._now())
-                self.table.write(state, periods)
-        finally:
-            new.unpersist()
+        self._put(self._chunked(df.withColumns({k: F.lit(attrs[k]).cast(self.kinds[k]) for k in self.keys}) if self.keys else df), update, replace)
 
     def delete(self, filters: Mapping[str, object] | None = None, keep_tracking: bool = False) -> None:
         """Remove chunks, or leave tombstones of them for replication."""
         if self.spec.sync and not keep_tracking:
             raise ValueError("a replicated store only deletes with tracking")
         match = fl.condition(filters, [*self.keys, "chunk_index"])
-        stored = self.table.read()
-        touched = self._periods(stored.where(match))
-        stored = self.table.read(touched)
-        self.table.write(states.soft_delete(stored, match, self._now()) if keep_tracking else stored.where(~F.coalesce(match, F.lit(False))), touched)
+        with self.table.writing():
+            touched = self._periods(self.table.read().where(match))
+            stored = self.table.read(touched)
+            self.table.write(states.soft_delete(stored, match, self._now()) if keep_tracking else stored.where(~F.coalesce(match, F.lit(False))), touched)
 
     # Replication.
 
@@ -186,7 +186,8 @@ class ChunkedStore:
             raise ValueError("a chunk lacks a key")
         incoming = incoming.select(*needed).withColumn("updated_at", F.coalesce("updated_at", self._now())).persist()
         try:
-            if touched := self._periods(incoming):
-                self.table.write(states.latest_wins(self.table.read(touched), incoming, self.keys), touched)
+            with self.table.writing():
+                if touched := self._periods(incoming):
+                    self.table.write(states.latest_wins(self.table.read(touched), incoming, self.keys), touched)
         finally:
             incoming.unpersist()

@@ -1,12 +1,15 @@
 """Incremental replication: pulls of a change feed, in pages or as a stream.
 
-A pull starts from the target's own last stamp under the same filters, inclusive, and merges with latest-wins, so that a
-pull that died is simply run again. Pages go on from the last (stamp, keys, period) that was read, not by an offset, so
-that rows stamped anew meanwhile are not skipped.
+A pull starts from the target's own last stamp under the same filters, inclusive, and merges all since then at once with
+latest-wins, so that a pull that died is simply run again, by itself after a pause if the source or a commit failed. Where a
+feed has to be carried in pages, they go on from the last (stamp, keys, period) that was read, not by an offset, so that
+rows stamped anew meanwhile are not skipped.
 """
 
 from __future__ import annotations
 
+import logging
+import time
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +20,8 @@ from tidemark.functions import filters as fl
 from tidemark.operators import states
 from tidemark.sources.chunked import ChunkedStore
 
+log = logging.getLogger(__name__)
+
 
 def feed_page(feed: DataFrame, keys: list[str], after: tuple | None, size: int) -> DataFrame:
     """The next ``size`` rows of a feed after the position ``(updated_at, keys..., chunk_index)``."""
@@ -35,26 +40,28 @@ class SyncClient:
             raise ValueError("both stores must be replicated")
         self.source, self.target = source, target
 
-    def pull(self, filters: Mapping[str, object] | None = None, page_size: int = 200) -> tuple[int, int]:
-        """(chunks fetched, tombstones applied). Each page is one merge."""
-        keys, fetched, deleted, after = self.source.keys, 0, 0, None
-        since = self.target.last_updated(filters)
-        while True:
-            feed = fl.where(self.source.table.read(), filters, keys).where(F.col("updated_at") >= F.lit(since))
-            page = feed_page(feed, keys, after, page_size).persist()
+    def pull(self, filters: Mapping[str, object] | None = None, retries: int = 3, pause: float = 1.0) -> tuple[int, int]:
+        """(chunks fetched, tombstones fetched) since the target's last stamp, all merged in one write. What fails is tried
+        ``retries`` times more, after ``pause`` seconds, twice as many each time."""
+        for left in range(retries, -1, -1):
             try:
-                n = page.count()
-                if not n:
-                    return fetched, deleted
-                gone = page.where("is_deleted").count()
-                last = page.orderBy(*[F.desc(c) for c in ("updated_at", *keys, "chunk_index")]).first()
-                self.target.import_(page)
-            finally:
-                page.unpersist()
-            fetched, deleted = fetched + n - gone, deleted + gone
-            after = tuple(last[c] for c in ("updated_at", *keys, "chunk_index"))
-            if n < page_size:
-                return fetched, deleted
+                return self._pull(filters)
+            except ValueError:
+                raise
+            except Exception:
+                if not left:
+                    raise
+                log.warning("a pull failed, %d tries left", left, exc_info=True)
+                time.sleep(pause * 2 ** (retries - left))
+        raise AssertionError
+
+    def _pull(self, filters: Mapping[str, object] | None) -> tuple[int, int]:
+        since = self.target.last_updated(filters)
+        news = fl.where(self.source.table.read(), filters, self.source.keys).where(F.col("updated_at") >= F.lit(since))
+        n, gone = news.agg(F.count("*"), F.count(F.when(F.col("is_deleted"), 1))).first()
+        if n:
+            self.target.import_(news)
+        return n - gone, gone
 
 
 def stream_pull(spark: SparkSession, feed_path: str, target: ChunkedStore, checkpoint: str, filters: Mapping[str, object] | None = None, once: bool = True) -> StreamingQuery:
