@@ -8,6 +8,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import batches
 from tidemark.functions import filters as fl
 from tidemark.functions import timegrid as tg
 from tidemark.operators import series
@@ -95,3 +96,9 @@ def test_filters(spark):
         fl.condition({"n__near": 1}, fields)
     with pytest.raises(ValueError):
         fl.require_all({"n": 1}, fields)
+
+
+def test_slices():
+    assert [list(x) for x in batches.slices(range(7), 3)] == [[0, 1, 2], [3, 4, 5], [6]] and list(batches.slices([], 2)) == []
+    with pytest.raises(ValueError):
+        list(batches.slices([1], 0))

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.functions import batches
 from tidemark.functions import filters as fl
 from tidemark.functions import timegrid as tg
 from tidemark.operators import gaps, intervals, series, states
@@ -739,3 +740,8 @@ def _hard_delete(spark, d):
 def _equality(spark, d):
     same = F.count(F.when(intervals.same(*_ends()), 1))
     return _pairs(spark, d).groupBy("k").agg(same.alias("same"), F.min(intervals.as_text(F.col("sd"), F.col("ed"))).alias("first"))
+
+
+@query("key_batches", " select user_id, cast(floor((row_number() over (order by user_id) - 1) / 50) as int) as batch from (select distinct user_id from events)")
+def _batches(spark, d):
+    return batches.key_batches(_table(spark, d, "events"), ["user_id"], 50)
