@@ -9,7 +9,8 @@ the source's threshold; of the document (or of the rows with one id) at the thre
 missing, so that the words taken are the target, rounded, or up to one word less for each row that shares the threshold.
 
 Nulls and edges: a null text has size 0; a null source is a source of its own and comes last; rows with one doc_id share
-a hash and are taken alike; sources without words have target 0; an empty table gives no rows; other columns are ignored.
+a hash and are taken alike; sources without words have target 0; a very long text is one row whose words are all counted; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -36,23 +36,39 @@ PIECE, GROUP = 256, 512
 TOKENIZER = "byte_bpe_50k.json"
 #: Words whose ids a worker remembers, and the letters of the longest one that it does.
 REMEMBERED, LETTERS = 400_000, 64
-_RUN = re.compile(r"\s\s")
+_RUN, _BLANK = re.compile(r"\s\s"), re.compile(r"\s")
+#: How a byte-level vocabulary writes a space.
+SPACE = "\u0120"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class _Words(dict):
-    """Ids of words with the space before them, worked out when first asked for."""
+    """Ids of words with the space before them.
+
+    ``learn`` encodes many new words as one text, in which each word's first id is the only one that begins with a space.
+    What it leaves out is encoded when it is asked for.
+    """
 
     def __init__(self, tokenizer) -> None:
         self.encode = tokenizer.encode
+        vocabulary = tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.begins[[i for token, i in vocabulary.items() if token.startswith(SPACE)]] = True
+
+    def learn(self, words: set[str]) -> None:
+        new = [w for w in words if w and w not in self]
+        if len(self) + len(new) > REMEMBERED:
+            self.clear()
+            new = [w for w in words if w]
+        new = [w for w in new if len(w) <= LETTERS and not _BLANK.search(w)]
+        ids = np.array(self.encode(" " + " ".join(new), add_special_tokens=False).ids, dtype="<u4") if new else np.zeros(0, dtype="<u4")
+        starts = np.flatnonzero(self.begins[ids])
+        if len(starts) == len(new) and len(self) + len(new) <= REMEMBERED:
+            raw, bounds = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+            self.update((w, raw[a:b]) for w, a, b in zip(new, bounds, bounds[1:], strict=False))
 
     def __missing__(self, word: str) -> bytes:
-        ids = _ids(self.encode(" " + word, add_special_tokens=False))
-        if len(word) <= LETTERS:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[word] = ids
-        return ids
+        return _ids(self.encode(" " + word, add_special_tokens=False))
 
 
 def _ids(encoding) -> bytes:
@@ -83,12 +99,12 @@ class Encoder:
         self.words = _Words(self.tokenizer) if by_word else None
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [self._by_word(t) if self.words is not None and not _RUN.search(t) else self.whole(t) for t in texts]
-
-    def _by_word(self, text: str) -> bytes:
-        first, _, rest = text.partition(" ")
-        ids = self.whole(first)
-        return ids + b"".join(map(self.words.__getitem__, rest.split(" "))) if _ else ids
+        if self.words is None:
+            return list(map(self.whole, texts))
+        parted = [None if _RUN.search(t) else t.split(" ") for t in texts]
+        self.words.learn({w for p in parted if p for w in p[1:]})
+        of = self.words.__getitem__
+        return [self.whole(t) if p is None else self.whole(p[0]) + b"".join(map(of, p[1:])) for t, p in zip(texts, parted, strict=True)]
 
     def whole(self, text: str) -> bytes:
         return _ids(self.tokenizer.encode(text, add_special_tokens=False))
