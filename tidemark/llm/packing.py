@@ -36,7 +36,7 @@ PIECE, GROUP = 256, 512
 TOKENIZER = "byte_bpe_50k.json"
 #: Words whose ids a worker remembers, and the letters of the longest one that it does.
 REMEMBERED, LETTERS = 400_000, 64
-_RUN, _BLANK = re.compile(r"\s\s"), re.compile(r"\s")
+_RUN = re.compile(r"\s\s")
 #: How a byte-level vocabulary writes a space.
 SPACE = "\u0120"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -45,8 +45,8 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 class _Words(dict):
     """Ids of words with the space before them.
 
-    ``learn`` encodes many new words as one text, in which each word's first id is the only one that begins with a space.
-    What it leaves out is encoded when it is asked for.
+    ``learn`` encodes many new words as one text, in which each word's first id is the only one that begins with a space; a
+    word may hold other white space inside. What it leaves out is encoded when it is asked for.
     """
 
     def __init__(self, tokenizer) -> None:
@@ -60,7 +60,7 @@ class _Words(dict):
         if len(self) + len(new) > REMEMBERED:
             self.clear()
             new = [w for w in words if w]
-        new = [w for w in new if len(w) <= LETTERS and not _BLANK.search(w)]
+        new = [w for w in new if len(w) <= LETTERS and w == w.strip()]
         ids = _ids(self.tokenizer, "".join(" " + w for w in new))
         starts = np.flatnonzero(self.begins[ids])
         if len(starts) == len(new) and len(self) + len(new) <= REMEMBERED:
