@@ -10,7 +10,7 @@ import pytest
 
 import corpus_pipeline
 from tests.llm import brute
-from tidemark.llm import nearcopies
+from tidemark.llm import nearcopies, simhash
 
 SCHEMA = "doc_id long, text string"
 
@@ -78,3 +78,20 @@ def test_nulls_repeats_and_no_rows(spark):
     got = sorted(((r.doc_id, r.text) for r in nearcopies.keep_one(rows).collect()), key=str)
     assert got == [(7, "one text of some words"), (7, "quite another text of words"), (None, "a b")]
     assert nearcopies.keep_one(rows.limit(0)).isEmpty()
+
+
+def test_golay_keys_link_what_no_band_finds(spark, monkeypatch):
+    """Fingerprints of the stage's shingles go through the SimHash operator's Golay keys, and only alike texts are linked."""
+    rng = random.Random(7)
+    docs = []
+    for i in range(0, 40, 2):
+        text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(1500))
+        docs += [(i, text), (i + 1, text + " end")]
+    prints = [simhash.of_hashes(nearcopies.shingles(t.encode())) for _, t in docs]
+    near = [n for n in range(0, 40, 2) if (prints[n] ^ prints[n + 1]).bit_count() <= 2]
+    assert len(near) > 10
+    docs += [(100, " ".join("abcd")), (101, " ".join("efgh"))]
+    rows = spark.createDataFrame(docs, SCHEMA)
+    monkeypatch.setattr(nearcopies, "_pairs", lambda left, *more: left.sparkSession.createDataFrame([], "a long, b long"))
+    got = {r.doc_id for r in nearcopies.keep_one(rows).collect()}
+    assert got == {i for i, _ in docs} - {n + 1 for n in near}

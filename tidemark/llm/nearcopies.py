@@ -1,8 +1,12 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
+The first candidates are SimHash fingerprints of the sets that differ in two bits at most, found by the Golay keys of
+``simhash``. Many pairs of that similarity differ in more bits, so bands of minima find the rest.
+
 Each set of shingle hashes has 160 minima of seeded permutations, in 32 bands of five (Broder, 1997). Two sets of
 similarity s agree in one band at least with probability 1 - (1 - s^5)^32: all but three of a million at 0.8. Sets that
-share a band are compared by their exact similarity, so nothing is linked that is less alike; equal sets are one node.
+share a band, or near fingerprints, are compared by their exact similarity, so nothing is linked that is less alike; equal
+sets are one node.
 
 The pairs of a band that more than ``DENSE`` different sets share would grow with the square of their number, be it a group
 of copies or texts that have a frequent passage in common. There each set is first compared with ``PIVOTS`` of them. Components
@@ -32,6 +36,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, small_batches
 from tidemark.llm.components import connected_components
+from tidemark.llm.simhash import fingerprint_links, of_hashes
 
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 5
@@ -92,19 +97,21 @@ def _lists(found: list[np.ndarray]) -> pa.ListArray:
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
-    """Rows ``(doc_id, node, size, bands)``."""
+    """Rows ``(doc_id, node, size, fp, bands)``."""
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, sizes, keys = [], [], []
+            names, sizes, fps, keys = [], [], [], []
             for text in batch.column(1):
                 found = shingles(text.as_py())
                 names.append(node(found))
                 sizes.append(len(found))
+                fps.append(of_hashes(found))
                 keys.append(bands(found) if len(found) else np.zeros(0, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), _lists(keys)], names=["doc_id", "node", "size", "bands"])
+            prints = pa.array(np.array(fps, dtype=np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), prints, _lists(keys)], names=["doc_id", "node", "size", "fp", "bands"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).where("doc_id is not null")
-    return rows.mapInArrow(of, "doc_id long, node long, size long, bands array<long>")
+    return rows.mapInArrow(of, "doc_id long, node long, size long, fp long, bands array<long>")
 
 
 def _pairs(left: DataFrame, right: DataFrame, condition: str, maps: bool = False) -> DataFrame:
@@ -162,14 +169,24 @@ def _mapped(keys: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     return cut(keys.join(maps, "node"))
 
 
+def near_prints(reps: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)``, a < b, of nodes by near fingerprints: the least node of each fingerprint with the others that have
+    it, and with the least ones of the fingerprints that Golay keys find within two bits."""
+    fps = cut(reps.where("size > 0").groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("n")))
+    same = reps.join(fps.where("n > 1"), "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    ends = fingerprint_links(fps.select("fp")).join(fps.select(F.col("fp").alias("fp_a"), F.col("first").alias("a")), "fp_a").join(
+        fps.select(F.col("fp").alias("fp_b"), F.col("first").alias("b")), "fp_b")
+    return same.unionByName(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+
+
 def links(docs: DataFrame, sketches: DataFrame, dense: int = DENSE) -> DataFrame:
     """Pairs ``(a, b)`` of nodes whose components are those of "similarity is SIMILARITY or more"."""
-    reps = cut(sketches.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+    reps = cut(sketches.groupBy("node").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("size", "fp", "bands")]))
     keys = reps.select("node", "size", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     keys = cut(keys.join(shared, "key"))
     few, many = keys.where(F.col("n") <= dense), keys.where(F.col("n") > dense)
-    first = _pairs(few, few, "l.node < r.node")
+    first = _pairs(few, few, "l.node < r.node").unionByName(near_prints(reps)).distinct()
     if many.isEmpty():
         return _alike(first, docs, reps)
     many = _mapped(many, reps, docs)

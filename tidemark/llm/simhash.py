@@ -31,7 +31,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm import nearcopies
 from tidemark.llm.common import cut, small_batches, table
 from tidemark.llm.components import connected_components
 
@@ -56,7 +55,11 @@ def fingerprint(text: bytes | None, width: int = 3) -> int:
     else:
         shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(s, SEED) for s in shingles), dtype="<u8")
+    return of_hashes(np.fromiter((digest(s, SEED) for s in shingles), dtype="<u8"))
+
+
+def of_hashes(hashes: np.ndarray) -> int:
+    """Unsigned SimHash of shingles by their hashes; zero without any."""
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 8192):
         part = hashes[at : at + 8192].view(np.uint8).reshape(-1, 8)
@@ -228,9 +231,12 @@ def near_duplicates(docs: DataFrame, width: int = 3, dense: int = DENSE) -> Data
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: of each group of near copies the one with the smallest doc_id, all columns as they were.
 
-    A stage that removes documents goes by five-word shingles and a Jaccard similarity of 0.8. No radius of fingerprints gives
-    these groups (the README has the figures), so they are found by the shingles' minima; see ``nearcopies``.
+    A stage that removes documents goes by five-word shingles and a Jaccard similarity of 0.8. Golay keys of five-word fingerprints
+    find the nearest; no radius of fingerprints gives all (the README has the figures), so the shingles' minima find the rest; see
+    ``nearcopies``.
     """
+    from tidemark.llm import nearcopies
+
     return nearcopies.keep_one(docs)
 
 
