@@ -80,6 +80,15 @@ def test_nulls_repeats_and_no_rows(spark):
     assert nearcopies.keep_one(rows.limit(0)).isEmpty()
 
 
+def test_what_two_sets_share_does_not_blur_their_bitmaps():
+    rng = random.Random(9)
+    both, x, y = ([f"{c}{rng.randrange(10**9)}" for _ in range(n)] for c, n in (("b", 1000), ("x", 170), ("y", 170)))
+    x, y = (nearcopies.shingles(" ".join(both + own).encode()) for own in (x, y))
+    same, differ = len(set(x.tolist()) & set(y.tolist())), len(set(x.tolist()) ^ set(y.tolist()))
+    assert 10 * same < 8 * (same + differ)
+    assert 9 * np.bitwise_count((nearcopies.bitmap(x) ^ nearcopies.bitmap(y)).view(np.uint64)).sum() > len(x) + len(y)
+
+
 def test_golay_keys_link_what_no_band_finds(spark, monkeypatch):
     """Fingerprints of the stage's shingles go through the SimHash operator's Golay keys, and only alike texts are linked."""
     rng = random.Random(7)
@@ -95,3 +104,21 @@ def test_golay_keys_link_what_no_band_finds(spark, monkeypatch):
     monkeypatch.setattr(nearcopies, "_pairs", lambda left, *more: left.sparkSession.createDataFrame([], "a long, b long"))
     got = {r.doc_id for r in nearcopies.keep_one(rows).collect()}
     assert got == {i for i, _ in docs} - {n + 1 for n in near}
+
+
+def test_a_large_group_of_near_copies_makes_few_pairs(spark, monkeypatch):
+    """Copies with several edits each, most of them unlike each other: the rows compared grow with the copies, not their square."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(800)]
+    text = [rng.choice(words) for _ in range(150)]
+    docs = []
+    for i in range(300):
+        copy = text[:]
+        for _ in range(rng.randint(1, 4)):
+            copy[rng.randrange(150)] = rng.choice(words)
+        docs.append((i, " ".join(copy)))
+    compared, real = [], nearcopies._alike
+    monkeypatch.setattr(nearcopies, "_alike", lambda pairs, *more: compared.append(pairs.count()) or real(pairs, *more))
+    rows = spark.createDataFrame(docs, SCHEMA)
+    assert sorted(r.doc_id for r in nearcopies.keep_one(rows, 16).collect()) == expected(docs)
+    assert sum(compared[1:]) < len(docs), compared  # the first are those of bands that are not crowded, and of pivots

@@ -9,11 +9,14 @@ share a band, or near fingerprints, are compared by their exact similarity, so n
 sets are one node.
 
 The pairs of a band that more than ``DENSE`` different sets share would grow with the square of their number, be it a group
-of copies or texts that have a frequent passage in common. There each set is first compared with ``PIVOTS`` of them. Components
-of the links found so far make most of the others needless: what is left is to compare a set with the members of the band
-that are in another component, unless both are in the band's largest one. Within the join, before a pair becomes a row, it
-has to pass a bound that loses nothing: bitmaps of the two sets' hashes differ in at least as few bits as the sets differ in
-shingles. So only pairs of about 0.8 or more come out of a crowded band and are compared exactly, and no member is left out.
+of copies or texts that have a frequent passage in common. There each set is first compared with one pivot, the most
+central member: that of the most and fullest crowded bands, next to which edited copies of one text lie. Components of the
+links found so far make most of the other pairs needless. As long as a round leaves clearly fewer components in the bands, the
+most central member outside of each band's largest component is the next pivot. What is left then is to compare a set with
+the members of the band that are in another component, unless both are in the band's largest one, and in the first crowded
+band that the two share. Within the join, before a pair becomes a row, it has to pass a bound that loses nothing: odd sketches
+(Mitzenmacher, Pagh and Pham, 2014) of two sets differ in no more bits than the sets differ in shingles, whatever they have in
+common. So only pairs of about 0.8 or more come out of a crowded band and are compared exactly, and no member is left out.
 
 Nulls and edges: words are as in simhash; a text of fewer than five words is one shingle, texts without words are equal
 to each other. Rows without doc_id stay and remove nothing. Of each component the row with the smallest doc_id stays; of
@@ -40,8 +43,10 @@ from tidemark.llm.simhash import fingerprint_links, of_hashes
 
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 5
-#: Different sets in one band, above which they are compared with pivots first; pivots of a band.
-DENSE, PIVOTS = 32, 1
+#: Different sets in one band, above which they are compared with pivots first.
+DENSE = 32
+#: Share of the components in crowded bands that a round of pivots has to leave at most for another round.
+SHRINK = 0.5
 #: 64-bit words of a bitmap.
 MAP = 32
 SEED = 42
@@ -114,13 +119,15 @@ def _sketches(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(of, "doc_id long, node long, size long, fp long, bands array<long>")
 
 
-def _pairs(left: DataFrame, right: DataFrame, condition: str, maps: bool = False) -> DataFrame:
+def _pairs(left: DataFrame, right: DataFrame, condition: str, maps: bool = False, once: bool = False) -> DataFrame:
     """Different pairs ``(a, b)``, a < b, of members of the same band whose sizes, and bitmaps if they have them, allow the
-    similarity."""
+    similarity; ``once``: only from the first crowded band that both are in."""
     conditions = [F.expr(condition), F.expr(f"least(l.size, r.size) >= {SIMILARITY} * greatest(l.size, r.size)")]
     if maps:  # |x xor y| <= (1 - SIMILARITY) / (1 + SIMILARITY) (|x| + |y|) = (|x| + |y|) / 9
         bits = " + ".join(f"bit_count(l.m{i} ^ r.m{i})" for i in range(MAP))
         conditions.append(F.expr(f"({bits}) * {round(10 * (1 + SIMILARITY))} <= {round(10 * (1 - SIMILARITY))} * (l.size + r.size)"))
+    if once:
+        conditions.append(F.expr("array_min(array_intersect(l.crowds, r.crowds)) = l.key"))
     near = left.alias("l").join(right.alias("r"), (F.col("l.key") == F.col("r.key")) & reduce(and_, conditions))
     return near.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
 
@@ -149,21 +156,22 @@ def _sets(nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def bitmap(hashes: np.ndarray) -> np.ndarray:
-    """The set's hashes modulo the bitmap's bits, as signed 64-bit words."""
-    bits = np.zeros(64 * MAP, dtype=np.uint8)
-    bits[(hashes >> np.uint64(17)) % np.uint64(64 * MAP)] = 1
-    return np.packbits(bits, bitorder="little").view(np.int64)
+    """Odd sketch: whether an odd number of the set's hashes falls on each bit, as signed 64-bit words."""
+    at = ((hashes >> np.uint64(17)) % np.uint64(64 * MAP)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=64 * MAP) & 1 == 1, bitorder="little").view(np.int64)
 
 
 def _mapped(keys: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """``keys`` with the bitmaps m0, m1, ... of their nodes' sets."""
+    """``keys`` with the bitmaps m0, m1, ... of their nodes' sets, their crowded keys, and how many rows these have."""
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingles(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([pa.array([node(s) for s in found], pa.int64()), batch.column(0), _lists([bitmap(s) for s in found])], names=["own", "node", "map"])
 
-    nodes = cut(keys.select("node").distinct().join(reps.select("node", "rep"), "node"))
+    nodes = keys.groupBy("node").agg(F.sum("n").alias("central"), F.collect_list("key").alias("crowds"))
+    nodes = cut(nodes.join(reps.select("node", "rep"), "node"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    keys = keys.join(nodes.drop("rep"), "node")
     maps = texts.join(nodes, F.col("doc_id") == F.col("rep")).select("node", "text").mapInArrow(of, "own long, node long, map array<long>")
     maps = maps.where("own = node").dropDuplicates(["node"]).select("node", *[F.col("map")[i].alias(f"m{i}") for i in range(MAP)])
     return cut(keys.join(maps, "node"))
@@ -190,14 +198,33 @@ def links(docs: DataFrame, sketches: DataFrame, dense: int = DENSE) -> DataFrame
     if many.isEmpty():
         return _alike(first, docs, reps)
     many = _mapped(many, reps, docs)
-    own = F.struct("node", "size", *[f"m{i}" for i in range(MAP)])
-    pivots = many.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(PIVOTS)).alias("salt")).agg(F.min(own).alias("p")).select("key", "p.*")
-    found = _alike(first.unionByName(_pairs(many, cut(pivots), "l.node <> r.node", True)).distinct(), docs, reps)
+    found = _alike(first.unionByName(_pairs(many, _central(many), "l.node <> r.node", True)).distinct(), docs, reps)
+    before = None
+    while True:
+        left, kinds = _open(many, found)
+        rest = left.where("own <> main")
+        if not kinds or before and kinds > SHRINK * before:
+            break
+        before = kinds
+        found = cut(found.unionByName(_alike(_pairs(left, _central(rest), "l.own <> r.own", True), docs, reps)))
+    if not kinds:
+        return found
+    return found.unionByName(_alike(_pairs(rest, left, "l.own <> r.own and (r.own = r.main or l.node < r.node)", True, True), docs, reps))
+
+
+def _central(many: DataFrame) -> DataFrame:
+    """The most central member of each band."""
+    return cut(many.groupBy("key").agg(F.max_by(F.struct(*[c for c in many.columns if c != "key"]), F.struct("central", "node")).alias("p")).select("key", "p.*"))
+
+
+def _open(many: DataFrame, found: DataFrame) -> tuple[DataFrame, int]:
+    """The rows of bands whose members are not all linked, with their components and the band's largest one, and the number
+    of further components in all bands."""
     known = cut(connected_components(found))
     many = many.join(known, "node", "left").withColumn("own", F.coalesce("component", "node")).drop("component")
     most = many.groupBy("key", "own").count().groupBy("key").agg(F.max_by("own", F.struct("count", "own")).alias("main"), F.count("*").alias("kinds"))
-    many = cut(many.join(most.where("kinds > 1"), "key"))
-    return found.unionByName(_alike(_pairs(many.where("own <> main"), many, "l.own <> r.own", True), docs, reps))
+    most = cut(most.where("kinds > 1"))
+    return cut(many.join(most, "key")), most.agg(F.sum(F.col("kinds") - 1)).first()[0] or 0
 
 
 def first_of_each(docs: DataFrame, rows: DataFrame, edges: DataFrame, named: Column) -> DataFrame:
