@@ -48,6 +48,22 @@ def test_the_stage_removes_edited_copies(spark, dense):
     assert sorted(r.doc_id for r in got.collect()) == expected(docs)
 
 
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_few_names_find_their_texts_without_a_shuffle_of_texts(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(nearcopies, "FEW", few)
+    docs = [*edits(5, 4, 3), (2, None), (5, "a b")]
+    spark.createDataFrame(docs, SCHEMA).write.parquet(str(tmp_path / "docs"))
+    rows = spark.read.parquet(str(tmp_path / "docs"))
+    plans, frame = [], type(rows)
+    plain = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, *a, **k: plans.append(self._jdf.queryExecution().executedPlan().toString()) or plain(self, *a, **k))
+    assert sorted(r.doc_id for r in nearcopies.keep_one(rows, 2).collect()) == expected(docs)
+    joined = [p for p in plans if "Join" in p]
+    assert joined
+    if few:
+        assert all("BroadcastHashJoin" in p and "hashpartitioning" not in p for p in joined)
+
+
 def test_a_frequent_passage_makes_no_pairs(spark):
     """Texts that have a passage in common share bands; bitmaps tell them apart within the join, and no copy is lost."""
     rng = random.Random(5)

@@ -47,6 +47,8 @@ BANDS, ROWS = 32, 5
 DENSE = 32
 #: Share of the components in crowded bands that a round of pivots has to leave at most for another round.
 SHRINK = 0.5
+#: Sets whose names are broadcast to find their texts; for more the texts are shuffled.
+FEW = 200_000
 #: 64-bit words of a bitmap.
 MAP = 32
 SEED = 42
@@ -143,6 +145,15 @@ def _alike(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     return cut(both.where(F.col("n") * 10 >= (F.col("m") - F.col("n")) * round(10 * SIMILARITY)).select("a", "b"))
 
 
+def _texts(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``(node, text)`` of the documents with the ids of ``nodes(node, rep)``, which are written already."""
+    nodes = nodes.select("node", "rep")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    if nodes.count() <= FEW:  # their size is not known to the planner, which would shuffle all texts for some of them
+        nodes = F.broadcast(nodes)
+    return texts.join(nodes, F.col("doc_id") == F.col("rep")).select("node", "text")
+
+
 def _sets(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """``(node, hashes)`` of the ``nodes(node, rep)``, worked out anew from the text of the document that stands for each."""
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,8 +161,7 @@ def _sets(nodes: DataFrame, docs: DataFrame) -> DataFrame:
             found = [shingles(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([pa.array([node(s) for s in found], pa.int64()), batch.column(0), _lists([s.view(np.int64) for s in found])], names=["own", "node", "hashes"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    sets = texts.join(nodes, F.col("doc_id") == F.col("rep")).select("node", "text").mapInArrow(of, "own long, node long, hashes array<long>")
+    sets = _texts(nodes, docs).mapInArrow(of, "own long, node long, hashes array<long>")
     return cut(sets.where("own = node").select("node", "hashes").dropDuplicates(["node"]))
 
 
@@ -170,9 +180,8 @@ def _mapped(keys: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
 
     nodes = keys.groupBy("node").agg(F.sum("n").alias("central"), F.collect_list("key").alias("crowds"))
     nodes = cut(nodes.join(reps.select("node", "rep"), "node"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     keys = keys.join(nodes.drop("rep"), "node")
-    maps = texts.join(nodes, F.col("doc_id") == F.col("rep")).select("node", "text").mapInArrow(of, "own long, node long, map array<long>")
+    maps = _texts(nodes, docs).mapInArrow(of, "own long, node long, map array<long>")
     maps = maps.where("own = node").dropDuplicates(["node"]).select("node", *[F.col("map")[i].alias(f"m{i}") for i in range(MAP)])
     return cut(keys.join(maps, "node"))
 
@@ -220,7 +229,7 @@ def _central(many: DataFrame) -> DataFrame:
 def _open(many: DataFrame, found: DataFrame) -> tuple[DataFrame, int]:
     """The rows of bands whose members are not all linked, with their components and the band's largest one, and the number
     of further components in all bands."""
-    known = cut(connected_components(found))
+    known = connected_components(found)
     many = many.join(known, "node", "left").withColumn("own", F.coalesce("component", "node")).drop("component")
     most = many.groupBy("key", "own").count().groupBy("key").agg(F.max_by("own", F.struct("count", "own")).alias("main"), F.count("*").alias("kinds"))
     most = cut(most.where("kinds > 1"))
@@ -232,7 +241,7 @@ def first_of_each(docs: DataFrame, rows: DataFrame, edges: DataFrame, named: Col
 
     named: the node of a row of ``docs``, only worked out where ids repeat. Rows without doc_id stay.
     """
-    components = cut(connected_components(edges))
+    components = connected_components(edges)
     least = rows.groupBy("node").agg(F.min("doc_id").alias("id")).join(components, "node", "left")
     kept = cut(least.groupBy(F.coalesce("component", "node").alias("c")).agg(F.min(F.struct("id", "node")).alias("k")).select(
         F.col("k.id").alias("kept_id"), F.col("k.node").alias("kept_node")))
