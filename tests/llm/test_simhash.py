@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from tidemark.llm import simhash
+from tidemark.llm import components, simhash
+from tidemark.llm.common import cut
 from tidemark.llm.components import connected_components
 
 SCHEMA = "doc_id long, text string"
@@ -115,6 +116,28 @@ def test_components(spark):
     assert connected_components(rows.limit(0)).isEmpty()
 
 
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_rounds_and_the_driver_find_the_same_components(spark, monkeypatch, few):
+    rng = random.Random(4)
+    edges = [(i + 1, i) for i in range(1000, 1150)] + [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(150)] + [(-(1 << 63), (1 << 63) - 1)]
+    edges += [*edges[:30], (8, 8), (None, 2)]
+    written = []
+    monkeypatch.setattr(components, "cut", lambda df: written.append(1) or cut(df))
+    found = connected_components(spark.createDataFrame(edges, "a long, b long"), few)
+    assert (len(written) == 1) == (few > 0)  # a few edges cost no rounds
+    got = found.collect()
+    edges = [e for e in edges if None not in e and e[0] != e[1]]
+    assert len(got) == len({x for e in edges for x in e})
+    assert {r.node: r.component for r in got} == brute.components(edges, sorted({x for e in edges for x in e}))
+
+
+@pytest.mark.parametrize("dense", [2, 32])
+def test_keys_are_made_in_one_pass(spark, dense):
+    rows = spark.createDataFrame([(i << 43 | 5 << 22 | i % 3,) for i in range(40)], "fp long")
+    plan = simhash.fingerprint_links(rows, dense)._jdf.queryExecution().toString()
+    assert "MapIn" not in plan  # the join reads written keys, filed and asked ones alike
+
+
 def variants(n: int, seed: int) -> list[tuple[int, str]]:
     rng = random.Random(seed)
     words = [f"w{i}" for i in range(500)]

@@ -27,6 +27,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -159,14 +160,21 @@ def segment_keys(fps: np.ndarray, probe: bool) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([a for a, _ in out]), np.concatenate([k for _, k in out])
 
 
-def _keys(fps: DataFrame, probe: bool) -> DataFrame:
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _grouped(at: np.ndarray, keys: np.ndarray, n: int) -> pa.ListArray:
+    """The keys of each of n rows."""
+    ends = np.concatenate(([0], np.bincount(at, minlength=n).cumsum())).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[np.argsort(at, kind="stable")]))
+
+
+def _keys(fps: DataFrame) -> DataFrame:
+    """Rows ``(fp, files, asks)``: the filing and the asking keys of each fingerprint, made in one pass."""
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = batch["fp"].to_numpy(dtype=np.int64)
-            at, key = segment_keys(own, probe)
-            yield pd.DataFrame({"key": key, "fp": own[at]})
+            own = batch.column(0).to_numpy(zero_copy_only=False)
+            sides = [_grouped(*segment_keys(own, probe), len(own)) for probe in (False, True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *sides], names=["fp", "files", "asks"])
 
-    return fps.select("fp").mapInPandas(of, "key long, fp long")
+    return fps.select("fp").mapInArrow(of, "fp long, files array<long>, asks array<long>")
 
 
 def _midpoint_links(fps: DataFrame) -> DataFrame:
@@ -177,35 +185,44 @@ def _midpoint_links(fps: DataFrame) -> DataFrame:
     return stars.select("fp_a", F.explode("fps").alias("fp_b")).where("fp_a <> fp_b").distinct()
 
 
-def _split(rows: DataFrame, probe: bool) -> DataFrame:
+def _split(rows: DataFrame) -> DataFrame:
+    """``rows(key, fp, probe)`` with the third segment's codewords, ``more``."""
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keys, own = batch["key"].to_numpy(dtype=np.int64), batch["fp"].to_numpy(dtype=np.int64)
-            at, more = third_keys(keys, own, probe)
-            yield pd.DataFrame({"key": keys[at], "more": more, "fp": own[at]})
+            for probe in (False, True):
+                side = batch[batch["probe"] == probe]
+                keys, own = side["key"].to_numpy(dtype=np.int64), side["fp"].to_numpy(dtype=np.int64)
+                at, more = third_keys(keys, own, probe)
+                yield pd.DataFrame({"key": keys[at], "more": more, "fp": own[at], "probe": np.full(len(at), probe)})
 
-    return rows.select("key", "fp").mapInPandas(of, "key long, more long, fp long")
+    return rows.select("key", "fp", "probe").mapInPandas(of, "key long, more long, fp long, probe boolean")
 
 
 def _near(filed: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs that share a key and differ in two bits at most."""
-    pairs = filed.withColumnRenamed("fp", "fp_a").join(asked.withColumnRenamed("fp", "fp_b"), keys).where("fp_a <> fp_b")
-    pairs = pairs.where(F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= 2)
-    return pairs.select(F.least("fp_a", "fp_b").alias("fp_a"), F.greatest("fp_a", "fp_b").alias("fp_b")).distinct()
+    """Pairs that share a key and differ in two bits at most, once for each key that they share. Either of two fingerprints asks
+    for what the other is filed under, so that the lesser one's filing is enough."""
+    pairs = filed.withColumnRenamed("fp", "fp_a").join(asked.withColumnRenamed("fp", "fp_b"), keys).where("fp_a < fp_b")
+    return pairs.where(F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= 2).select("fp_a", "fp_b")
 
 
 def fingerprint_links(fps: DataFrame, dense: int = DENSE) -> DataFrame:
-    """Rows ``(fp_a, fp_b)`` whose components are those of "differs in at most two bits" on the distinct ``fps(fp)``."""
-    filed, asked = _keys(fps, probe=False), _keys(fps, probe=True)
+    """Rows ``(fp_a, fp_b)`` whose components are those of "differs in at most two bits" on the distinct ``fps(fp)``; a link may
+    be several rows."""
+    found = cut(_keys(fps))
+    filed, asked = (found.select("fp", F.explode(side).alias("key")) for side in ("files", "asks"))
     hot = cut(filed.groupBy("key").count().where(F.col("count") > dense).select("key"))
-    links = _near(filed.join(hot, "key", "left_anti"), asked.join(hot, "key", "left_anti"), ["key"])
     if hot.isEmpty():
-        return links
-    filed, asked = (_split(rows.join(hot, "key", "left_semi"), probe) for rows, probe in ((filed, False), (asked, True)))
+        return _near(filed, asked, ["key"])
+    links = _near(filed.join(hot, "key", "left_anti"), asked.join(hot, "key", "left_anti"), ["key"])
+    sides = F.expr("concat(transform(files, k -> struct(k AS key, false AS probe)), transform(asks, k -> struct(k AS key, true AS probe)))")
+    both = cut(_split(found.select("fp", F.inline(sides)).join(hot, "key", "left_semi")))
+    filed, asked = both.where("not probe").drop("probe"), both.where("probe").drop("probe")
     keys = ["key", "more"]
     crowds = cut(filed.groupBy(*keys).count().where(F.col("count") > dense).select(*keys))
+    if crowds.isEmpty():
+        return links.unionByName(_near(filed, asked, keys))
     links = links.unionByName(_near(filed.join(crowds, keys, "left_anti"), asked.join(crowds, keys, "left_anti"), keys))
-    crowded = filed.unionByName(asked).join(crowds, keys, "left_semi").select("fp").distinct()
+    crowded = both.join(crowds, keys, "left_semi").select("fp").distinct()
     return links.unionByName(_midpoint_links(crowded))
 
 
