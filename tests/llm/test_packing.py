@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from collections import defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -64,6 +65,19 @@ def test_remembered_words_give_the_ids_of_whole_texts(tokenizer, monkeypatch):
     assert 0 < len(encoder.words) <= 40
 
 
+def test_frequent_words_are_encoded_once(tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 40)
+    encoder, plain, asked = packing.Encoder(), packing._ids, []
+    monkeypatch.setattr(packing, "_ids", lambda t, text: asked.append(text) or plain(t, text))
+    for i in range(20):
+        text = "x often " + " ".join(f"n{i}n{j}" for j in range(15)) + " often"
+        got = encoder.encode([text, "", "often"])
+        assert [len(g) // 4 for g in got[1:]] == [0, len(tokenizer.encode("often").ids)]
+        assert np.frombuffer(got[0], "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(encoder.words) <= 40
+    assert sum(" often" in text for text in asked) == 1
+
+
 def verify(rows, docs, tokenizer, capacity: int = 1024):
     """Every document's ids lie in its pieces; sequences have no gaps and do not exceed the capacity. Returns the padding."""
     by_doc, by_sequence = defaultdict(list), defaultdict(list)

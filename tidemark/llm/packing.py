@@ -21,9 +21,11 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,32 +45,46 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 class _Words(dict):
-    """Ids of words with the space before them.
+    """Ids of words with the space before them, for at most REMEMBERED words in two generations.
 
-    ``learn`` encodes many new words as one text, in which each word's first id is the only one that begins with a space; a
-    word may hold other white space inside. What it leaves out is encoded when it is asked for.
+    When this one has half of them it becomes the old one, and a word that the old one knows moves on as it is met again: so
+    frequent words are encoded once, only rare ones are forgotten. New words are encoded many as one text, in which each
+    word's first id is the only one that begins with a space; a word may hold other white space inside.
     """
 
     def __init__(self, tokenizer) -> None:
         self.tokenizer = tokenizer
+        self.old: dict[str, bytes] = {}
         vocabulary = tokenizer.get_vocab()
         self.begins = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.begins[[i for token, i in vocabulary.items() if token.startswith(SPACE)]] = True
 
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w and w not in self]
-        if len(self) + len(new) > REMEMBERED:
-            self.clear()
-            new = [w for w in words if w]
-        new = [w for w in new if len(w) <= LETTERS and w == w.strip()]
+    def of(self, words: list[str]) -> list[bytes]:
+        """The ids of each of some different words."""
+        ids = list(map(self.get, words))
+        gaps = [at for at, i in enumerate(ids) if i is None]
+        found = self._met([words[at] for at in gaps])
+        for at in gaps:
+            ids[at] = found[words[at]]
+        return ids
+
+    def _met(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of words that this generation lacks, which it learns."""
+        old = self.old
+        found = {w: old[w] for w in words if w in old}
+        new = [w for w in words if w not in found and 0 < len(w) <= LETTERS and w == w.strip()]
         ids = _ids(self.tokenizer, "".join(" " + w for w in new))
         starts = np.flatnonzero(self.begins[ids])
-        if len(starts) == len(new) and len(self) + len(new) <= REMEMBERED:
+        if len(starts) == len(new):
             raw, bounds = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
-            self.update((w, raw[a:b]) for w, a, b in zip(new, bounds, bounds[1:], strict=False))
-
-    def __missing__(self, word: str) -> bytes:
-        return _ids(self.tokenizer, " " + word).tobytes()
+            found.update((w, raw[a:b]) for w, a, b in zip(new, bounds, bounds[1:], strict=False))
+        half = REMEMBERED // 2
+        if len(self) + len(found) > half:
+            self.old = dict(self)
+            self.clear()
+        self.update(found if len(found) <= half else islice(found.items(), half))
+        found.update((w, _ids(self.tokenizer, " " + w).tobytes()) for w in words if w not in found)
+        return found
 
 
 def _ids(tokenizer, text: str) -> np.ndarray:
@@ -102,10 +118,25 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.words is None:
             return list(map(self.whole, texts))
-        parted = [None if _RUN.search(t) else t.split(" ") for t in texts]
-        self.words.learn({w for p in parted if p for w in p[1:]})
-        of = self.words.__getitem__
-        return [self.whole(t) if p is None else self.whole(p[0]) + b"".join(map(of, p[1:])) for t, p in zip(texts, parted, strict=True)]
+        plain = [not _RUN.search(t) for t in texts]
+        further = iter(self._further([t for t, p in zip(texts, plain, strict=True) if p]))
+        return [self.whole(t.split(" ", 1)[0]) + next(further) if p else self.whole(t) for t, p in zip(texts, plain, strict=True)]
+
+    def _further(self, texts: list[str]) -> list[bytes]:
+        """The ids of all words of each text but its first. Python sees each different word of the texts once."""
+        parted = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        bounds = parted.offsets.to_numpy().astype(np.int64)
+        later = np.ones(bounds[-1], dtype=bool)
+        later[bounds[:-1]] = False
+        words = parted.flatten().filter(pa.array(later)).dictionary_encode()
+        which = words.indices.to_numpy()
+        ids = self.words.of(words.dictionary.to_pylist())
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        starts, each = lengths.cumsum() - lengths, lengths[which]
+        ends = np.concatenate(([0], each.cumsum()))
+        places = np.repeat(starts[which] - ends[:-1], each) + np.arange(ends[-1])
+        flat, ends = np.frombuffer(b"".join(ids), dtype="<u4")[places], ends[bounds - np.arange(len(bounds))]
+        return [flat[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
 
     def whole(self, text: str) -> bytes:
         return _ids(self.tokenizer, text).tobytes()
